@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from graphlens.llm import linededup, mixing, sharding
+from graphlens.llm import linededup, mixing, sharding, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_mixing": mixing.op5_mixing,
+        "op6_token_counts": tokens.op6_token_counts,
+        "op8_token_shards": tokens.op8_token_shards,
         "op9_sharding": sharding.op9_sharding,
         "op10_line_dedup": linededup.op10_line_dedup,
     }
