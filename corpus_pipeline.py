@@ -1,13 +1,74 @@
-"""Corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before
+kept, and returns documents' columns; the last adds slot and shard. Between
+stages documents are written to the shared folder and read again.
+
+SQL can't express the classifier, so there is no SQL for run().
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from graphlens.llm import common, decontam, mixing, neardup, sharding, toxicity
+
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumnRenamed("score", "score_before"), model)
+    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score").withColumnRenamed("score_before", "score")
+    return kept.select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; of rows that share a doc_id, the first by text."""
+    found = common.stored(neardup.near_duplicates(docs), "near-duplicates")
+    gone = common.stored(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = common.stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    again = common.small(again)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = left.join(again, "doc_id", "left_semi").withColumn("first_", first).where("first_ = 1").select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+
+
+def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item's passage."""
+    hits = decontam.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    gone = common.stored(hits.select("doc_id").distinct(), "contaminated")
+    return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken, the one across its source's cut in part."""
+    return mixing.mixed_documents(docs)
+
+
+def sharding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its slot and shard."""
+    return sharding.assign_shards(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.stored(docs, name)
     return docs

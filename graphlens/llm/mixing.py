@@ -80,8 +80,10 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     sized = docs.withColumn("words_", word_count(F.col("text")))
     rows = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("words_") == F.col("size_")) & F.col("source").eqNullSafe(F.col("source_")))
     copies = rows.withColumn("left_", F.explode(F.expr("transform(sequence(0, cast((taken_ - 1) div size_ as int)), i -> least(size_, taken_ - i * size_))")))
-    # the first k words with the blanks between them
-    head = F.regexp_substr(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("left_").cast("string"), F.lit("}")))
+    # pieces that begin where a word begins, each with the blanks after it; blanks ahead of the first word are one more
+    parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    head = F.array_join(F.slice(parts, F.lit(1), F.col("left_").cast("int") + lead), "")
     text = F.when(F.col("left_") == F.col("size_"), F.col("text")).otherwise(head)
     cut = copies.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphlens.llm import linededup, mixing, neardup, sharding, tokens, toxicity
+from graphlens.llm import ann, decontam, linededup, mixing, neardup, sharding, tokens, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": ann.op1_nearest_neighbours,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_near_duplicates": neardup.op3_near_duplicates,
+        "op4_decontamination": decontam.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_counts": tokens.op6_token_counts,
         "op8_token_shards": tokens.op8_token_shards,
