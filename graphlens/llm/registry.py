@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import ann, decontam, linededup, mixing, neardup, sharding, tokens, toxicity
+from graphlens.llm import ann, decontam, linededup, mixing, neardup, sharding, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontamination": decontam.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_repeated_substrings": substrings.op7_repeated_substrings,
         "op8_token_shards": tokens.op8_token_shards,
         "op9_sharding": sharding.op9_sharding,
         "op10_line_dedup": linededup.op10_line_dedup,
