@@ -1,7 +1,7 @@
 """MinHash near-duplicates with odd sketches.
 
 Every text becomes the set of its distinct five-word shingles (64-bit hashes),
-128 MinHash samples of it, 32 bands of four samples, and an odd sketch: the
+512 MinHash samples of it, 32 bands of four of them, and an odd sketch: the
 samples folded into a parity bitmap, so that the population count of two
 bitmaps' XOR estimates high similarities. Texts of equal sets form a class
 with one representative. Representatives that share a band's bucket are
@@ -36,15 +36,16 @@ from pyspark.sql import functions as F
 from graphlens.llm import common, textkit
 
 WORDS, PERCENT = 5, 75
-SAMPLES, BANDS, BITS = 128, 32, 1024
+#: MinHash samples of the sketch, the first of which make the bands; bits of the sketch.
+SAMPLES, BANDS, ROWS, BITS = 512, 32, 4, 4096
 #: Estimated similarity below which a candidate is dropped.
-MARGIN = 0.55
+MARGIN = 0.66
 #: Members of a bucket that are compared in one block.
 BLOCK = 1024
 
 _random = np.random.Generator(np.random.PCG64(75))
-_XOR = _random.integers(0, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64)
-_ODD = _random.integers(0, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_XOR = _random.integers(0, 2**32, SAMPLES, dtype=np.uint32)
+_ODD = _random.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -55,15 +56,17 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def samples(own: np.ndarray) -> np.ndarray:
-    out = np.full(SAMPLES, np.uint64(2**64 - 1))
-    for k in range(0, len(own), 2048):
-        np.minimum(out, ((own[k : k + 2048] ^ _XOR[:, None]) * _ODD[:, None]).min(1), out=out)
+    """SAMPLES MinHash values of a set of 64-bit hashes."""
+    own = (own >> np.uint64(32)).astype(np.uint32)
+    out = np.full(SAMPLES, np.uint32(2**32 - 1))
+    for k in range(0, len(own), 512):
+        np.minimum(out, ((own[k : k + 512] ^ _XOR[:, None]) * _ODD[:, None]).min(1), out=out)
     return out
 
 
 def odd_sketches(sampled: np.ndarray) -> np.ndarray:
     """(texts, SAMPLES) -> (texts, BITS / 8) parity bitmaps."""
-    bit = textkit.mix(sampled ^ (_XOR + np.arange(SAMPLES, dtype=np.uint64))) % np.uint64(BITS)
+    bit = textkit.mix(sampled.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(BITS)
     flat = (bit.astype(np.int64) + np.arange(len(sampled))[:, None] * BITS).ravel()
     return np.packbits((np.bincount(flat, minlength=len(sampled) * BITS) & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
 
@@ -78,12 +81,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offs = textkit.flat(batch.column(1))
         for i, j in textkit.chunks(offs):
             sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            sampled = np.array([samples(s) for s in sets], np.uint64).reshape(j - i, SAMPLES)
+            sampled = np.array([samples(s) for s in sets], np.uint32).reshape(j - i, SAMPLES)
             mixed = [textkit.mix(s) for s in sets]
             keys = np.array([(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(m) if len(m) else 0) for s, m in zip(sets, mixed)], np.uint64).reshape(j - i, 2).view(np.int64)
-            rows = sampled.reshape(j - i, BANDS, -1)
+            rows = sampled[:, : BANDS * ROWS].astype(np.uint64).reshape(j - i, BANDS, ROWS)
             band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], j - i, 0)
-            for r in range(rows.shape[2]):
+            for r in range(ROWS):
                 band = textkit.mix(band * np.uint64(0x9FB21C651E98DF25) + rows[:, :, r])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = tried.select("rep", "pivot", "sketch", "other").mapInArrow(_estimated, "a long, b long, near double")
     pairs = near.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
     label = None
-    for best, low, high in ((0, 0, 0), (3, MARGIN, 9.0), (None, 0.7, 9.0), (None, MARGIN, 0.7)):
+    for best, low, high in ((0, 0, 0), (3, MARGIN, 9.0), (None, 0.72, 9.0), (None, MARGIN, 0.72)):
         if label is not None:
             pairs = _mixed_pairs(buckets, sketches, label, best, low, high)
         pairs = common.stored(pairs, "pairs")
