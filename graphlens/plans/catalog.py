@@ -1,15 +1,519 @@
-"""Registered queries over the driver's tables, each with its DuckDB oracle."""
+"""Registered queries over the driver's tables, each with its DuckDB oracle where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return queries()["topk_paths"](spark, sf_dir)
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from graphlens import tables
+from graphlens.functions import logs as L
+from graphlens.operators import edges as E
+from graphlens.operators import identity, lookup, neighbors, paths, rank, reach, select, stitch, templates
+from graphlens.plans import analysis, derive
+from graphlens.schema import Graph
+from graphlens.sources import text as source_text
 
-def queries() -> dict:
-    return {}
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+#: Ends of the path queries, by part key.
+PAIRS = ((1, 50), (2, 60), (3, 70), (4, 80), (5, 5))
+DEPTH, K = 4, 5
+
+
+def query(name: str, oracle: str | None = None, graph: bool = True):
+    def put(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = (f"WITH RECURSIVE {derive.SQL} {oracle}" if graph else oracle).strip()
+        return f
+
+    return put
+
+
+def _stored(graph: Graph) -> Graph:
+    return Graph(tables.stored(graph.entities, "entities"), tables.stored(graph.relations, "relations"))
+
+
+def homonyms(spark, d):
+    return _stored(derive.part_graph(spark, d, unique=False))
+
+
+def by_key(spark, d):
+    return _stored(derive.part_graph(spark, d, unique=True))
+
+
+def pairs(spark) -> DataFrame:
+    return spark.createDataFrame([(n, str(a), str(b)) for n, (a, b) in enumerate(PAIRS)], "qid int, start string, goal string")
+
+
+PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(PAIRS)) + ") t(qid, start, goal))"
+
+
+def joined(column: str):
+    return F.array_join(column, ">")
+
+
+# --- identity and lookup ---
+
+
+@query("decl_impl_map", "SELECT k::VARCHAR AS id, canon::VARCHAR AS canon_id FROM canon")
+def _(spark, d):
+    return identity.decl_impl_map(homonyms(spark, d))
+
+
+@query("normalize_ids", "SELECT fn.id, coalesce(canon, fn.k)::VARCHAR AS norm_id FROM fn LEFT JOIN canon USING (k)")
+def _(spark, d):
+    g = homonyms(spark, d)
+    return identity.normalize(g.of("FUNCTION").select("id"), identity.decl_impl_map(g), "id", "norm_id")
+
+
+@query("equiv_ids", "SELECT k::VARCHAR AS id, eq::VARCHAR AS eq_id FROM equiv")
+def _(spark, d):
+    return identity.equivalents(homonyms(spark, d))
+
+
+@query("name_ids", "SELECT hname AS name, id FROM fn")
+def _(spark, d):
+    return identity.name_ids(homonyms(spark, d)).select("name", "id")
+
+
+_KNOWN = ", ".join(f"('{n}')" for n in identity.KNOWN_ASYNC)
+
+
+@query("async_set", f"SELECT DISTINCT name FROM (SELECT uname AS name FROM fn WHERE uname LIKE 'queue_work%' UNION ALL SELECT * FROM (VALUES {_KNOWN}) t(name))")
+def _(spark, d):
+    return identity.async_functions(by_key(spark, d))
+
+
+@query("graph_stats", """
+SELECT 'entity' AS kind, 'FUNCTION' AS type, count(DISTINCT uname) AS n FROM fn
+UNION ALL SELECT 'entity', 'FIELD', count(*) FROM brands
+UNION ALL SELECT 'entity', 'VARIABLE', count(DISTINCT p_size) FROM fn
+UNION ALL SELECT 'entity', 'STRUCT', count(DISTINCT p_type) FROM fn
+UNION ALL SELECT 'relation', 'CALLS', count(*) FROM calls
+UNION ALL SELECT 'relation', 'ASSIGNED_TO', count(*) FROM assigned
+UNION ALL SELECT 'relation', 'CONTAINS', count(*) FROM fn
+UNION ALL SELECT 'relation', 'TYPE_OF', count(*) FROM (SELECT DISTINCT p_size, p_type FROM fn)""")
+def _(spark, d):
+    return identity.graph_stats(by_key(spark, d))
+
+
+@query("find_function", "SELECT hname AS name, last.k::VARCHAR AS id, 'src/' || lower(p_type) || '.c' AS file FROM last JOIN fn USING (hname, k)")
+def _(spark, d):
+    return lookup.find_function(homonyms(spark, d), F.col("name")).select("name", "id", "file")
+
+
+@query("find_by_pattern", "SELECT hname AS name, min(k) AS first_ord FROM fn WHERE hname ILIKE '%RI%' GROUP BY hname ORDER BY first_ord LIMIT 10")
+def _(spark, d):
+    return lookup.find_by_pattern(homonyms(spark, d), "RI")
+
+
+@query("exists_lookup", """
+SELECT type, name FROM (
+  SELECT DISTINCT 'FUNCTION' AS type, hname AS name FROM fn UNION SELECT 'FUNCTION', lower(p_type) FROM fn
+  UNION SELECT 'FIELD', hname FROM fn UNION SELECT 'STRUCT', lower(p_type) FROM fn)
+WHERE (type = 'FUNCTION' AND name IN (SELECT hname FROM fn)) OR type = 'STRUCT'""")
+def _(spark, d):
+    part = derive.table(spark, d, "part")
+    own = lambda kind, name: part.select(F.lit(kind).alias("type"), name.alias("name"))
+    keys = own("FUNCTION", F.col("p_name")).union(own("FUNCTION", F.lower("p_type"))).union(own("FIELD", F.col("p_name"))).union(own("STRUCT", F.lower("p_type"))).distinct()
+    return lookup.exists(homonyms(spark, d), keys)
+
+
+@query("keyword_search", """
+SELECT * FROM (
+  SELECT hname AS name, min(k) AS first_ord,
+         (contains(hname, 'red')::INT + contains(hname, 'bolt')::INT + contains(hname, 'ring')::INT) AS score
+  FROM fn GROUP BY hname) WHERE score > 0 ORDER BY score DESC, first_ord LIMIT 50""")
+def _(spark, d):
+    return lookup.keyword_search(homonyms(spark, d), ["red", "Bolt", "ring"])
+
+
+@query("has_direct_call", """
+SELECT DISTINCT a.uname AS caller, b.uname AS callee FROM fn a JOIN fn b ON b.k = a.k + 1
+JOIN calls c ON c.head = a.k AND c.nxt = b.k WHERE c.flag <> 'R'""")
+def _(spark, d):
+    key = F.col("p_partkey")
+    asked = derive.table(spark, d, "part").select(derive.unique_name(key).alias("caller"), derive.unique_name(key + 1).alias("callee"))
+    return lookup.direct_calls(by_key(spark, d), asked)
+
+
+# --- edges and neighbours ---
+
+_NAME_EDGES = """name_edges AS (
+  SELECT DISTINCT h.hname AS caller, t.hname AS callee
+  FROM calls c JOIN equiv e ON e.eq = c.head JOIN fn h ON h.k = e.k
+  LEFT JOIN canon n ON n.k = c.nxt JOIN fn t ON t.k = coalesce(n.canon, c.nxt) WHERE c.flag <> 'R')"""
+
+
+@query("callees", f", {_NAME_EDGES} SELECT * FROM name_edges")
+def _(spark, d):
+    g = homonyms(spark, d)
+    return neighbors.callees(g, g.of("FUNCTION").select("name"))
+
+
+@query("callers", f", {_NAME_EDGES} SELECT * FROM name_edges WHERE contains(callee, 'bolt')")
+def _(spark, d):
+    g = homonyms(spark, d)
+    return neighbors.callers(g, g.of("FUNCTION").where(F.contains("name", F.lit("bolt"))).select("name"))
+
+
+@query("callees_with_lines", """
+SELECT id, callee, call_line, is_indirect, count(*) AS n FROM (
+  SELECT e.k::VARCHAR AS id, t.hname AS callee, c.call_line, false AS is_indirect
+  FROM calls c JOIN equiv e ON e.eq = c.head LEFT JOIN canon m ON m.k = c.nxt JOIN fn t ON t.k = coalesce(m.canon, c.nxt) WHERE c.flag <> 'R'
+  UNION ALL
+  SELECT e.k::VARCHAR, a.callee, c.call_line, true
+  FROM calls c JOIN equiv e ON e.eq = c.head JOIN fn t ON t.k = c.nxt
+  JOIN (SELECT DISTINCT field, hname AS callee FROM fn WHERE p_size = 1) a ON a.field = t.field WHERE c.flag = 'R')
+GROUP BY ALL""")
+def _(spark, d):
+    return E.callees_with_lines(homonyms(spark, d)).groupBy("id", "callee", "call_line", "is_indirect").agg(F.count("*").alias("n"))
+
+
+@query("assigned_to", "SELECT DISTINCT field, hname AS target FROM fn WHERE p_size = 1")
+def _(spark, d):
+    return E.assigned_functions(homonyms(spark, d))
+
+
+@query("assigned_with_context", "SELECT field, hname AS target, p_type AS context_var_name FROM fn WHERE p_size = 1")
+def _(spark, d):
+    return E.assigned_with_context(homonyms(spark, d)).select("field", "target", "context_var_name")
+
+
+@query("async_edges", """
+SELECT DISTINCT h.uname AS caller, n.uname AS async_callee, t.uname AS target, n.field
+FROM calls c JOIN fn h ON h.k = c.head JOIN fn n ON n.k = c.nxt JOIN fn t ON t.field = n.field AND t.p_size = 1
+WHERE c.flag <> 'R' AND c.nxt % 10 = 7""")
+def _(spark, d):
+    return E.async_edges(by_key(spark, d)).select("caller", "async_callee", "target", "field")
+
+
+_BRIDGED = "bridged AS (SELECT uname AS b, k, CASE WHEN contains(field, 'func') THEN 'async' ELSE 'function_pointer' END AS bridge_type FROM fn WHERE p_size = 1 AND (contains(field, 'func') OR contains(field, 'ops')))"
+
+
+@query("bridge_pairs", f""", {_BRIDGED}
+SELECT DISTINCT h.uname AS a, b, bridge_type FROM calls c JOIN fn h ON h.k = c.head JOIN bridged ON bridged.k = c.nxt WHERE c.flag <> 'R'""")
+def _(spark, d):
+    g = by_key(spark, d)
+    asked = neighbors.name_edges(g).select(F.col("caller").alias("a"), F.col("callee").alias("b"))
+    return E.bridge_pairs(g, asked).select("a", "b", "bridge_type")
+
+
+@query("function_context", f""", {_NAME_EDGES}
+SELECT hname AS name, 'src/' || lower(fn.p_type) || '.c' AS file, hname || '();' AS code,
+  coalesce((SELECT string_agg(caller, '>' ORDER BY caller) FROM name_edges WHERE callee = hname), '') AS callers,
+  coalesce((SELECT string_agg(callee, '>' ORDER BY callee) FROM name_edges WHERE caller = hname), '') AS callees,
+  (SELECT string_agg(v, '>' ORDER BY v) FROM (SELECT DISTINCT 'size' || f.p_size AS v FROM fn f WHERE f.hname = last.hname)) AS variables,
+  (SELECT string_agg(s, '>' ORDER BY s) FROM (SELECT DISTINCT lower(g.p_type) AS s FROM fn f JOIN fn g ON g.p_size = f.p_size WHERE f.hname = last.hname)) AS structs
+FROM last JOIN fn USING (hname, k)""")
+def _(spark, d):
+    g = homonyms(spark, d)
+    out = neighbors.function_context(g, g.of("FUNCTION").select("name"))
+    return out.select("name", "file", "code", *[joined(c).alias(c) for c in ("callers", "callees", "variables", "structs")])
+
+
+@query("call_frequency", f""", {_NAME_EDGES}
+SELECT name, n_callers, n_sites
+FROM (SELECT callee AS name, count(*) AS n_callers FROM name_edges GROUP BY callee)
+JOIN (SELECT t.hname AS name, count(*) AS n_sites FROM calls c LEFT JOIN canon m ON m.k = c.nxt JOIN fn t ON t.k = coalesce(m.canon, c.nxt) WHERE c.flag <> 'R' GROUP BY t.hname) USING (name)""")
+def _(spark, d):
+    return neighbors.call_frequency(homonyms(spark, d))
+
+
+# --- reach and paths ---
+
+_HOPS = "hops AS (SELECT DISTINCT head AS src, nxt AS dst FROM calls WHERE flag <> 'R')"
+
+
+def hops(spark, d) -> DataFrame:
+    return tables.stored(by_key(spark, d).rel("CALLS").where("call_type = 'direct'").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct(), "hops")
+
+
+_WALK = f""", {_HOPS}, {PAIRS_SQL},
+walk AS (
+  SELECT qid, goal, start AS node, [start::VARCHAR] AS path FROM pairs
+  UNION ALL
+  SELECT qid, goal, dst, list_append(path, dst::VARCHAR) FROM walk JOIN hops ON src = node
+  WHERE node <> goal AND len(path) < {DEPTH} AND NOT list_contains(path, dst::VARCHAR))"""
+
+
+@query("shortest_path", _WALK + """
+SELECT qid, array_to_string(path, '>') AS path, len(path)::INT AS length
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(path), path) AS n FROM walk WHERE node = goal) WHERE n = 1""")
+def _(spark, d):
+    return reach.shortest_path(hops(spark, d), pairs(spark), DEPTH).withColumn("path", joined("path"))
+
+
+@query("all_simple_paths", _WALK + " SELECT qid, array_to_string(path, '>') AS path, len(path)::INT AS length FROM walk WHERE node = goal")
+def _(spark, d):
+    return reach.simple_paths(hops(spark, d), pairs(spark), DEPTH).withColumn("path", joined("path"))
+
+
+def _levels_sql(a: str, b: str, start: str) -> str:
+    return f""", {_HOPS}, {PAIRS_SQL}, spread AS (
+  SELECT qid, {start} AS node, 0 AS level FROM pairs
+  UNION SELECT qid, {b}, level + 1 FROM spread JOIN hops ON {a} = node WHERE level < 3)
+SELECT qid, node::VARCHAR AS node, min(level) AS level FROM spread GROUP BY qid, node"""
+
+
+@query("reach_forward", _levels_sql("src", "dst", "start"))
+def _(spark, d):
+    return reach.levels(hops(spark, d), pairs(spark).select("qid", F.col("start").alias("node")), 3)
+
+
+@query("reach_backward", _levels_sql("dst", "src", "goal"))
+def _(spark, d):
+    back = hops(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach.levels(back, pairs(spark).select("qid", F.col("goal").alias("node")), 3)
+
+
+def _chains_sql(k: int) -> str:
+    return f""", {PAIRS_SQL},
+chains AS (
+  SELECT qid, goal, start AS node, false AS arrived, [start] AS ids, 0::BIGINT AS sum_line, 0 AS n_line, 0 AS indirect_count,
+         []::VARCHAR[] AS lines, []::VARCHAR[] AS kinds FROM pairs
+  UNION ALL
+  SELECT qid, goal, dst, kind <> 'direct', CASE WHEN kind = 'async' THEN list_concat(ids, [mid, dst]) ELSE list_append(ids, dst) END,
+         sum_line + call_line, n_line + 1, indirect_count + (kind <> 'direct')::INT,
+         CASE WHEN kind = 'async' THEN list_concat(lines, [call_line::VARCHAR, '']) ELSE list_append(lines, call_line::VARCHAR) END,
+         CASE WHEN kind = 'async' THEN list_concat(kinds, ['direct', 'async']) ELSE list_append(kinds, kind) END
+  FROM chains JOIN uedges ON src = node
+  WHERE node <> goal AND (kind <> 'indirect' OR NOT arrived) AND len(ids) + (CASE WHEN kind = 'async' THEN 2 ELSE 1 END) <= {DEPTH}
+    AND NOT list_contains(ids, dst) AND (mid IS NULL OR NOT list_contains(ids, mid))),
+scored AS (
+  SELECT qid, ids, kinds, lines, len(ids)::INT AS length, indirect_count,
+         1000.0::DOUBLE - len(ids) - indirect_count * 10 - (CASE WHEN n_line > 0 THEN sum_line::DOUBLE / n_line ELSE 0.0 END) / 100 AS score,
+         CASE WHEN n_line > 0 THEN sum_line::DOUBLE / n_line ELSE 0.0 END AS avg_call_line,
+         array_to_string([(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN ids], '>') AS path,
+         array_to_string(lines, '>') AS line_text
+  FROM chains WHERE node = goal),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, length, path, line_text)::INT AS rank FROM scored
+  QUALIFY rank <= {k})"""
+
+
+_CHAINS = _chains_sql(K)
+#: So many chains of each pair are looked at for breaks: the best ones seldom have any.
+MANY = 5000
+
+
+def _topk(spark, d, mode="exact", keys=None, k=K):
+    g = by_key(spark, d)
+    names = g.of("FUNCTION").select(F.col("id").alias("node"), "name")
+    return paths.topk_paths(E.search_edges(g), pairs(spark), names, k, DEPTH, mode, keys)
+
+
+def _lines():
+    return F.array_join(F.transform("call_lines", lambda x: F.coalesce(x.cast("string"), F.lit(""))), ">")
+
+
+@query("topk_paths", _CHAINS + " SELECT qid, rank, path, line_text AS lines, score, length, indirect_count, avg_call_line FROM top")
+def _(spark, d):
+    return _topk(spark, d).select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length", "indirect_count", "avg_call_line")
+
+
+@query("topk_first_k")
+def _(spark, d):
+    return _topk(spark, d, "first_k").select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length")
+
+
+@query("path_breaks", _chains_sql(MANY) + """
+SELECT qid, rank, (i - 1)::INT AS position, string_split(path, '>')[i] AS "from", string_split(path, '>')[i + 1] AS "to",
+       true AS fixed, CASE kinds[i] WHEN 'async' THEN 'async' ELSE 'function_pointer' END AS method
+FROM (SELECT *, unnest(range(1, length)) AS i FROM top) WHERE kinds[i] <> 'direct'""")
+def _(spark, d):
+    return rank.path_breaks(_topk(spark, d, k=MANY))
+
+
+@query("path_summary", _CHAINS + """
+SELECT qid, count(*) AS n_paths, min(length) AS min_length, max(length) AS max_length, avg(length) AS avg_length,
+       min(indirect_count) AS min_indirect, max(indirect_count) AS max_indirect, max(score) AS best_score FROM top GROUP BY qid""")
+def _(spark, d):
+    return rank.path_summary(_topk(spark, d))
+
+
+@query("key_boost", _CHAINS + f""",
+boosted AS (SELECT *, (list_contains(string_split(path, '>'), 'fn_10')::INT + list_contains(string_split(path, '>'), 'queue_work_17')::INT + list_contains(string_split(path, '>'), 'fn_20')::INT)::INT AS m FROM scored)
+SELECT qid, rank, path, line_text AS lines, score + m * 50.0::DOUBLE AS score, m AS matched, m / 3.0::DOUBLE AS key_coverage FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score + m * 50.0::DOUBLE DESC, length, path, line_text)::INT AS rank FROM boosted) WHERE rank <= {K}""")
+def _(spark, d):
+    keys = pairs(spark).select("qid", F.array(F.lit("fn_10"), F.lit("queue_work_17"), F.lit("fn_20")).alias("keys"))
+    return _topk(spark, d, keys=keys).select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", F.size("matched_key_functions").alias("matched"), "key_coverage")
+
+
+def _named_pairs(spark) -> DataFrame:
+    return pairs(spark).select("qid", derive.unique_name(F.col("start").cast("int")).alias("start"), derive.unique_name(F.col("goal").cast("int")).alias("goal"))
+
+
+@query("stitch_paths", f""", {_HOPS}, {PAIRS_SQL}, {_BRIDGED},
+ahead AS (
+  SELECT qid, start AS node, [start] AS p FROM pairs UNION ALL
+  SELECT qid, dst, list_append(p, dst) FROM ahead JOIN hops ON src = node WHERE len(p) <= {DEPTH // 2}),
+back AS (
+  SELECT qid, goal AS node, [goal] AS p FROM pairs UNION ALL
+  SELECT qid, src, list_prepend(src, p) FROM back JOIN hops ON dst = node WHERE len(p) <= {DEPTH // 2}),
+named AS (
+  SELECT 1 AS side, qid, node, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN p] AS p FROM ahead
+  UNION ALL SELECT 2, qid, node, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN p] FROM back),
+best AS (SELECT side, qid, node, p FROM named QUALIFY row_number() OVER (PARTITION BY side, qid, node ORDER BY len(p), p) = 1),
+met AS (
+  SELECT a.qid, fn.uname AS node, a.p AS f, b.p AS b, CASE WHEN len(a.p) >= 2 AND len(b.p) >= 2 THEN bridged.bridge_type END AS bridge_type
+  FROM best a JOIN best b ON a.qid = b.qid AND a.node = b.node AND a.side = 1 AND b.side = 2 JOIN fn ON fn.k = a.node LEFT JOIN bridged ON bridged.b = b.p[2])
+SELECT qid, node, coalesce(bridge_type, '') AS bridge_type, array_to_string(list_concat(f, b[2:]), '>') AS path FROM met
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (bridge_type IS NOT NULL) DESC, len(f) + len(b) - 1, node) = 1""")
+def _(spark, d):
+    return stitch.stitch_paths(by_key(spark, d), _named_pairs(spark), DEPTH).select("qid", "node", F.coalesce("bridge_type", F.lit("")).alias("bridge_type"), joined("path").alias("path"))
+
+
+@query("layered_paths")
+def _(spark, d):
+    return stitch.layered_paths(by_key(spark, d), _named_pairs(spark), DEPTH).withColumn("path", joined("path"))
+
+
+@query("break_repairs")
+def _(spark, d):
+    g = by_key(spark, d)
+    found = tables.stored(stitch.stitch_paths(g, _named_pairs(spark), DEPTH), "stitched")
+    return stitch.break_repairs(g, found)
+
+
+@query("report_json")
+def _(spark, d):
+    asked = _named_pairs(spark).select(F.col("qid").cast("string").alias("log_id"), F.col("start").alias("start_func"), F.col("goal").alias("end_func"), F.array(F.lit("fn_10")).alias("intermediate_funcs"))
+    out = analysis.analyse_functions(by_key(spark, d), asked, K, DEPTH)
+    return out.select("log_id", "success", "path_count", F.to_json("paths").alias("paths"), "error")
+
+
+# --- logs and texts ---
+
+
+def event_logs(spark, d) -> DataFrame:
+    """(log_id, text): a log of each event."""
+    text = F.concat(F.lit("mmc"), F.col("user_id").cast("string"), F.lit(": "), "event_type", F.lit(" failed: code -"), (F.col("event_id") % 50).cast("string"), F.lit("\n"), F.col("event_type"), F.lit(" "), "props", F.lit("\n"), F.lit("usb whilst probe_"), "event_type", F.lit(" (drivers/mmc/"), "event_type", F.lit(".c:"), F.col("user_id").cast("string"), F.lit(":)"))
+    return derive.table(spark, d, "events").select(F.col("event_id").cast("string").alias("log_id"), text.alias("text"))
+
+
+EVENT_LOGS = """logs AS (SELECT event_id::VARCHAR AS log_id, 'mmc' || user_id || ': ' || event_type || ' failed: code -' || (event_id % 50) || chr(10) || event_type || ' ' || props || chr(10)
+  || 'usb whilst probe_' || event_type || ' (drivers/mmc/' || event_type || '.c:' || user_id || ':)' AS text FROM events)"""
+
+
+def _list_query(name: str, column, sql: str):
+    @query(name, f"WITH {EVENT_LOGS} SELECT log_id, array_to_string({sql}, '>') AS found FROM logs", graph=False)
+    def _(spark, d):
+        return event_logs(spark, d).select("log_id", F.array_join(F.transform(column(F.col("text")), lambda x: x.cast("string")), ">").alias("found"))
+
+
+_ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_MESSAGES = r"list_concat(list_concat(regexp_extract_all(text, '(?i)error[:\s]+(.+?)(?:\n|$)', 1), regexp_extract_all(text, '(?i)failed[:\s]+(.+?)(?:\n|$)', 1)), regexp_extract_all(text, '(.+?whilst.+?)(?:\n|$)', 1))"
+_list_query("log_errors", L.error_messages, _ORDERED.format(_MESSAGES))
+_list_query("log_codes", L.error_codes, "[x::BIGINT FOR x IN regexp_extract_all(text, '-?\\d+') IF x LIKE '-%' OR x::BIGINT > 0]")
+_list_query("log_functions", L.functions, _ORDERED.format(r"regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]+)\s*\(', 1)"))
+_list_query("log_files", L.files, _ORDERED.format(r"regexp_extract_all(text, '([/\w]+\.c)', 1)"))
+_list_query("log_lines", L.line_numbers, r"[x::INT FOR x IN regexp_extract_all(text, ':(\d+):', 1)]")
+
+# templates over the conversations' lines
+TEMPLATES = (("m1", 'pr_err("the %s of\\n", x)', "f_the"), ("m2", 'dev_err(d, "ing")', "f_ing"), ("m3", 'pr_err("%d and %s the %x", a)', "f_and"), ("m4", 'pr_err("on. %p")', "f_dot"), ("m5", "no quotes", "f_none"))
+_TEMPLATE_SQL = "messages AS (SELECT * FROM (VALUES ('m1', '\\Qthe \\E.*?\\Q of\\E', 'f_the', 0), ('m2', '\\Qing\\E', 'f_ing', 1), ('m3', '\\Q\\E.*?\\Q and \\E.*?\\Q the \\E.*?\\Q\\E', 'f_and', 2), ('m4', '\\Qon. \\E.*?\\Q\\E', 'f_dot', 3)) t(message_id, pattern, function, message_ord))"
+_LINES_SQL = """raw AS (SELECT conv_id || '-' || turn AS log_id, unnest([trim(translate(x, chr(9) || chr(13), '  '), ' ') FOR x IN string_split(text, chr(10)) IF trim(translate(x, chr(9) || chr(13), '  '), ' ') <> '']) AS log_line,
+  generate_subscripts([x FOR x IN string_split(text, chr(10)) IF trim(translate(x, chr(9) || chr(13), '  '), ' ') <> ''], 1) AS line_number FROM conversations)"""
+_MATCHED_SQL = f"""WITH {_TEMPLATE_SQL}, {_LINES_SQL}, matched AS (
+  SELECT log_id, line_number::INT AS line_number, message_id, function, message_ord, regexp_extract(log_line, '(?i)' || pattern) AS matched_text, length(regexp_extract(log_line, '(?i)' || pattern)) / length(log_line)::DOUBLE AS similarity
+  FROM raw JOIN messages ON regexp_matches(log_line, '(?i)' || pattern))"""
+
+
+def _messages(spark) -> DataFrame:
+    return spark.createDataFrame([(*m, n) for n, m in enumerate(TEMPLATES)], "message_id string, name string, function string, ord long")
+
+
+def _conversation_matches(spark, d) -> DataFrame:
+    logs = derive.table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("log_id"), "text")
+    return templates.match_lines(templates.log_lines(logs), _messages(spark))
+
+
+@query("template_compile", f"WITH {_TEMPLATE_SQL} SELECT message_id, pattern FROM messages", graph=False)
+def _(spark, d):
+    return templates.compiled(_messages(spark)).select("message_id", "pattern")
+
+
+@query("template_match", _MATCHED_SQL + " SELECT log_id, line_number, message_id, matched_text, similarity FROM matched", graph=False)
+def _(spark, d):
+    return _conversation_matches(spark, d).select("log_id", "line_number", "message_id", "matched_text", "similarity")
+
+
+@query("best_template", _MATCHED_SQL + """
+SELECT log_id, line_number, arg_min(message_id, (-similarity, message_ord)) AS message_id, string_agg(function, '>' ORDER BY similarity DESC, message_ord) AS candidates
+FROM matched GROUP BY log_id, line_number""", graph=False)
+def _(spark, d):
+    return templates.best_matches(_conversation_matches(spark, d)).select("log_id", "line_number", "message_id", joined("candidates").alias("candidates"))
+
+
+SUBGRAPHS = (("mmc", ["tuning", "whilst"]), ("usb", ["probe", "click"]), ("net", ["purchase", "eth"]), ("sound", ["view", "error", "code"]))
+_SUBGRAPH_SQL = "subgraphs AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k})" for n, k in SUBGRAPHS) + ") t(subgraph, keywords))"
+
+
+@query("subgraph_select", f"""WITH {EVENT_LOGS}, {_SUBGRAPH_SQL}, scores AS (
+  SELECT log_id AS text_id, subgraph, CASE WHEN contains(lower(text), subgraph) THEN 10 ELSE len(list_filter(keywords, lambda k: contains(lower(text), k)))::INT END AS score FROM logs, subgraphs)
+SELECT text_id, rank, subgraph, score FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, subgraph)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 3""", graph=False)
+def _(spark, d):
+    metadata = spark.createDataFrame([(n, k) for n, k in SUBGRAPHS], "subgraph string, keywords array<string>")
+    return select.select_subgraphs(event_logs(spark, d).select(F.col("log_id").alias("text_id"), "text"), metadata, 3)
+
+
+@query("locate_entities", """
+, asked AS (
+  SELECT s_suppkey AS log_id, CASE WHEN s_suppkey % 2 = 0 THEN 'RED BO' END AS start_name, CASE WHEN s_suppkey % 3 = 0 THEN p_name END AS end_name,
+         ['hot', 'nowhere', p_name, 'gear'] AS keys
+  FROM supplier JOIN part ON p_partkey = s_suppkey),
+names AS (SELECT DISTINCT unnest(keys) AS name FROM asked UNION SELECT 'RED BO'),
+known AS (SELECT hname AS located, min(k) AS o FROM fn GROUP BY hname),
+found AS (
+  SELECT name, coalesce((SELECT located FROM known WHERE located = name), (SELECT arg_min(located, o) FROM known WHERE contains(lower(located), lower(name)))) AS located FROM names),
+listed AS (
+  SELECT log_id, list(located ORDER BY i) AS l FROM (SELECT log_id, unnest(keys) AS name, generate_subscripts(keys, 1) AS i FROM asked) JOIN found USING (name) WHERE located IS NOT NULL GROUP BY log_id)
+SELECT log_id, coalesce((SELECT located FROM found WHERE name = start_name), l[1]) AS start_entity,
+       coalesce((SELECT located FROM found WHERE name = end_name), l[1]) AS end_entity, array_to_string(l[2:-2], '>') AS intermediates
+FROM asked JOIN listed USING (log_id)""")
+def _(spark, d):
+    supplier, part = derive.table(spark, d, "supplier"), derive.table(spark, d, "part")
+    key = F.col("s_suppkey")
+    parsed = supplier.join(part.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey").select(
+        key.alias("log_id"), F.when(key % 2 == 0, "RED BO").alias("start_name"), F.when(key % 3 == 0, F.col("p_name")).alias("end_name"), F.array(F.lit("hot"), F.lit("nowhere"), "p_name", F.lit("gear")).alias("keys"))
+    out = lookup.locate_entities(homonyms(spark, d), parsed)
+    return out.select("log_id", "start_entity", "end_entity", joined("intermediate_entities").alias("intermediates"))
+
+
+@query("source_slice", """
+SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 4 THEN chr(10) ELSE '' END AS code
+FROM documents WHERE len(string_split(text, chr(10))) > 1 AND NOT (len(string_split(text, chr(10))) = 2 AND text LIKE '%' || chr(10))""", graph=False)
+def _(spark, d):
+    docs = derive.table(spark, d, "documents")
+    return docs.select("doc_id", source_text.source_slice(F.col("text"), F.lit(2), F.lit(4)).alias("code")).where("code IS NOT NULL")
+
+
+@query("event_transitions", """
+SELECT event_type AS src, nxt AS dst, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+WHERE nxt IS NOT NULL GROUP BY ALL""", graph=False)
+def _(spark, d):
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return derive.table(spark, d, "events").select(F.col("event_type").alias("src"), after.alias("dst")).where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("props_variant", "SELECT event_type, sum((props->>'$.k')::INT)::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type", graph=False)
+def _(spark, d):
+    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    return derive.table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
+
+
+def flagship(spark, d):
+    return QUERIES["topk_paths"](spark, d)
+
+
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
