@@ -165,23 +165,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_pairs(best: int | None, low: float, high: float):
-    """Rows (key, i, j, side, rep, comp, sketch), sorted by block -> pairs of different components by estimated similarity."""
+    """Rows (key, i, j, side, rep, comp, sketch, bands), sorted by block -> pairs of different components by estimated similarity."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         rep, comp, side = (rows.column(c).to_numpy() for c in ("rep", "comp", "side"))
         own, lone = rows.column("i")[0].as_py() == rows.column("j")[0].as_py(), comp.min() == comp.max()
         if lone or len(rep) < 2:
             return None
-        maps = _bitmaps(rows.column("sketch"))
-        left = np.arange(len(rep)) if own else np.flatnonzero(side == 0)
-        right = np.arange(len(rep)) if own else np.flatnonzero(side == 1)
+        maps, key = _bitmaps(rows.column("sketch")), rows.column("key")[0].as_py()
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        every = np.arange(len(rep))
         out_a, out_b, out_n = [], [], []
-        for k in left.tolist():
-            others = right[right > k] if own and best is None else right
-            others = others[comp[others] != comp[k]]
+        for k in every.tolist():
+            others = every if own else np.flatnonzero(side != side[k])
+            others = others[comp[others] < comp[k]]  # each pair of components from one side
             if len(others):
                 near = estimate(np.bitwise_count(maps[others] ^ maps[k]).sum(1, dtype=np.int64))
                 fit = np.flatnonzero((near >= low) & (near < high))
+                alike = bands[others[fit]] == bands[k]
+                fit = fit[bands[k][alike.argmax(1)] == key]  # a pair belongs to the first bucket that it shares
                 if best is not None and len(fit) > best:
                     fit = fit[np.argsort(-near[fit], kind="stable")[:best]]
                 out_a.append(np.full(len(fit), rep[k]))
@@ -217,7 +219,7 @@ def _mixed_pairs(buckets: DataFrame, sketches: DataFrame, label: DataFrame, best
     mixed = known.join(held, "key").join(sketches, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sketch", "bands")
     sorted_ = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     return sorted_.mapInArrow(_block_pairs(best, low, high), "a long, b long, near double").select("a", "b").distinct()
 
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = None
     for best, low, high in ((0, 0, 0), (3, MARGIN, 9.0), (None, 0.72, 9.0), (None, MARGIN, 0.72)):
         if label is not None:
-            pairs = _mixed_pairs(buckets, sketches, label, best, low, high)
+            pairs = _mixed_pairs(buckets, reps, label, best, low, high)
         pairs = common.stored(pairs, "pairs")
         if label is not None and pairs.isEmpty():
             continue
