@@ -362,35 +362,36 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, full, first, last) -> (doc_id, n_bytes, spans, kept)."""
-    for batch in batches:
-        buf, offs = textkit.flat(batch.column(1))
-        k, row = _numbers(batch.column(2))
-        first, of = _numbers(batch.column(3))
-        last, _ = _numbers(batch.column(4))
-        cover = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(cover, first + offs[of], 1)
-        np.add.at(cover, last + offs[of] + WIDTH, -1)
-        for i, j in textkit.chunks(offs):
-            mine = (row >= i) & (row < j)
-            if mine.any():
-                p = Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                pick = np.searchsorted(p.text, row[mine] - i) + k[mine]
-                np.add.at(cover, p.lo[pick] + offs[i], 1)
-                np.add.at(cover, p.hi[pick] + offs[i] + WIDTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        edge = np.zeros(len(buf) + 2, bool)
-        edge[1:-1] = gone
-        starts = np.flatnonzero(edge[1:-1] & ~edge[:-2])
-        ends = np.flatnonzero(edge[1:-1] & ~edge[2:]) + 1
-        cuts = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(buf))]
-        cuts = np.unique(cuts[gone[cuts] & gone[cuts - 1]]) if len(cuts) else cuts
-        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
-        text = np.searchsorted(offs, starts, "right") - 1
-        sizes = np.diff(offs)
-        listed = np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array((starts - offs[text]).astype(np.int32)), pa.array((ends - offs[text]).astype(np.int32))], ["start", "end"])
-        kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(listed), spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+    for whole in batches:
+        _, cuts = textkit.flat(whole.column(1))
+        for a, b in textkit.chunks(cuts):
+            batch = whole.slice(a, b - a)
+            buf, offs = textkit.flat(batch.column(1))
+            k, row = _numbers(batch.column(2))
+            first, of = _numbers(batch.column(3))
+            last, _ = _numbers(batch.column(4))
+            cover = np.zeros(len(buf) + 1, np.int32)
+            np.add.at(cover, first + offs[of], 1)
+            np.add.at(cover, last + offs[of] + WIDTH, -1)
+            if len(k):
+                p = Parse(buf, offs)
+                pick = np.searchsorted(p.text, row) + k
+                np.add.at(cover, p.lo[pick], 1)
+                np.add.at(cover, p.hi[pick] + WIDTH, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            edge = np.zeros(len(buf) + 2, bool)
+            edge[1:-1] = gone
+            starts = np.flatnonzero(edge[1:-1] & ~edge[:-2])
+            ends = np.flatnonzero(edge[1:-1] & ~edge[2:]) + 1
+            inner = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(buf))]
+            inner = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
+            starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
+            text = np.searchsorted(offs, starts, "right") - 1
+            sizes = np.diff(offs)
+            listed = np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array((starts - offs[text]).astype(np.int32)), pa.array((ends - offs[text]).astype(np.int32))], ["start", "end"])
+            kept = [buf[i:j][~gone[i:j]].tobytes() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(listed), spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def _unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
