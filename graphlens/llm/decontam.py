@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The four-word shingles of the test items are counted over all documents. Each
-item keeps its rare ones as seeds (and its rarest ones in any case, so an item
-that leaked everywhere still has seeds). A document that holds a seed is
+item keeps its rare ones as seeds. Rare is meant against the item's own median
+too, so an item that leaked into many documents keeps its seeds, and those that
+an edited copy shares with the exact ones are not passed over for rarer ones. A document that holds a seed is
 aligned, around its hits, with the seed's item word by word; edits, insertions
 and deletions lower the score instead of hiding the copy.
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from graphlens.llm import common, textkit
 
 SEED_WORDS = 4
-#: A seed is rare if at most this share of documents holds it; the rarest MIN_SEEDS of an item are kept anyway.
-RARE_SHARE, MIN_SEEDS = 1e-4, 16
+#: A seed is rare if at most this share of documents holds it, or so many times the median of its item's seeds.
+RARE_SHARE, RARE_TIMES = 1e-4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible alignment score from which a document is contaminated.
 THRESHOLD = 0.5
@@ -76,10 +77,11 @@ class Items:
 
     def keep_rare(self, docs_with: dict[int, int], limit: float) -> None:
         count = np.array([docs_with.get(h, 0) for h in self.seed.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((self.at, count, self.item))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        kept = (count <= limit) | (place < MIN_SEEDS)
+        kept = np.zeros(len(count), bool)
+        order = np.argsort(self.item, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
+            if len(own):
+                kept[own] = count[own] <= max(limit, RARE_TIMES * float(np.median(count[own])))
         self.seed, self.at, self.item = self.seed[kept], self.at[kept], self.item[kept]
 
 
