@@ -29,4 +29,4 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df

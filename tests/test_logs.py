@@ -73,3 +73,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["function"] for r in spark.table("matched").collect()] == ["mmc_execute_tuning"]
+
+
+def test_command_line(spark, tmp_path):
+    from graphlens import cli
+
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "entity.json").write_text(json.dumps([{"id": k, "name": n, "type": "FUNCTION"} for k, n in enumerate("abc")]))
+    (tmp_path / "g" / "relation.json").write_text(json.dumps([{"head": 0, "tail": 1, "type": "CALLS", "call_line": 2}, {"head": 1, "tail": 2, "type": "CALLS", "call_line": 4}]))
+    out = tmp_path / "report.json"
+    assert cli.main(["--data-dir", str(tmp_path / "g"), "--start-func", "a", "--end-func", "c", "--max-depth", "4", "--output", str(out)]) == 0
+    assert json.loads(out.read_text())["best_path"]["path"] == ["a", "b", "c"]
+    assert cli.main(["--data-dir", str(tmp_path / "g"), "--start-func", "c", "--end-func", "a", "--max-depth", "4", "--output", str(out)]) == 1
