@@ -3,9 +3,10 @@
 The four-word shingles of the test items are counted over all documents. Each
 item keeps its rare ones as seeds. Rare is meant against the item's own median
 too, so an item that leaked into many documents keeps its seeds, and those that
-an edited copy shares with the exact ones are not passed over for rarer ones. A document that holds a seed is
-aligned, around its hits, with the seed's item word by word; edits, insertions
-and deletions lower the score instead of hiding the copy.
+an edited copy shares with the exact ones are not passed over for rarer ones. A
+document that holds a seed is aligned, around its hits, with the seed's item
+word by word; edits, insertions and deletions lower the score instead of hiding
+the copy.
 
 Test items go to the executors in slices of bounded size, one pass over the
 documents for each; nothing is shuffled but the counts of seeds.
