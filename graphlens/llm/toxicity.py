@@ -35,6 +35,8 @@ MAX_FEATURES, MIN_Z, MIN_DOCS = 4096, 5.0, 5
 FIT_ROWS = 16384
 ALPHA, L2, STEPS = 1.0, 1.0, 30
 THRESHOLD = 0.3
+#: Bytes of text that one vectorised step handles.
+STEP = 1 << 20
 
 _FOLD = textkit.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -71,7 +73,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offs = textkit.flat(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         rows += np.bincount(label, minlength=2)[:2]
-        for i, j in textkit.chunks(offs):
+        for i, j in textkit.chunks(offs, STEP):
             base = offs[i]
             found = grams(buf[base : offs[j]])
             for d in range(i, j):
@@ -94,7 +96,7 @@ def _counted(bucket, ones, zeros) -> pa.RecordBatch:
 def _presence(buf: np.ndarray, offs: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs of a batch, each once. slot: bucket -> feature, -1 for none."""
     texts, features = [], []
-    for i, j in textkit.chunks(offs):
+    for i, j in textkit.chunks(offs, STEP):
         base = offs[i]
         for n, x in grams(buf[base : offs[j]]):
             f = slot[x]
@@ -138,7 +140,7 @@ class Model:
 
 
 def fit_logistic(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """L2 logistic regression by L-BFGS-free Newton-CG steps on sparse rows of features scaled by scale."""
+    """L2 logistic regression by Newton steps, each solved by conjugate gradients, on sparse rows of features scaled by scale."""
     lengths = np.array([len(r) for r in rows])
     row = np.repeat(np.arange(len(rows)), lengths)
     col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
@@ -218,26 +220,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_feat
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus score (double); a column of that name is replaced."""
+    """docs plus score (double); a column of that name is replaced. Python sees the texts alone and returns the scores alone."""
     keep = [c for c in docs.columns if c != "score"]
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = textkit.flat(batch.column("text"))
-            yield batch.append_column("score", pa.array(model.score(buf, offs)))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(*textkit.flat(text)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep).mapInArrow(scored, f"{schema}, score double")
+    return docs.select(*keep, scored(F.col("text")).alias("score"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, common.table(spark, sf_dir, "labels"))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = textkit.flat(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(buf, offs))], ["doc_id", "score"])
-
-    out = docs.mapInArrow(scored, "doc_id long, score double")
+    out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
