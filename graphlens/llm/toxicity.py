@@ -35,8 +35,8 @@ MAX_FEATURES, MIN_Z, MIN_DOCS = 4096, 5.0, 5
 FIT_ROWS = 16384
 ALPHA, L2, STEPS = 1.0, 1.0, 30
 THRESHOLD = 0.3
-#: Bytes of text that one vectorised step handles.
-STEP = 1 << 20
+#: Bytes of text that one vectorised step handles; a longer text takes several.
+STEP = 1 << 19
 
 _FOLD = textkit.LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -65,6 +65,12 @@ def grams(buf: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+def _pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of at most about STEP that hold every n-gram of [start, end); an n-gram at a seam may be in two."""
+    for a in range(start, end, STEP):
+        yield a, min(a + STEP + max(SIZES) - 1, end)
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (bucket, ones, zeros) of a task, with bucket -1 for the rows themselves."""
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -74,13 +80,17 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         rows += np.bincount(label, minlength=2)[:2]
         for i, j in textkit.chunks(offs, STEP):
+            if j == i + 1:
+                found = [np.unique(x) for a, b in _pieces(offs[i], offs[j]) for _, x in grams(buf[a:b])]
+                if found:
+                    counts[label[i], np.unique(np.concatenate(found))] += 1
+                continue
             base = offs[i]
             found = grams(buf[base : offs[j]])
             for d in range(i, j):
-                for n, x in found:
-                    own = x[offs[d] - base : max(offs[d] - base, offs[d + 1] - base - n + 1)]
-                    if len(own):
-                        counts[label[d], np.unique(own)] += 1
+                own = [x[offs[d] - base : max(offs[d] - base, offs[d + 1] - base - n + 1)] for n, x in found]
+                if own:
+                    counts[label[d], np.unique(np.concatenate(own))] += 1
     at = np.flatnonzero(counts.any(0)).astype(np.int32)
     step = 100_000
     yield _counted(np.array([-1], np.int32), rows[1:].astype(np.int32), rows[:1].astype(np.int32))
@@ -95,21 +105,21 @@ def _counted(bucket, ones, zeros) -> pa.RecordBatch:
 
 def _presence(buf: np.ndarray, offs: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs of a batch, each once. slot: bucket -> feature, -1 for none."""
-    texts, features = [], []
+    width = max(int(slot.max()) + 1, 1)
+    pairs = [np.zeros(0, np.int64)]
     for i, j in textkit.chunks(offs, STEP):
-        base = offs[i]
-        for n, x in grams(buf[base : offs[j]]):
-            f = slot[x]
-            at = np.flatnonzero(f >= 0)
-            text = np.searchsorted(offs, at + base, "right") - 1
-            whole = at + base + n <= offs[text + 1]
-            texts.append(text[whole])
-            features.append(f[at[whole]].astype(np.int64))
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = int(slot.max()) + 1 if len(slot) else 1
-    pairs = np.unique(np.concatenate(texts) * max(width, 1) + np.concatenate(features))
-    return pairs // max(width, 1), pairs % max(width, 1)
+        found = []
+        for base, end in _pieces(offs[i], offs[j]):
+            for n, x in grams(buf[base:end]):
+                f = slot[x]
+                at = np.flatnonzero(f >= 0)
+                text = np.searchsorted(offs, at + base, "right") - 1
+                whole = at + base + n <= offs[text + 1]
+                found.append(np.unique(text[whole] * width + f[at[whole]]))
+        if found:
+            pairs.append(np.unique(np.concatenate(found)))
+    pair = np.concatenate(pairs)
+    return pair // width, pair % width
 
 
 class Model:
