@@ -47,8 +47,10 @@ WIDTH = 100
 GRAM, CORE = 8, 32
 #: One in so many places is a trigger of the first and of the second kind.
 RARE, DENSE = 40, 12
-#: Contexts that are sorted at once.
-SORTED = 1 << 15
+#: Contexts that are sorted at once (more only where one core has more).
+SORTED = 1 << 13
+#: Bytes of text that are parsed at once, and that one batch of records is made from (a longer text is one of its own).
+STEP, BATCH = 1 << 19, 1 << 23
 
 _ONE, _TWO = 65536 // RARE, 65536 // RARE + 65536 // DENSE
 
@@ -163,19 +165,25 @@ def _routes(spark, n: int) -> np.ndarray:
     return out
 
 
+def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts (second column) have at most BATCH bytes together, or one text, sorted by their first column."""
+    for batch in batches:
+        _, offs = textkit.flat(batch.column(1))
+        for i, j in textkit.chunks(offs, BATCH):
+            part = batch.slice(i, j - i)
+            yield part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
+
+
 def _parser(routes: np.ndarray):
     """(doc_id, text) -> (part, data): data is records (first byte 0) or repeats found already (1)."""
     n = len(routes)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+        for batch in _in_batches(batches):
             ids = batch.column(0).to_numpy()
             buf, offs = textkit.flat(batch.column(1))
             held = []
-            for i, j in textkit.chunks(offs):
+            for i, j in textkit.chunks(offs, STEP):
                 p = Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 held.append((p.core, p.context, ids[i + p.text], p.k.astype(np.int32)))
             core, context, doc, k = (np.concatenate(x) for x in zip(*held))
@@ -244,15 +252,12 @@ def _contexts(routes: np.ndarray):
     n = len(routes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy(), kind="stable")))
+        for batch in _in_batches(batches):
             ids = batch.column(0).to_numpy()
             buf, offs = textkit.flat(batch.column(1))
             k, row = _numbers(batch.column(2))
             core, doc, at, lo, hi, start = ([] for _ in range(6))
-            for i, j in textkit.chunks(offs):
+            for i, j in textkit.chunks(offs, STEP):
                 p = Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 mine = (row >= i) & (row < j)
                 pick = np.sort(np.searchsorted(p.text, row[mine] - i) + k[mine])
@@ -296,11 +301,15 @@ def solve_windows(text: np.ndarray, size: np.ndarray, left: np.ndarray, most: np
     """
     start = np.cumsum(size) - size
     reach = max(1, int(most.max()))
-    step = np.arange(reach)
-    phrase = np.where(step < left[:, None], text[np.maximum(start[:, None] + left[:, None] - 1 - step, 0)], 0).astype(np.uint8)
-    step = np.arange(width)
-    right_size = size - left
-    after = np.where(step < right_size[:, None], text[np.minimum(start[:, None] + left[:, None] + step, len(text) - 1)], 0).astype(np.uint8)
+    phrase = np.zeros((len(size), reach), np.uint8)
+    after = np.zeros((len(size), width), np.uint8)
+    for k in range(0, len(size), 2048):  # a block of rows at a time, as indices take eight times the bytes
+        own = slice(k, k + 2048)
+        trigger, room = (start + left)[own, None], (size - left)[own, None]
+        step = np.arange(reach)
+        phrase[own] = np.where(step < left[own, None], text[np.maximum(trigger - 1 - step, 0)], 0)
+        step = np.arange(width)
+        after[own] = np.where(step < room, text[np.minimum(trigger + step, len(text) - 1)], 0)
     phrase_rank, phrase_common = _ranked(phrase)
     after_rank, after_common = _ranked(after)
     found_row, found_a = [], []
@@ -364,7 +373,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, full, first, last) -> (doc_id, n_bytes, spans, kept)."""
     for whole in batches:
         _, cuts = textkit.flat(whole.column(1))
-        for a, b in textkit.chunks(cuts):
+        for a, b in textkit.chunks(cuts, STEP):
             batch = whole.slice(a, b - a)
             buf, offs = textkit.flat(batch.column(1))
             k, row = _numbers(batch.column(2))

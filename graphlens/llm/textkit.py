@@ -23,6 +23,7 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _BYTE_LOWER = _BYTE[LOWER]
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEPS = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -40,7 +41,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, CHUNK), base, U64)
+            steps = np.full(-(-n // _STEPS) * _STEPS, base, U64)
             steps[0] = 1
             _powers[k] = np.cumprod(steps)
     return _powers[0], _powers[1]
