@@ -49,8 +49,8 @@ GRAM, CORE = 8, 32
 RARE, DENSE = 40, 12
 #: Contexts that are sorted at once (more only where one core has more).
 SORTED = 1 << 13
-#: Bytes of text that are parsed at once, and that one batch of records is made from (a longer text is one of its own).
-STEP, BATCH = 1 << 19, 1 << 23
+#: Bytes of text that are parsed at once, that one batch of records is made from, and one of contexts (a longer text is one of its own).
+STEP, RECORDS, CONTEXTS = 1 << 19, 1 << 26, 1 << 23
 
 _ONE, _TWO = 65536 // RARE, 65536 // RARE + 65536 // DENSE
 
@@ -165,11 +165,11 @@ def _routes(spark, n: int) -> np.ndarray:
     return out
 
 
-def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts (second column) have at most BATCH bytes together, or one text, sorted by their first column."""
+def _in_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts (second column) have at most limit bytes together, or one text, sorted by their first column."""
     for batch in batches:
         _, offs = textkit.flat(batch.column(1))
-        for i, j in textkit.chunks(offs, BATCH):
+        for i, j in textkit.chunks(offs, limit):
             part = batch.slice(i, j - i)
             yield part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
 
@@ -179,7 +179,7 @@ def _parser(routes: np.ndarray):
     n = len(routes)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _in_batches(batches):
+        for batch in _in_batches(batches, RECORDS):
             ids = batch.column(0).to_numpy()
             buf, offs = textkit.flat(batch.column(1))
             held = []
@@ -252,7 +252,7 @@ def _contexts(routes: np.ndarray):
     n = len(routes)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _in_batches(batches):
+        for batch in _in_batches(batches, CONTEXTS):
             ids = batch.column(0).to_numpy()
             buf, offs = textkit.flat(batch.column(1))
             k, row = _numbers(batch.column(2))
