@@ -208,37 +208,70 @@ def _parser(routes: np.ndarray):
     return parse
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of a partition -> (doc_id, full, solve): numbers of boundaries that are repeats, and of those to be solved."""
-    cores, contexts, docs, ks = [], [], [], []
+def _dealt(doc: np.ndarray, k: np.ndarray, solve: np.ndarray, routes: np.ndarray) -> pa.RecordBatch:
+    """Flagged boundaries -> (part, data), a record for each partition of documents."""
+    n = len(routes)
+    where = (textkit.mix(doc.astype(np.uint64)) >> np.uint64(48)).astype(np.int64) * n >> 16
+    by = np.lexsort((k, doc, where))
+    cuts = np.searchsorted(where[by], np.arange(n + 1))
+    flagged = (k.astype(np.int64) * 2 + solve).astype("<i4")
+    parts, data = [], []
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        own = by[cuts[r] : cuts[r + 1]]
+        parts.append(routes[r])
+        data.append(_pack(*_places(doc[own], own), flagged[own]))
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+
+def _judge(routes: np.ndarray):
+    """Records of a partition -> (part, data): boundaries that are repeats, and those to be solved, dealt by document."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cores, contexts, docs, ks = [], [], [], []
+        for batch in batches:
+            for raw in batch.column(1).to_pylist():
+                if raw[0]:
+                    step, count, k = _unpack(zlib.decompress(raw[1:]), "<i8", "<u4", "<i4")
+                    yield _dealt(np.repeat(np.cumsum(step), count), k, np.zeros(len(k), bool), routes)
+                else:
+                    core, context, step, count, k = _unpack(raw[1:], "u1", "u1", "<i8", "<u4", "<i4")
+                    cores.append(_from_six(core)), contexts.append(_from_six(context))
+                    docs.append(np.repeat(np.cumsum(step), count)), ks.append(k)
+        if not cores:
+            return
+        core, context, doc, k = (np.concatenate(x) for x in (cores, contexts, docs, ks))
+        order = np.lexsort((k, doc, context, core))
+        core, context, doc, k = core[order], context[order], doc[order], k[order]
+        new_core = np.ones(len(core), bool)
+        new_core[1:] = core[1:] != core[:-1]
+        new_context = new_core.copy()
+        new_context[1:] |= context[1:] != context[:-1]
+        contexts_of = np.add.reduceat(new_context, np.flatnonzero(new_core)) if len(core) else np.zeros(0, np.int64)
+        several = contexts_of[np.cumsum(new_core) - 1] > 1
+        flagged = ~new_context | several
+        yield _dealt(doc[flagged], k[flagged], new_context[flagged], routes)
+
+    return judge
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flagged boundaries of a partition's documents -> (doc_id, full, solve): numbers of those that are repeats, and of those to be solved."""
+    docs, flags = [], []
     for batch in batches:
         for raw in batch.column(1).to_pylist():
-            if raw[0]:
-                step, count, k = _unpack(zlib.decompress(raw[1:]), "<i8", "<u4", "<i4")
-                ids = np.cumsum(step)
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(_lists(ids, (np.repeat(ids, count), k), (none, none)), ["doc_id", "full", "solve"])
-            else:
-                core, context, step, count, k = _unpack(raw[1:], "u1", "u1", "<i8", "<u4", "<i4")
-                cores.append(_from_six(core)), contexts.append(_from_six(context))
-                docs.append(np.repeat(np.cumsum(step), count)), ks.append(k)
-    if not cores:
+            step, count, flagged = _unpack(raw, "<i8", "<u4", "<i4")
+            docs.append(np.repeat(np.cumsum(step), count)), flags.append(flagged)
+    if not docs:
         return
-    core, context, doc, k = (np.concatenate(x) for x in (cores, contexts, docs, ks))
-    order = np.lexsort((k, doc, context, core))
-    core, context, doc, k = core[order], context[order], doc[order], k[order]
-    new_core = np.ones(len(core), bool)
-    new_core[1:] = core[1:] != core[:-1]
-    new_context = new_core.copy()
-    new_context[1:] |= context[1:] != context[:-1]
-    contexts_of = np.add.reduceat(new_context, np.flatnonzero(new_core)) if len(core) else np.zeros(0, np.int64)
-    several = contexts_of[np.cumsum(new_core) - 1] > 1
-    full, solve = ~new_context, new_context & several
-    ids = np.unique(doc[full | solve])
-    for a in range(0, len(ids), 50_000):
-        part = ids[a : a + 50_000]
-        inside = (doc >= part[0]) & (doc <= part[-1])
-        yield pa.RecordBatch.from_arrays(_lists(part, (doc[inside & full], k[inside & full]), (doc[inside & solve], k[inside & solve])), ["doc_id", "full", "solve"])
+    doc, flagged = np.concatenate(docs), np.concatenate(flags)
+    order = np.lexsort((flagged, doc))
+    doc, k, solve = doc[order], flagged[order] >> 1, (flagged[order] & 1).astype(bool)
+    ids = np.unique(doc)
+    for a in range(0, len(ids), 10_000):
+        part = ids[a : a + 10_000]
+        own = slice(np.searchsorted(doc, part[0]), np.searchsorted(doc, part[-1], "right"))
+        d, x, s = doc[own], k[own], solve[own]
+        yield pa.RecordBatch.from_arrays(_lists(part, (d[~s], x[~s]), (d[s], x[s])), ["doc_id", "full", "solve"])
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -424,8 +457,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = common.partitions(spark)
     routes = _routes(spark, n)
     sent = rows.mapInArrow(_parser(routes), "part int, data binary")
-    judged = sent.repartition(n, "part").mapInArrow(_judge, "doc_id long, full array<int>, solve array<int>")
-    flags = judged.groupBy("doc_id").agg(F.flatten(F.collect_list("full")).alias("full"), F.flatten(F.collect_list("solve")).alias("solve"))
+    judged = sent.repartition(n, "part").mapInArrow(_judge(routes), "part int, data binary")
+    flags = judged.repartition(n, "part").mapInArrow(_gather, "doc_id long, full array<int>, solve array<int>")
     flags = common.stored(flags, "repeat-flags")
     texts = rows.where("doc_id IS NOT NULL").repartition(n, "doc_id")  # one exchange, read by both joins
     edges = texts.join(flags.where(F.size("solve") > 0).select("doc_id", "solve"), "doc_id").select("doc_id", "text", "solve")
