@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The four-word shingles of the test items are counted over all documents. Each
-item keeps its rare ones as seeds. Rare is meant against the item's own median
-too, so an item that leaked into many documents keeps its seeds, and those that
-an edited copy shares with the exact ones are not passed over for rarer ones. A
-document that holds a seed is aligned, around its hits, with the seed's item
-word by word; edits, insertions and deletions lower the score instead of hiding
-the copy.
+Every four-word shingle of a test item is a seed, however many documents hold
+it, so no copy is passed over because its seeds are common. A document that
+holds a seed is aligned, around its hits, with the seed's item word by word;
+edits, insertions and deletions lower the score instead of hiding the copy.
+
+Common seeds bring many documents that only share a phrase. An alignment has at
+most a match for each word of the item that stands in the window at all, so
+documents and windows with too few of them are left out unaligned, which loses
+none that reaches the threshold.
 
 Test items go to the executors in slices of bounded size, one pass over the
-documents for each; nothing is shuffled but the counts of seeds.
+documents for each; nothing is shuffled.
 
 Defined cases: words are compared lower-cased (A-Z) and without ASCII marks at
 either end; items without words match nothing; null and empty texts are clean;
@@ -29,13 +31,13 @@ from pyspark.sql import functions as F
 from graphlens.llm import common, textkit
 
 SEED_WORDS = 4
-#: A seed is rare if at most this share of documents holds it, or so many times the median of its item's seeds.
-RARE_SHARE, RARE_TIMES = 1e-4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible alignment score from which a document is contaminated.
 THRESHOLD = 0.5
 #: Bytes of item texts that go to the executors at once.
 SLICE_BYTES = 32 << 20
+#: Seed hits that are listed at once (a text with more is listed by itself).
+HITS = 1 << 20
 
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 
@@ -75,44 +77,55 @@ class Items:
         order = np.argsort(hashes, kind="stable")
         self.seed, self.at = hashes[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
-
-    def keep_rare(self, docs_with: dict[int, int], limit: float) -> None:
-        count = np.array([docs_with.get(h, 0) for h in self.seed.view(np.int64).tolist()], np.int64)
-        kept = np.zeros(len(count), bool)
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(own):
-                kept[own] = count[own] <= max(limit, RARE_TIMES * float(np.median(count[own])))
-        self.seed, self.at, self.item = self.seed[kept], self.at[kept], self.item[kept]
-
-
-def _hits(items: Items, buf: np.ndarray, offs: np.ndarray):
-    """(word hashes, first, text, word, seed) of a chunk: seed hits in order of text and word."""
-    hashes, first = plain_words(buf, offs)
+        self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
+        self.present = np.zeros(len(self.vocabulary) + 1, bool)  # scratch of likely(); the last is for other words
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Place in the vocabulary of each word, or its length."""
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
+        return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary)) if len(self.vocabulary) else place
+
+    def likely(self, which: np.ndarray, known: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the items that could reach the threshold by the words that stand in a window at all."""
+        self.present[known] = True
+        self.present[-1] = False
+        size = self.first[which + 1] - self.first[which]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[which] - ends + size, size) + np.arange(ends[-1])
+        matches = np.add.reduceat(self.present[self.word[at]].astype(np.int64), ends - size)
+        self.present[known] = False
+        return which[matches / size >= threshold]
+
+
+def _hits(items: Items, hashes: np.ndarray, first: np.ndarray):
+    """(text, word, seed) of a chunk's seed hits in order of text and word, a bounded run of texts at a time."""
     grams, at, _ = textkit.ngrams(hashes, first, SEED_WORDS)
     lo, hi = np.searchsorted(items.seed, grams, "left"), np.searchsorted(items.seed, grams, "right")
-    n = hi - lo
-    which = np.flatnonzero(n)
-    n = n[which]
-    seed = np.repeat(lo[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    word = np.repeat(at[which], n)
-    return hashes, first, np.searchsorted(first, word, "right") - 1, word, seed
-
-
-def _counter(items: Items):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unique = np.unique(items.seed)
-        total = np.zeros(len(unique), np.int64)
-        for batch in batches:
-            buf, offs = textkit.flat(batch.column(0))
-            for i, j in textkit.chunks(offs):
-                _, _, text, _, seed = _hits(items, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                pairs = np.unique(text * len(unique) + np.searchsorted(unique, items.seed[seed])) if len(seed) else np.zeros(0, np.int64)
-                total += np.bincount(pairs % max(1, len(unique)), minlength=len(unique))[: len(unique)]
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(unique[seen].view(np.int64)), pa.array(total[seen])], ["seed", "docs"])
-
-    return count
+    which = np.flatnonzero(hi > lo)
+    lo, n, at = lo[which], (hi - lo)[which], at[which]
+    text = np.searchsorted(first, at, "right") - 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    begin = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))  # of each text
+    for i, j in textkit.chunks(total[begin], HITS):
+        s = slice(begin[i], begin[j])
+        seed = np.repeat(lo[s] - np.cumsum(n[s]) + n[s], n[s]) + np.arange(n[s].sum())
+        yield np.repeat(text[s], n[s]), np.repeat(at[s], n[s]), seed
+
+
+def _best(items: Items, m: int, begin: np.ndarray, hashes: np.ndarray, known: np.ndarray, first: int, last: int, threshold: float) -> tuple[int, int, int]:
+    """(best score, last word of it in the text, seeds) of item m around the places where its hits let it begin, in order."""
+    size = int(items.first[m + 1] - items.first[m])
+    slack = size // 2 + 2
+    best, where = 0, 0
+    apart = np.flatnonzero(np.diff(begin) > size + 2 * slack) + 1
+    for own in np.split(begin, apart):
+        lo, hi = max(int(own[0]) - slack, first), min(int(own[-1]) + size + slack, last)
+        if not len(items.likely(np.array([m]), known[lo:hi], threshold)):
+            continue
+        found, at = align(items.words[items.first[m] : items.first[m + 1]], hashes[lo:hi])
+        if found > best:
+            best, where = found, lo + at - first
+    return best, where, len(begin)
 
 
 def _aligner(items: Items, threshold: float):
@@ -121,31 +134,24 @@ def _aligner(items: Items, threshold: float):
             buf, offs = textkit.flat(batch.column(1))
             out: dict[str, list] = {"row": [], "item": [], "score": [], "n_seeds": [], "last_word": []}
             for i, j in textkit.chunks(offs):
-                hashes, first, text, word, seed = _hits(items, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                item = items.item[seed]
-                begin = word - (items.at[seed] - items.first[item])  # where the item would begin without edits
-                order = np.lexsort((begin, item, text))
-                k = 0
-                while k < len(order):
-                    t, m = int(text[order[k]]), int(item[order[k]])
-                    size = int(items.first[m + 1] - items.first[m])
-                    slack = size // 2 + 2
-                    best, where, seeds = 0, 0, 0
-                    while k < len(order) and text[order[k]] == t and item[order[k]] == m:
-                        lo = begin[order[k]] - slack
-                        hi = lo
-                        while k < len(order) and text[order[k]] == t and item[order[k]] == m and begin[order[k]] - slack <= hi + (hi == lo):
-                            hi = max(hi, begin[order[k]] + size + slack)
-                            seeds += 1
-                            k += 1
-                        lo, hi = max(int(lo), int(first[t])), min(int(hi), int(first[t + 1]))
-                        found, at = align(items.words[items.first[m] : items.first[m + 1]], hashes[lo:hi])
-                        if found > best:
-                            best, where = found, lo + at - int(first[t])
-                    score = best / (MATCH * size)
-                    if score >= threshold:
-                        for name, value in zip(out, (i + t, items.ids[m], score, seeds, where)):
-                            out[name].append(value)
+                hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                known = items.known(hashes)
+                for text, word, seed in _hits(items, hashes, first):
+                    item = items.item[seed]
+                    begin = word - (items.at[seed] - items.first[item])  # where the item would begin without edits
+                    order = np.lexsort((begin, item, text))
+                    text, item, begin = text[order], item[order], begin[order]
+                    edge = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
+                    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                        t = int(text[a])
+                        pairs = items.likely(np.unique(item[a:b]), known[first[t] : first[t + 1]], threshold)
+                        lows, highs = a + np.searchsorted(item[a:b], pairs, "left"), a + np.searchsorted(item[a:b], pairs, "right")
+                        for m, k, end in zip(pairs.tolist(), lows.tolist(), highs.tolist()):
+                            best, where, seeds = _best(items, m, begin[k:end], hashes, known, int(first[t]), int(first[t + 1]), threshold)
+                            score = best / (MATCH * int(items.first[m + 1] - items.first[m]))
+                            if score >= threshold:
+                                for name, value in zip(out, (i + t, items.ids[m], score, seeds, where)):
+                                    out[name].append(value)
             docs = batch.column(0).take(pa.array(out["row"], pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, pa.array(out["item"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["n_seeds"], pa.int64()), pa.array(out["last_word"], pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "last_word"])
 
@@ -159,12 +165,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = size // SLICE_BYTES + 1
     out = None
-    total = rows.count()
     for k in range(slices):
         part = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
         items = Items([r["item_id"] for r in part], [r["text"] for r in part])
-        counts = rows.select("text").mapInArrow(_counter(items), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
-        items.keep_rare({r["seed"]: r["docs"] for r in counts.collect()}, RARE_SHARE * total)
         found = rows.mapInArrow(_aligner(items, threshold), "doc_id long, item_id long, score double, n_seeds long, last_word long")
         out = found if out is None else out.unionByName(found)
     return out

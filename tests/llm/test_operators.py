@@ -205,6 +205,40 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs_df(spark, []), bench).count() == 0
 
 
+def test_decontamination_keeps_common_and_lone_seeds(spark):
+    base = [f"b{i}" for i in range(30)]
+    edited = [x if i % 6 != 5 or i == 29 else f"e{i}" for i, x in enumerate(base)]  # 4 edits: 11 of 27 seeds left
+    phrase = ["c1", "c2", "c3", "c4"]
+    hot, lone = [*phrase, *(f"x{i}" for i in range(6))], [*phrase, "e", "x1", "x2", "x3", "e", "x5"]  # only the common seed is left
+    bench = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(hot))], "item_id int, text string")
+    for size in (5, 12000):
+        for copies in (1, 1000):
+            if copies > size:
+                continue
+            texts = [[f"n{k}", *phrase, f"m{k}"] for k in range(size)] + [["o", *edited, "o"]] * copies + [["o", *base[:16], "o"], ["o", *lone, "o"]]
+            rows = [(k, " ".join(t), "s") for k, t in enumerate(texts)]
+            got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs_df(spark, rows), bench).collect()}
+            assert set(got) == {(size + k, 1) for k in range(copies + 1)} | {(size + copies + 1, 2)}
+            assert abs(got[size, 1] - 0.8) < 1e-9 and abs(got[size + copies, 1] - 16 / 30) < 1e-9
+
+
+def test_decontamination_bound_loses_no_alignment(spark):
+    words = [f"w{i}" for i in range(8)]
+    items = [[random.choice(words) for _ in range(random.randint(8, 14))] for _ in range(30)]
+    texts = [[random.choice([*words, "other"]) for _ in range(random.randint(4, 16))] for _ in range(50)]
+    texts += [[x if random.random() > 0.25 else random.choice(words) for x in random.choice(items)] for _ in range(100)]
+    want = {}
+    for i, t in enumerate(texts):
+        grams = {tuple(t[a : a + 4]) for a in range(len(t) - 3)}
+        for m, item in enumerate(items):
+            if any(tuple(item[a : a + 4]) in grams for a in range(len(item) - 3)):
+                score = decontam.align(*(np.array([hash(x) for x in side]) for side in (item, t)))[0] / (decontam.MATCH * len(item))
+                want |= {(i, m): score} if score >= decontam.THRESHOLD else {}
+    bench = spark.createDataFrame([(m, " ".join(x)) for m, x in enumerate(items)], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs_df(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), bench).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_alignment_equals_a_table():
     for _ in range(50):
         a, b = (np.array([random.randrange(5) for _ in range(random.randint(1, 12))]) for _ in range(2))
