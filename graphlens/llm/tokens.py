@@ -9,6 +9,7 @@ their ids back in place gives the ids of the whole texts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,20 +43,43 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def literals(buf: np.ndarray, offs: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """(start, end) of each literal of added tokens in the texts, leftmost first and then longest."""
+    raw = buf.tobytes()
+    if not any(x in raw for x in added):
+        return np.zeros((0, 2), np.int64)
+    either = b"|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))
+    at = np.array([m.start() for m in re.finditer(b"(?=" + either + b")", raw)], np.int64)
+    found = []
+    for k in np.unique(np.searchsorted(offs, at, "right") - 1).tolist():
+        lo = int(offs[k])
+        found += [(lo + m.start(), lo + m.end()) for m in re.finditer(either, raw[lo : offs[k + 1]])]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def pieces(buf: np.ndarray, offs: np.ndarray, added: list[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(starts, first): where pieces start, and for each text the index of its first piece, with the total last.
 
     Cuts stand before a space that is followed by an ASCII non-blank, after an
     ASCII non-blank before an ASCII blank, after a letter before a digit or
-    mark, and after a mark (not an apostrophe) before a letter or digit.
+    mark, and after a mark (not an apostrophe) before a letter or digit. A
+    literal of an added token is one piece, and what stands on either side of it
+    is cut as if it were a text of its own.
     """
     n = len(buf)
+    held = literals(buf, offs, added)
     kind = _KIND[buf]
     cut = np.zeros(n + 1, bool)
     cut[:-1][1:] |= (kind[:-1] >= 2) & (kind[1:] == 1)
     cut[:-1][1:] |= (kind[:-1] == 2) & (kind[1:] >= 3)
     cut[:-1][1:] |= (kind[:-1] == 4) & (buf[:-1] != 0x27) & ((kind[1:] == 2) | (kind[1:] == 3))
-    cut[: n - 1] |= (buf[:-1] == 0x20) & (kind[1:] >= 2)
+    ahead = (buf[:-1] == 0x20) & (kind[1:] >= 2)
+    ends = np.concatenate([offs, held[:, 0]])
+    ahead[ends[(ends > 0) & (ends < n)] - 1] = False  # a text's last blanks have nothing behind them
+    cut[: n - 1] |= ahead
+    for a, b in held.tolist():
+        cut[a:b] = False
+    cut[held.ravel()] = True
     cut[offs] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.searchsorted(starts, offs)
@@ -70,7 +94,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {i: x.content.encode() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(x.lstrip or x.rstrip or x.single_word for x in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
         self.forget()
 
     @classmethod
@@ -89,7 +115,7 @@ class Encoder:
         """Bytes of text that each id stands for."""
         out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
-            out[i] = len(token)
+            out[i] = len(self.added.get(i, token))
         return out
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
@@ -107,7 +133,7 @@ class Encoder:
         """(ids of all texts in a row, number of ids of each)."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        starts, first = pieces(buf, offs)
+        starts, first = pieces(buf, offs, list(self.added.values()))
         ends = np.append(starts[1:], len(buf))
         keys, at, which = np.unique(textkit.spans(textkit.prefix(buf), starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE_PIECES:

@@ -124,6 +124,37 @@ def test_pieces_encode_as_whole_texts():
             assert ids[at[k] : at[k] + count[k]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def test_added_tokens_encode_as_by_the_library(spark):
+    end, tok = "<|endoftext|>", plain_tokenizer()
+    bits = [end, end, "<|", "|>", "endoftext", " ", "  ", "   ", "a", "Bc", "'s", "12", "\n", "é", "🙂", "<|endoftext", end[5:]]
+    texts = [f"a{end}b", end, f"{end}{end}", f"x  {end}  y", f"{end[:7]}", f"{end[7:]} z", "".join(["one ", end, "\nIt's "] * 3)]
+    texts += ["".join(random.choice(bits) for _ in range(random.randint(0, 20))) for _ in range(800)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    encoder = tokens.Encoder(tokens.default_path())
+    for _ in range(2):
+        buf, offs = textkit.flat(pa.array(texts))
+        ids, count = encoder.encode(buf, offs)
+        assert np.split(ids, np.cumsum(count)[:-1])[0].tolist() == want[0]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    lines = {}
+    for r in tokens.attribute_tokens(docs_df(spark, rows)).collect():
+        lines.setdefault(r["doc_id"], []).append(r["n_tokens"])
+    assert all(sum(lines.get(k, [])) == len(w) for k, w in enumerate(want))
+    start = 0
+    by = {r["doc_id"]: r for r in tokens.read_shards(tokens.write_shards(docs_df(spark, rows))).collect()}
+    for k, w in enumerate(want):
+        assert (by[k]["start"], by[k]["n_tokens"], by[k]["ids_crc32"]) == (start, len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes()))
+        start += len(w) + 1
+
+
 def test_attribution(spark):
     rows = ODD + [(20, "Über añ\nlines\n\n日本 x", "d")]
     got = tokens.attribute_tokens(docs_df(spark, rows, True)).collect()
