@@ -9,7 +9,7 @@ SQL can't express the classifier, so there is no SQL for run().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm import common, decontam, mixing, neardup, sharding, toxicity
@@ -25,25 +25,46 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with row_, whether ids are shared): row_ is doc_id where a row has it alone, else a hash of doc_id and text.
+
+    Rows without a doc_id share one; blank ones of them have no row_.
+    """
+    shared = common.stored(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
+    n = shared.count()
+    own = F.col("doc_id").cast("long")
+    if not n:
+        return docs.withColumn("row_", own), False
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    key = F.when(F.col("doc_id").isNull(), F.when(worded, hashed)).when(F.col("shared_"), hashed).otherwise(own)
+    marks = common.small(shared.where("doc_id IS NOT NULL").withColumn("shared_", F.lit(True)), n)
+    return docs.join(marks, "doc_id", "left").withColumn("row_", key).select(*docs.columns, "row_"), True
+
+
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of rows that share a doc_id, the first by text."""
-    found = common.stored(neardup.near_duplicates(docs), "near-duplicates")
-    gone = common.stored(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    left = docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = common.stored(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """One document of each group of near copies; of rows that share doc_id and text, one."""
+    rows, shared = _rows(docs)
+    found = common.stored(neardup.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")), "near-duplicates")
+    found = found.withColumnRenamed("doc_id", "row_")
+    gone = common.stored(found.where(~F.col("kept")).select("row_").distinct(), "gone")
+    left = rows.join(common.small(gone), "row_", "left_anti")
+    if not shared:
+        return left.select(*docs.columns)
+    again = common.stored(found.where("kept AND row_ IS NOT NULL").groupBy("row_").count().where("count > 1").select("row_"), "again")
     if again.isEmpty():
-        return left
+        return left.select(*docs.columns)
     again = common.small(again)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = left.join(again, "doc_id", "left_semi").withColumn("first_", first).where("first_ = 1").select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    one = left.join(again, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
+    return left.join(again, "row_", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a test item's passage."""
-    hits = decontam.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = common.stored(hits.select("doc_id").distinct(), "contaminated")
-    return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, _ = _rows(docs)
+    hits = decontam.contaminated(rows.select(F.col("row_").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    gone = common.stored(hits.select(F.col("doc_id").alias("row_")).distinct(), "contaminated")
+    return rows.join(common.small(gone), "row_", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

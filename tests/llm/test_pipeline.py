@@ -37,3 +37,22 @@ def test_stages(spark):
             assert out.count() == docs.count() and out.where("shard IS NULL").count() == 0
         seen[name], docs = out, out
     assert list(seen) == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stages_decide_by_row(spark):
+    item = next(r["text"] for r in common.table(spark, SF, "benchmark").orderBy("item_id").collect())
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(60))
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rest = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = [(1, text(1)), (1, text(2)), (None, text(3)), (None, ""), (None, ""), (None, None), (2, text(4)), (3, text(5))]
+    leaked = [(1, "a " + item), (None, "b " + item), (4, item)]
+    assert rest(corpus_pipeline.decontamination_stage(spark, make(clean + leaked), SF)) == sorted(clean, key=str)
+    near = text(4).replace("t4w59", "other")
+    copies = [(7, text(4)), (8, near), (None, text(5)), (1, text(1)), (None, text(3)), (3, text(4))]
+    own = [(7, text(6)), (8, text(7))]
+    got = rest(corpus_pipeline.near_duplicate_stage(spark, make(clean + own + copies), SF))
+    one_of = {t: [r for r in got if r[1] == t] for t in map(text, range(1, 8))}
+    assert all(len(x) == 1 for x in one_of.values()) and near not in [t for _, t in got]
+    assert (7, text(6)) in got and (8, text(7)) in got and (1, text(2)) in got
+    assert got.count((None, "")) == 2 and got.count((None, None)) == 1 and len(got) == 10
