@@ -45,6 +45,30 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def matched(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, salts: int = 16) -> DataFrame:
+    """Inner join of rows with side, which holds each key once: a broadcast behind a check of side's size.
+
+    Beyond it side is copied under salts and rows are dealt over them by their
+    column spread, so a key of very many rows is met in several tasks.
+    """
+    n = side.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), keys)
+    (salt,) = unused(rows.join(side.limit(0), keys), "salt")
+    copies = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [*keys, salt]).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every four-word shingle of a test item is a seed, however many documents hold
-it, so no copy is passed over because its seeds are common. A document that
+it, so no copy is passed over because its seeds are common; an item of fewer
+words has its whole sequence as its seed, wherever it stands. A document that
 holds a seed is aligned, around its hits, with the seed's item word by word;
 edits, insertions and deletions lower the score instead of hiding the copy.
 
@@ -14,7 +15,8 @@ Test items go to the executors in slices of bounded size, one pass over the
 documents for each; nothing is shuffled.
 
 Defined cases: words are compared lower-cased (A-Z) and without ASCII marks at
-either end; items without words match nothing; null and empty texts are clean;
+either end; items without words match nothing, those of one to three words match
+where all of them stand in a row; null and empty texts are clean;
 repeated rows are each answered; empty tables give no rows; other columns are
 ignored.
 """
@@ -73,10 +75,14 @@ class Items:
         buf, offs = textkit.flat(pa.array(texts, pa.string()))
         self.ids = ids
         self.words, self.first = plain_words(buf, offs)
-        hashes, at, _ = textkit.ngrams(self.words, self.first, SEED_WORDS)
-        order = np.argsort(hashes, kind="stable")
-        self.seed, self.at = hashes[order], at[order]
-        self.item = np.searchsorted(self.first, self.at, "right") - 1
+        size = np.diff(self.first)
+        self.seeds = []  # (words of a seed, hashes in order, item of each, place in its item of each)
+        for n in np.unique(np.minimum(size[size > 0], SEED_WORDS)).tolist():
+            hashes, at, _ = textkit.ngrams(self.words, self.first, n)
+            item = np.searchsorted(self.first, at, "right") - 1
+            own = np.minimum(size[item], SEED_WORDS) == n
+            order = np.flatnonzero(own)[np.argsort(hashes[own], kind="stable")]
+            self.seeds.append((n, hashes[order], item[order], (at - self.first[item])[order]))
         self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
         self.present = np.zeros(len(self.vocabulary) + 1, bool)  # scratch of likely(); the last is for other words
 
@@ -98,18 +104,21 @@ class Items:
 
 
 def _hits(items: Items, hashes: np.ndarray, first: np.ndarray):
-    """(text, word, seed) of a chunk's seed hits in order of text and word, a bounded run of texts at a time."""
-    grams, at, _ = textkit.ngrams(hashes, first, SEED_WORDS)
-    lo, hi = np.searchsorted(items.seed, grams, "left"), np.searchsorted(items.seed, grams, "right")
-    which = np.flatnonzero(hi > lo)
-    lo, n, at = lo[which], (hi - lo)[which], at[which]
-    text = np.searchsorted(first, at, "right") - 1
-    total = np.concatenate([[0], np.cumsum(n)])
-    begin = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))  # of each text
-    for i, j in textkit.chunks(total[begin], HITS):
-        s = slice(begin[i], begin[j])
-        seed = np.repeat(lo[s] - np.cumsum(n[s]) + n[s], n[s]) + np.arange(n[s].sum())
-        yield np.repeat(text[s], n[s]), np.repeat(at[s], n[s]), seed
+    """(text, item, begin) of a chunk's seed hits, sorted, a bounded run of texts at a time. begin: the word where the item would begin without edits."""
+    for n, seeds, item, place in items.seeds:
+        grams, at, _ = textkit.ngrams(hashes, first, n)
+        lo, hi = np.searchsorted(seeds, grams, "left"), np.searchsorted(seeds, grams, "right")
+        which = np.flatnonzero(hi > lo)
+        lo, found, at = lo[which], (hi - lo)[which], at[which]
+        text = np.searchsorted(first, at, "right") - 1
+        total = np.concatenate([[0], np.cumsum(found)])
+        edge = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))  # of each text
+        for i, j in textkit.chunks(total[edge], HITS):
+            s = slice(edge[i], edge[j])
+            seed = np.repeat(lo[s] - np.cumsum(found[s]) + found[s], found[s]) + np.arange(found[s].sum())
+            own, begin = np.repeat(text[s], found[s]), np.repeat(at[s], found[s]) - place[seed]
+            order = np.lexsort((begin, item[seed], own))
+            yield own[order], item[seed][order], begin[order]
 
 
 def _best(items: Items, m: int, begin: np.ndarray, hashes: np.ndarray, known: np.ndarray, first: int, last: int, threshold: float) -> tuple[int, int, int]:
@@ -136,11 +145,7 @@ def _aligner(items: Items, threshold: float):
             for i, j in textkit.chunks(offs):
                 hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 known = items.known(hashes)
-                for text, word, seed in _hits(items, hashes, first):
-                    item = items.item[seed]
-                    begin = word - (items.at[seed] - items.first[item])  # where the item would begin without edits
-                    order = np.lexsort((begin, item, text))
-                    text, item, begin = text[order], item[order], begin[order]
+                for text, item, begin in _hits(items, hashes, first):
                     edge = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
                     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                         t = int(text[a])

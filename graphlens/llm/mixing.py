@@ -74,21 +74,24 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself, with docs' columns: each document as often as it is taken whole, then cut after its last taken word.
 
-    Texts of rows that share a doc_id are told apart by size.
+    Texts of rows that share a doc_id are told apart by size. Columns of any
+    name come back as they were, but for text and n_chars of a cut copy.
     """
-    plan = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("source").alias("source_")).agg(F.max("taken").alias("taken_")).where("taken_ > 0")
-    sized = docs.withColumn("words_", word_count(F.col("text")))
-    rows = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("words_") == F.col("size_")) & F.col("source").eqNullSafe(F.col("source_")))
-    copies = rows.withColumn("left_", F.explode(F.expr("transform(sequence(0, cast((taken_ - 1) div size_ as int)), i -> least(size_, taken_ - i * size_))")))
+    plan = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("id"), F.col("size").alias("of"), F.col("source").alias("origin")).agg(F.max("taken").alias("taken")).where("taken > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("words"))  # no name can clash inside
+    rows = rows.join(plan, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("of")) & F.col("row.source").eqNullSafe(F.col("origin")))
+    copies = rows.select("row", "words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div words as int)), i -> least(words, taken - i * words))")).alias("take"))
     # pieces that begin where a word begins, each with the blanks after it; blanks ahead of the first word are one more
-    parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
-    lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
-    head = F.array_join(F.slice(parts, F.lit(1), F.col("left_").cast("int") + lead), "")
-    text = F.when(F.col("left_") == F.col("size_"), F.col("text")).otherwise(head)
-    cut = copies.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("left_") == F.col("size_"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    text, whole = F.col("row.text"), F.col("take") == F.col("words")
+    parts = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    lead = text.rlike(r"^[\x20\x09-\x0D]").cast("int")
+    head = F.array_join(F.slice(parts, F.lit(1), F.col("take").cast("int") + lead), "")
+    cut = copies.select("row", whole.alias("whole"), F.when(whole, text).otherwise(head).alias("text"))
+    own = {c: F.col("row")[c] for c in docs.columns}
+    own["text"] = F.col("text")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("whole"), own["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[c.alias(name) for name, c in own.items()])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

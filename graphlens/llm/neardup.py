@@ -18,10 +18,11 @@ candidate between different components goes untested.
 A pair of similarity 0.75 shares no bucket with probability 5e-6, and the
 sketch's margin is over four standard errors.
 
-Defined cases: null, empty and blank texts have 0 shingles and stand alone;
-rows with a null doc_id are returned with a null component and kept; rows that
-share a doc_id are one node; ties of copies go to the smaller doc_id; an empty
-table gives no rows; other columns are ignored.
+Defined cases: null, empty and blank texts have 0 shingles and are linked with
+nothing; rows with a null doc_id are returned with a null component and kept;
+rows that share a doc_id are one node, so all of them get the component that any
+of their texts reaches; ties of copies go to the smaller doc_id; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -224,11 +225,25 @@ def _mixed_pairs(buckets: DataFrame, sketches: DataFrame, label: DataFrame, best
     return sorted_.mapInArrow(_block_pairs(best, low, high), "a long, b long, near double").select("a", "b").distinct()
 
 
+def _homes(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(doc_id, rep, home) for every class of a doc_id with several rows, home being its first class' rep; None if ids are unique."""
+    known = signed.where("doc_id IS NOT NULL")
+    several = common.stored(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids")
+    n = several.count()
+    if not n:
+        return None
+    rows = known.where("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2").join(common.small(several, n), "doc_id", "left_semi").distinct()
+    reps = rows.join(classes, ["n_shingles", "k1", "k2"]).select("doc_id", "rep").distinct()
+    home = reps.groupBy("doc_id").agg(F.min("rep").alias("home"))
+    return common.stored(reps.join(home, "doc_id"), "homes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     signed = common.stored(signatures(docs), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = common.stored(known.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    homes = _homes(signed, classes)
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"]).dropDuplicates(["doc_id", "k1"])
     reps = common.stored(reps.select(F.col("doc_id").alias("rep"), "sketch", "bands"), "representatives")
     sketches = reps.select("rep", "sketch")
@@ -249,6 +264,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             continue
         links = confirm(pairs, docs)
         if label is None:
+            if homes is not None:  # the classes of one doc_id are linked by it
+                links = links.union(homes.where("rep > home").select("rep", "home").distinct())
             label = common.stored(components(links), "components")
             continue
         by = label.select("node", "comp")
@@ -259,6 +276,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         fresh = moved.join(label.select("node"), "node", "left_anti").select("node", "comp")
         label = common.stored(old.unionByName(fresh), "components")
     rows = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
+    if homes is not None:  # a blank row of a shared doc_id goes with its node
+        home = homes.select(F.col("doc_id").alias("of"), "home").distinct()
+        rows = rows.join(home, rows["doc_id"] == home["of"], "left").withColumn("rep", F.coalesce("rep", "home"))
     rows = rows.join(label, rows["rep"] == label["node"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -57,10 +57,11 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
     if not 1 <= len(shards) <= size:
         raise ValueError("the table needs a slot for each shard")
     spark = df.sparkSession
-    owner = spark.createDataFrame(list(enumerate(fill_table(shards, size))), "slot_ long, shard_ int")
-    keep = [c for c in df.columns if c not in ("slot", "shard")]
+    slot, shard = common.unused(df, "slot_", "shard_")
+    owner = spark.createDataFrame(list(enumerate(fill_table(shards, size))), f"{slot} long, {shard} int")
+    keep = [c for c in df.columns if c.lower() not in ("slot", "shard")]
     slotted = df.select(*keep, (common.hash_key(F.col(key)) % size).alias("slot"))
-    return slotted.join(F.broadcast(owner), F.col("slot") == F.col("slot_")).select(*keep, "slot", F.col("shard_").alias("shard"))
+    return slotted.join(F.broadcast(owner), F.col("slot") == F.col(slot)).select(*keep, "slot", F.col(shard).alias("shard"))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

@@ -346,3 +346,75 @@ def test_line_dedup(spark):
         kept = [x for x in lines if x.strip(" ") not in ("Boiler", "six sites")]
         want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     assert got == sorted(want)
+
+
+def test_decontamination_short_items(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "solo"), (3, "two words"), (4, "..."), (5, "alpha beta gamma delta")], "item_id int, text string")
+    rows = [(1, "foo bar alpha beta gamma delta baz", "s"), (2, "alpha, beta", "s"), (3, "x solo. y", "s"), (4, "words two words", "s"), (5, "solos", "s"), (6, "a ... b", "s"), (7, None, "s")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs_df(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (1, 5), (3, 2), (4, 3), (6, 4)} and set(got.values()) == {1.0}
+
+
+def test_near_duplicates_shared_ids(spark):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(40))
+    near = text(3).replace("t3w39", "other")
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(2)), (4, text(3)), (5, near), (5, ""), (6, None), (6, ""), (7, text(4)), (7, near), (8, text(4)), (None, text(1)), (2, text(1)), (9, text(5)), (9, text(5))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets, up = {}, {i: i for i, _ in rows if i is not None}
+    for i, t in rows:
+        w = (t or "").split()
+        sets.setdefault(i, []).append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in up:
+        for b in up:
+            if any(x & y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == sorted((str(i), None if i is None else root(i), i is None or root(i) == i) for i, _ in rows)
+    assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_the_operators_own_names(spark):
+    names = "left_ slot_ shard_ id_ words_ rid gone row whole take target key range of base taken n_chars comp rep sketch".split()
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e f", "y"), (3, None, None)], "doc_id long, text string, source string").withColumns({n: F.lit(7) for n in names})
+    for out in (sharding.assign_shards(docs), mixing.mixed_documents(docs)):
+        rows = out.collect()
+        assert rows and all(r[n] == (7 if n != "n_chars" else r[n]) for r in rows for n in names)
+    assert neardup.near_duplicates(docs).count() == linededup.dedup_lines(docs).count() == tokens.read_shards(tokens.write_shards(docs)).count() == substrings.remove_repeats(docs).count() == 3
+    assert len(mixing.mix_sources(docs).collect()) == 3 and tokens.attribute_tokens(docs).count() == 2
+    vectors = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(30)], "vec_id long, embedding array<float>").withColumns({n: F.lit(7) for n in ("codes", "norm", "vector", "block", "asked", "score", "query_id", "rank")})
+    index, model = ann.build_index(vectors)
+    assert ann.nearest(index, model, index.where("vec_id % 20 = 0")).count() == 40
+
+
+def test_empty_tables(spark):
+    docs, labels = docs_df(spark, [], True), spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    empty = [toxicity.score(docs, model), neardup.near_duplicates(docs), tokens.attribute_tokens(docs), substrings.remove_repeats(docs), sharding.assign_shards(docs), linededup.dedup_lines(docs), mixing.mixed_documents(docs)]
+    assert all(df.count() == 0 for df in empty)
+    bench = spark.createDataFrame([], "item_id int, text string")
+    assert decontam.contaminated(docs_df(spark, ODD), bench).count() == 0
+
+
+def test_very_long_lines_and_texts_keep_their_lines(spark):
+    lines = [f"line {i}" if i % 2 else "\tBoiler \r" for i in range(20000)]
+    rows = [(k, "\n".join([*lines, f"own {k}"]), f"s{k}") for k in range(7)] + [(9, "Boiler\nx", "s1")]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs_df(spark, rows)).collect()}
+    assert all((got[k]["n_lines"], got[k]["n_removed"], got[k]["text"]) == (20001, 20000, f"own {k}") for k in range(7)) and got[9]["text"] == "x"
+
+
+def test_hot_keys_meet_in_several_tasks(spark, monkeypatch):
+    from graphlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    side = spark.range(2000).select(F.col("id").alias("k"), F.lit(1).alias("salt"))
+    assert common.matched(rows, side, ["k"], "id").count() == rows.where("k < 2000").count()
+    rows = [(k, f"unique {k}\nBoiler\nfive", f"s{k % 8}") for k in range(40)] + [(100 + k, "six", f"s{k}") for k in range(6)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_df(spark, rows)).collect()}
+    assert got == {k: f"unique {k}" for k in range(40)} | {100 + k: "" for k in range(6)}
