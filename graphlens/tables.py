@@ -3,30 +3,72 @@
 from __future__ import annotations
 
 import uuid
+import warnings
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its counted rows stay under this.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if its counted rows and their measured bytes stay under these.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a local folder where that is unset and there is no cluster; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "/tmp/checkpoints/graphlens"
+        warnings.warn(f"spark.checkpoint.dir is unset; using {found}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay under the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def dropped(df: DataFrame) -> None:
+    """Delete a table made by stored() that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _width(df: DataFrame) -> tuple[int, list[Column]]:
+    """(bytes of a row's fixed columns, bytes of each other column)."""
+    fixed, more = 0, []
+    for field in df.schema.fields:
+        name = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            more.append(F.octet_length(name))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            more.append(F.octet_length(F.to_json(F.struct(name))))
+        else:
+            fixed += 8
+    return fixed, [F.coalesce(c, F.lit(0)).cast("long") for c in more]
+
+
+def small(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows and measured bytes stay under the limits; else as it is, for a shuffled join.
+
+    rows: their number, where it is known.
+    """
+    limit = BROADCAST_ROWS if limit is None else limit
+    fixed, more = _width(df)
+    if rows is None or (more and rows <= limit):
+        held = reduce(lambda a, b: a + b, more, F.lit(0).cast("long"))
+        rows, held = df.agg(F.count("*"), F.sum(held)).first()
+    else:
+        held = 0
+    return F.broadcast(df) if rows <= limit and rows * fixed + (held or 0) <= BROADCAST_BYTES else df
