@@ -7,9 +7,12 @@ deferring function reaches the functions assigned to the item's field.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlens import tables
 from graphlens.operators import identity, lookup
 from graphlens.schema import Graph
 
@@ -25,14 +28,14 @@ def supplement_rows(spark, supplement: dict = SUPPLEMENT) -> DataFrame:
 def assigned_functions(graph: Graph) -> DataFrame:
     """(field, target): distinct functions assigned to fields of a name."""
     fields = graph.of("FIELD").select(F.col("id").alias("head"), F.col("name").alias("field"))
-    functions = identity.by_id(graph.of("FUNCTION")).select(F.col("id").alias("tail"), F.col("name").alias("target"))
+    functions = identity.by_id(graph.of("FUNCTION"), "name").select(F.col("id").alias("tail"), F.col("name").alias("target"))
     return graph.rel("ASSIGNED_TO").select("head", "tail").join(fields, "head").join(functions, "tail").select("field", "target").distinct()
 
 
 def assigned_entities(graph: Graph, supplement: DataFrame | None = None) -> DataFrame:
     """(field, target, via): entities of any type assigned to fields of a name, a row for each relation, then supplements not among them."""
     fields = graph.of("FIELD").select(F.col("id").alias("head"), F.col("name").alias("field"))
-    entities = identity.by_id(graph.entities).select(F.col("id").alias("tail"), F.col("name").alias("target"))
+    entities = identity.by_id(graph.entities, "name").select(F.col("id").alias("tail"), F.col("name").alias("target"))
     found = graph.rel("ASSIGNED_TO").select("head", "tail").join(fields, "head").join(entities, "tail").select("field", "target", F.lit("graph").alias("via"))
     if supplement is None:
         return found
@@ -43,33 +46,42 @@ def assigned_entities(graph: Graph, supplement: DataFrame | None = None) -> Data
 def assigned_with_context(graph: Graph) -> DataFrame:
     """(field, target, context_var_id, context_var_name) of functions assigned to fields."""
     fields = graph.of("FIELD").select(F.col("id").alias("head"), F.col("name").alias("field"))
-    functions = identity.by_id(graph.of("FUNCTION")).select(F.col("id").alias("tail"), F.col("name").alias("target"))
+    functions = identity.by_id(graph.of("FUNCTION"), "name").select(F.col("id").alias("tail"), F.col("name").alias("target"))
     rows = graph.rel("ASSIGNED_TO").select("head", "tail", "context_var_id", "context_var_name")
     return rows.join(fields, "head").join(functions, "tail").select("field", "target", "context_var_id", "context_var_name")
 
 
-def callees_with_lines(graph: Graph, ids: DataFrame | None = None, allow_indirect: bool = True) -> DataFrame:
-    """(id, callee, call_line, is_indirect, ord, via): what each function id calls, a row for each call row and candidate.
+def call_rows(graph: Graph, ids: DataFrame | None = None, canon: DataFrame | None = None, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Calls of functions (id, tail, callee, call_line, ord) and calls through fields (id, field, call_line, ord), a row for each call row.
 
     The id's equivalents count as callers, its other homonyms don't. A call of
-    a function goes to the name of its implementation; a call through a field
-    goes to each function assigned to fields of that name, if the field exists.
+    a function goes to its implementation; a call through a field names the last
+    part of its path, else the field.
     """
-    canon = identity.decl_impl_map(graph)
+    canon = identity.decl_impl_map(graph) if canon is None else canon
     heads = identity.equivalents(graph, canon)
     if ids is not None:
         heads = heads.join(ids.select("id").distinct(), "id", "left_semi")
-    entities = identity.by_id(graph.entities)
+    entities = (identity.by_id(graph.entities, "name", "type") if entities is None else entities).select("id", "name", "type")
     calls = heads.join(graph.rel("CALLS"), F.col("eq_id") == F.col("head")).select("id", "tail", "call_line", "call_type", "target_type", "field_path", "ord")
-    direct = calls.where("call_type = 'direct' OR target_type = 'FUNCTION'")
-    direct = identity.normalize(direct, canon, "tail").join(entities.select(F.col("id").alias("tail"), F.col("name").alias("callee")), "tail")
+    plain = (F.col("call_type") == "direct") | (F.col("target_type") == "FUNCTION")
+    direct = identity.normalize(calls.where(plain), canon, "tail").join(entities.select(F.col("id").alias("tail"), F.col("name").alias("callee")), "tail")
+    fields = entities.where("type = 'FIELD'").select(F.col("id").alias("tail"), F.col("name").alias("field_name"))
+    through = calls.where(~plain & (F.col("call_type") == "indirect") & (F.col("target_type") == "FIELD")).join(fields, "tail")
+    field = F.when(F.size("field_path") > 0, F.element_at("field_path", -1)).otherwise(F.col("field_name"))
+    return direct.select("id", "tail", "callee", "call_line", "ord"), through.select("id", field.alias("field"), "call_line", "ord")
+
+
+def callees_with_lines(graph: Graph, ids: DataFrame | None = None, allow_indirect: bool = True) -> DataFrame:
+    """(id, callee, call_line, is_indirect, ord, via): what each function id calls, a row for each call row and candidate.
+
+    A call through a field goes to each function assigned to fields of that name, if the field exists.
+    """
+    direct, through = call_rows(graph, ids)
     direct = direct.select("id", "callee", "call_line", F.lit(False).alias("is_indirect"), "ord", F.lit(None).cast("string").alias("via"))
     if not allow_indirect:
         return direct
-    fields = entities.where("type = 'FIELD'").select(F.col("id").alias("tail"), F.col("name").alias("field_name"))
-    through = calls.where("NOT (call_type = 'direct' OR target_type = 'FUNCTION') AND call_type = 'indirect' AND target_type = 'FIELD'").join(fields, "tail")
-    field = F.when(F.size("field_path") > 0, F.element_at("field_path", -1)).otherwise(F.col("field_name"))
-    through = through.withColumn("field", field).join(assigned_functions(graph), "field")
+    through = through.join(assigned_functions(graph), "field")
     return direct.unionByName(through.select("id", F.col("target").alias("callee"), "call_line", F.lit(True).alias("is_indirect"), "ord", F.col("field").alias("via")))
 
 
@@ -83,19 +95,15 @@ def work_field(source: Column, callee: Column) -> Column:
 
 def function_sources(graph: Graph) -> DataFrame:
     """(caller, source): a name's text, from its first implementation, else from its first function."""
-    rows = identity.by_id(graph.of("FUNCTION")).select("name", "is_declaration", "ord", lookup.function_code().alias("source"))
+    rows = identity.by_id(graph.of("FUNCTION"), "name", "is_declaration", "code", "body").select("name", "is_declaration", "ord", lookup.function_code().alias("source"))
     return rows.groupBy(F.col("name").alias("caller")).agg(F.min_by("source", F.struct("is_declaration", "ord")).alias("source"))
 
 
-def async_edges(graph: Graph, supplement: DataFrame | None = None, use_fallback: bool = False, oracle: DataFrame | None = None, async_names: DataFrame | None = None) -> DataFrame:
-    """(caller, async_callee, target, field, via): functions that deferred work reaches.
-
-    oracle, a table (caller, async_callee, answer), goes ahead of the text's field.
-    use_fallback adds the supplement's functions where nothing else is found.
-    """
+def async_pairs(graph: Graph, oracle: DataFrame | None = None, async_names: DataFrame | None = None, canon: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """(caller, async_callee, field): callers of deferring functions and the field that they hand over, null where none is found."""
     names = identity.async_functions(graph) if async_names is None else async_names
-    canon = identity.decl_impl_map(graph)
-    functions = identity.by_id(graph.of("FUNCTION")).select("id", "name")
+    canon = identity.decl_impl_map(graph) if canon is None else canon
+    functions = (identity.by_id(graph.of("FUNCTION"), "name") if entities is None else entities.where("type = 'FUNCTION'")).select("id", "name")
     calls = graph.rel("CALLS").where("call_type = 'direct' OR target_type = 'FUNCTION'").select("head", "tail")
     pairs = identity.normalize(calls, canon, "tail").join(functions.toDF("tail", "async_callee"), "tail").join(names.toDF("async_callee"), "async_callee", "left_semi")
     pairs = pairs.join(functions.toDF("head", "caller"), "head").select("caller", "async_callee").distinct()
@@ -104,7 +112,16 @@ def async_edges(graph: Graph, supplement: DataFrame | None = None, use_fallback:
     if oracle is not None:
         sourced = sourced.join(oracle.select("caller", "async_callee", "answer"), ["caller", "async_callee"], "left")
         field = F.coalesce("answer", field)
-    fielded = sourced.withColumn("field", field).drop("source")
+    return sourced.select("caller", "async_callee", field.alias("field"))
+
+
+def async_edges(graph: Graph, supplement: DataFrame | None = None, use_fallback: bool = False, oracle: DataFrame | None = None, async_names: DataFrame | None = None) -> DataFrame:
+    """(caller, async_callee, target, field, via): functions that deferred work reaches.
+
+    oracle, a table (caller, async_callee, answer), goes ahead of the text's field.
+    use_fallback adds the supplement's functions where nothing else is found.
+    """
+    fielded = async_pairs(graph, oracle, async_names)
     found = fielded.join(assigned_entities(graph, supplement), "field").select("caller", "async_callee", "target", "field", "via").distinct()
     if not use_fallback:
         return found
@@ -114,27 +131,68 @@ def async_edges(graph: Graph, supplement: DataFrame | None = None, use_fallback:
     return found.unionByName(lacking.crossJoin(F.broadcast(more)).select("caller", "async_callee", "target", "field", F.lit("mock_data").alias("via")))
 
 
-def search_edges(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None) -> DataFrame:
-    """Edges between search nodes: (src, dst, kind, call_line, ord, sub, mid, via).
+@dataclass(frozen=True)
+class Steps:
+    """A search's edges without the product of calls through fields with the fields' functions.
 
-    A node is the id that its name stands for, normalised. kind is direct,
-    indirect or async; an async edge passes through mid and is two nodes long.
-    (ord, sub) is the order in which a search finds edges.
+    direct (src, dst, call_line, ord); through (src, kind, field, via, call_line,
+    ord, mid) with kind indirect or async; targets (kind, field, dst, sub). An
+    async edge passes through mid and is two nodes long. (ord, sub) is the order
+    in which a search finds edges.
     """
+
+    direct: DataFrame
+    through: DataFrame
+    targets: DataFrame
+
+    def stored(self) -> Steps:
+        return Steps(**tables.stored_together(direct=self.direct, through=self.through, targets=self.targets))
+
+    def edges(self) -> DataFrame:
+        """(src, dst, kind, call_line, ord, sub, mid, via)."""
+        none = F.lit(None).cast("string")
+        one = self.direct.select("src", "dst", F.lit("direct").alias("kind"), "call_line", "ord", F.lit("").alias("sub"), none.alias("mid"), none.alias("via"))
+        two = self.through.join(self.targets, ["kind", "field"]).where("kind != 'async' OR (dst != src AND dst != mid)")
+        return one.unionByName(two.select(*one.columns))
+
+    @staticmethod
+    def of(edges: DataFrame) -> Steps:
+        """Steps of edges as edges() gives them."""
+        key = F.concat_ws("|", "src", F.col("ord").cast("string"), F.coalesce("mid", F.lit("")), F.coalesce("via", F.lit("")))
+        late = edges.where("kind != 'direct'").withColumn("field", key)
+        through = late.select("src", "kind", "field", "via", "call_line", "ord", "mid").distinct()
+        return Steps(edges.where("kind = 'direct'").select("src", "dst", "call_line", "ord"), through, late.select("kind", "field", "dst", "sub"))
+
+
+def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None) -> Steps:
+    """The edges of a search. A node is the id that a function's name stands for, normalised."""
     canon = identity.decl_impl_map(graph)
     nodes = identity.normalize(identity.latest(graph), canon, "id").select("name", F.col("id").alias("node"))
-    rows = callees_with_lines(graph, nodes.select(F.col("node").alias("id")), allow_indirect)
-    step = rows.join(nodes.toDF("callee", "dst"), "callee").select(
-        F.col("id").alias("src"), "dst", F.when(F.col("is_indirect"), "indirect").otherwise("direct").alias("kind"), "call_line", "ord",
-        F.when(F.col("is_indirect"), F.col("callee")).otherwise(F.lit("")).alias("sub"), F.lit(None).cast("string").alias("mid"), "via", "callee",
-    )
-    if not with_async:
-        return step.drop("callee")
-    hops = async_edges(graph, supplement).join(nodes.toDF("caller", "src"), "caller").join(nodes.toDF("target", "to"), "target").select("src", "async_callee", "to", "target", "field")
-    late = step.where("kind = 'direct'").join(hops, (step["src"] == hops["src"]) & (F.col("callee") == F.col("async_callee"))).select(
-        step["src"], F.col("to").alias("dst"), F.lit("async").alias("kind"), "call_line", "ord", F.col("target").alias("sub"), F.col("dst").alias("mid"), F.col("field").alias("via"))
-    late = late.where("dst != src AND dst != mid")
-    return step.drop("callee").unionByName(late)
+    # read by nearly every join below, and small beside the calls
+    known = tables.stored_together(canon=canon, nodes=nodes, entities=identity.by_id(graph.entities, "name", "type").select("id", "name", "type"))
+    canon, nodes, entities = known["canon"], known["nodes"], known["entities"]
+    calls, through = call_rows(graph, nodes.select(F.col("node").alias("id")), canon, entities)
+    named = calls.join(nodes.toDF("callee", "dst"), "callee").select(F.col("id").alias("src"), "dst", "callee", "call_line", "ord")
+    direct = named.drop("callee")
+    spark = graph.entities.sparkSession
+    late = spark.createDataFrame([], "src string, kind string, field string, via string, call_line int, ord long, mid string")
+    targets = spark.createDataFrame([], "kind string, field string, dst string, sub string")
+    if allow_indirect:
+        late = late.unionByName(through.select(F.col("id").alias("src"), F.lit("indirect").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.lit(None).cast("string").alias("mid")))
+        reached = assigned_functions(graph).join(nodes.toDF("target", "dst"), "target")
+        targets = targets.unionByName(reached.select(F.lit("indirect").alias("kind"), "field", "dst", F.col("target").alias("sub")))
+    if with_async:
+        pairs = async_pairs(graph, canon=canon, entities=entities).where("field IS NOT NULL").join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
+        deferred = named.join(pairs, ["src", "callee"])
+        late = late.unionByName(deferred.select("src", F.lit("async").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.col("dst").alias("mid")))
+        reached = assigned_entities(graph, supplement).select("field", "target").distinct().join(nodes.toDF("target", "dst"), "target")
+        targets = targets.unionByName(reached.select(F.lit("async").alias("kind"), "field", "dst", F.col("target").alias("sub")))
+    return Steps(direct, late, targets)
+
+
+def search_edges(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None) -> DataFrame:
+    """search_steps() multiplied out: (src, dst, kind, call_line, ord, sub, mid, via)."""
+    return search_steps(graph, allow_indirect, with_async, supplement).edges()
 
 
 def bridge_pairs(graph: Graph, pairs: DataFrame) -> DataFrame:
@@ -142,8 +200,8 @@ def bridge_pairs(graph: Graph, pairs: DataFrame) -> DataFrame:
 
     A function assigned to a field whose name holds "func" is deferred work, "ops" a table of function pointers.
     """
-    fields = identity.by_id(graph.entities).select(F.col("id").alias("head"), F.lower("name").alias("field"))
-    targets = identity.by_id(graph.of("FUNCTION")).select(F.col("id").alias("tail"), F.col("name").alias("b"))
+    fields = identity.by_id(graph.entities, "name").select(F.col("id").alias("head"), F.lower("name").alias("field"))
+    targets = identity.by_id(graph.of("FUNCTION"), "name").select(F.col("id").alias("tail"), F.col("name").alias("b"))
     kinds = graph.rel("ASSIGNED_TO").select("head", "tail").join(fields, "head").join(targets, "tail")
     kinds = kinds.groupBy("b").agg(F.max(F.contains("field", F.lit("func"))).alias("is_async"), F.max(F.contains("field", F.lit("ops"))).alias("is_ops")).where("is_async OR is_ops")
     # How a bridge is reported.

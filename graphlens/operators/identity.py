@@ -19,23 +19,23 @@ KNOWN_ASYNC = (
 DEFAULT_ASYNC = ("mmc_schedule_delayed_work", "schedule_work", "schedule_delayed_work", "queue_work", "queue_delayed_work")
 
 
-def by_id(entities: DataFrame) -> DataFrame:
-    """One row for each id: the last in the file, at the first's place."""
-    columns = [c for c in entities.columns if c not in ("id", "ord")]
+def by_id(entities: DataFrame, *columns: str) -> DataFrame:
+    """One row for each id: the last in the file, at the first's place. Columns beside id and ord as named, as no scan prunes a struct's fields."""
+    columns = columns or tuple(c for c in entities.columns if c not in ("id", "ord"))
     last = entities.groupBy("id").agg(F.max_by(F.struct(*columns), "ord").alias("e"), F.min("ord").alias("ord"))
-    return last.select("id", "e.*", "ord").select(*entities.columns)
+    return last.select("id", "e.*", "ord")
 
 
-def by_name(entities: DataFrame) -> DataFrame:
+def by_name(entities: DataFrame, *columns: str) -> DataFrame:
     """One row for each (type, name): the last in the file."""
-    columns = [c for c in entities.columns if c not in ("type", "name")]
+    columns = columns or tuple(c for c in entities.columns if c not in ("type", "name"))
     last = entities.groupBy("type", "name").agg(F.max_by(F.struct(*columns), "ord").alias("e"))
-    return last.select("type", "name", "e.*").select(*entities.columns)
+    return last.select("type", "name", "e.*")
 
 
 def decl_impl_map(graph: Graph) -> DataFrame:
     """(id, canon_id): each declaration to the first implementation of its name, where there is one."""
-    functions = by_id(graph.of("FUNCTION"))
+    functions = by_id(graph.of("FUNCTION"), "name", "is_declaration")
     first = functions.where(~F.col("is_declaration")).groupBy("name").agg(F.min_by("id", "ord").alias("canon_id"))
     return functions.where("is_declaration").join(first, "name").select("id", "canon_id")
 
@@ -59,12 +59,12 @@ def equivalents(graph: Graph, canon: DataFrame | None = None) -> DataFrame:
 
 def name_ids(graph: Graph) -> DataFrame:
     """(name, id, ord): all functions of a name."""
-    return by_id(graph.of("FUNCTION")).select("name", "id", "ord")
+    return by_id(graph.of("FUNCTION"), "name").select("name", "id", "ord")
 
 
 def latest(graph: Graph) -> DataFrame:
     """(name, id): the function that a name stands for, the last in the file."""
-    return by_name(graph.of("FUNCTION")).select("name", "id")
+    return by_name(graph.of("FUNCTION"), "id").select("name", "id")
 
 
 def async_functions(graph: Graph, keywords=ASYNC_KEYWORDS, known=KNOWN_ASYNC, default=DEFAULT_ASYNC) -> DataFrame:

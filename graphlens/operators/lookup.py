@@ -17,7 +17,7 @@ def function_code(code: str = "code", body: str = "body") -> Column:
 
 def find_function(graph: Graph, name: str | Column) -> DataFrame:
     """The function of exactly this name (the last in the file), with file filled from source_file."""
-    found = identity.by_name(graph.of("FUNCTION")).where(F.col("name") == name)
+    found = identity.by_name(graph.of("FUNCTION")).select(*graph.entities.columns).where(F.col("name") == name)
     return found.withColumn("file", F.coalesce("file", "source_file"))
 
 

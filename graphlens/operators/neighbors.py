@@ -12,7 +12,7 @@ from graphlens.schema import Graph
 def name_edges(graph: Graph) -> DataFrame:
     """(caller, callee): distinct names; all ids of a name and their equivalents call; only functions are called."""
     canon = identity.decl_impl_map(graph)
-    functions = identity.by_id(graph.of("FUNCTION")).select("id", "name")
+    functions = identity.by_id(graph.of("FUNCTION"), "name").select("id", "name")
     heads = identity.equivalents(graph, canon).join(functions, "id").select(F.col("name").alias("caller"), F.col("eq_id").alias("head"))
     calls = graph.rel("CALLS").select("head", "tail").distinct()
     rows = identity.normalize(calls, canon, "tail").join(functions.toDF("tail", "callee"), "tail").join(heads, "head")
@@ -29,7 +29,7 @@ def callers(graph: Graph, names: DataFrame) -> DataFrame:
 
 def call_frequency(graph: Graph) -> DataFrame:
     """(name, n_callers, n_sites): distinct calling names, and call rows, of each called function."""
-    functions = identity.by_id(graph.of("FUNCTION")).select("id", "name")
+    functions = identity.by_id(graph.of("FUNCTION"), "name").select("id", "name")
     distinct = name_edges(graph).groupBy(F.col("callee").alias("name")).agg(F.count("*").alias("n_callers"))
     canon = identity.decl_impl_map(graph)
     sites = identity.normalize(graph.rel("CALLS").select("head", "tail"), canon, "tail").join(functions.toDF("tail", "name"), "tail").groupBy("name").agg(F.count("*").alias("n_sites"))
@@ -38,7 +38,7 @@ def call_frequency(graph: Graph) -> DataFrame:
 
 def variables_of(graph: Graph) -> DataFrame:
     """(function, variable): variables that functions contain."""
-    entities = identity.by_id(graph.entities)
+    entities = identity.by_id(graph.entities, "name", "type")
     held = graph.rel("CONTAINS").select("head", "tail")
     return held.join(entities.where("type = 'FUNCTION'").select(F.col("id").alias("head"), F.col("name").alias("function")), "head").join(
         entities.where("type = 'VARIABLE'").select(F.col("id").alias("tail"), F.col("name").alias("variable")), "tail").select("function", "variable")
@@ -46,7 +46,7 @@ def variables_of(graph: Graph) -> DataFrame:
 
 def structs_of(graph: Graph) -> DataFrame:
     """(function, struct): distinct types of the variables that functions contain."""
-    entities = identity.by_id(graph.entities).select("id", "name")
+    entities = identity.by_id(graph.entities, "name").select("id", "name")
     typed = graph.rel("TYPE_OF").select("head", "tail").join(entities.toDF("head", "variable"), "head").join(entities.toDF("tail", "struct"), "tail")
     return variables_of(graph).join(typed.select("variable", "struct"), "variable").select("function", "struct").distinct()
 
@@ -54,7 +54,7 @@ def structs_of(graph: Graph) -> DataFrame:
 def function_context(graph: Graph, names: DataFrame) -> DataFrame:
     """names (name) -> one record each: file, code, callers, callees, variables, structs (sorted)."""
     asked = names.select("name").distinct()
-    one = identity.by_name(graph.of("FUNCTION")).select("name", F.coalesce("file", "source_file").alias("file"), lookup.function_code().alias("code"))
+    one = identity.by_name(graph.of("FUNCTION"), "file", "source_file", "code", "body").select("name", F.coalesce("file", "source_file").alias("file"), lookup.function_code().alias("code"))
     edges = name_edges(graph)
     gather = lambda df, key, value, to: df.groupBy(F.col(key).alias("name")).agg(F.sort_array(F.collect_set(value)).alias(to))
     out = asked.join(one, "name")

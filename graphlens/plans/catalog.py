@@ -32,16 +32,12 @@ def query(name: str, oracle: str | None = None, graph: bool = True):
     return put
 
 
-def _stored(graph: Graph) -> Graph:
-    return Graph(tables.stored(graph.entities, "entities"), tables.stored(graph.relations, "relations"))
+def homonyms(spark, d, stored=False):
+    return derive.part_graph(spark, d, unique=False, stored=stored)
 
 
-def homonyms(spark, d):
-    return _stored(derive.part_graph(spark, d, unique=False))
-
-
-def by_key(spark, d):
-    return _stored(derive.part_graph(spark, d, unique=True))
+def by_key(spark, d, stored=False):
+    return derive.part_graph(spark, d, unique=True, stored=stored)
 
 
 def pairs(spark) -> DataFrame:
@@ -150,13 +146,13 @@ _NAME_EDGES = """name_edges AS (
 
 @query("callees", f", {_NAME_EDGES} SELECT * FROM name_edges")
 def _(spark, d):
-    g = homonyms(spark, d)
+    g = homonyms(spark, d, stored=True)
     return neighbors.callees(g, g.of("FUNCTION").select("name"))
 
 
 @query("callers", f", {_NAME_EDGES} SELECT * FROM name_edges WHERE contains(callee, 'bolt')")
 def _(spark, d):
-    g = homonyms(spark, d)
+    g = homonyms(spark, d, stored=True)
     return neighbors.callers(g, g.of("FUNCTION").where(F.contains("name", F.lit("bolt"))).select("name"))
 
 
@@ -170,7 +166,7 @@ SELECT id, callee, call_line, is_indirect, count(*) AS n FROM (
   JOIN (SELECT DISTINCT field, hname AS callee FROM fn WHERE p_size = 1) a ON a.field = t.field WHERE c.flag = 'R')
 GROUP BY ALL""")
 def _(spark, d):
-    return E.callees_with_lines(homonyms(spark, d)).groupBy("id", "callee", "call_line", "is_indirect").agg(F.count("*").alias("n"))
+    return E.callees_with_lines(homonyms(spark, d, stored=True)).groupBy("id", "callee", "call_line", "is_indirect").agg(F.count("*").alias("n"))
 
 
 @query("assigned_to", "SELECT DISTINCT field, hname AS target FROM fn WHERE p_size = 1")
@@ -188,7 +184,7 @@ SELECT DISTINCT h.uname AS caller, n.uname AS async_callee, t.uname AS target, n
 FROM calls c JOIN fn h ON h.k = c.head JOIN fn n ON n.k = c.nxt JOIN fn t ON t.field = n.field AND t.p_size = 1
 WHERE c.flag <> 'R' AND c.nxt % 10 = 7""")
 def _(spark, d):
-    return E.async_edges(by_key(spark, d)).select("caller", "async_callee", "target", "field")
+    return E.async_edges(by_key(spark, d, stored=True)).select("caller", "async_callee", "target", "field")
 
 
 _BRIDGED = "bridged AS (SELECT uname AS b, k, CASE WHEN contains(field, 'func') THEN 'async' ELSE 'function_pointer' END AS bridge_type FROM fn WHERE p_size = 1 AND (contains(field, 'func') OR contains(field, 'ops')))"
@@ -197,7 +193,7 @@ _BRIDGED = "bridged AS (SELECT uname AS b, k, CASE WHEN contains(field, 'func')
 @query("bridge_pairs", f""", {_BRIDGED}
 SELECT DISTINCT h.uname AS a, b, bridge_type FROM calls c JOIN fn h ON h.k = c.head JOIN bridged ON bridged.k = c.nxt WHERE c.flag <> 'R'""")
 def _(spark, d):
-    g = by_key(spark, d)
+    g = by_key(spark, d, stored=True)
     asked = neighbors.name_edges(g).select(F.col("caller").alias("a"), F.col("callee").alias("b"))
     return E.bridge_pairs(g, asked).select("a", "b", "bridge_type")
 
@@ -210,7 +206,7 @@ SELECT hname AS name, 'src/' || lower(fn.p_type) || '.c' AS file, hname || '();'
   (SELECT string_agg(s, '>' ORDER BY s) FROM (SELECT DISTINCT lower(g.p_type) AS s FROM fn f JOIN fn g ON g.p_size = f.p_size WHERE f.hname = last.hname)) AS structs
 FROM last JOIN fn USING (hname, k)""")
 def _(spark, d):
-    g = homonyms(spark, d)
+    g = homonyms(spark, d, stored=True)
     out = neighbors.function_context(g, g.of("FUNCTION").select("name"))
     return out.select("name", "file", "code", *[joined(c).alias(c) for c in ("callers", "callees", "variables", "structs")])
 
@@ -220,7 +216,7 @@ SELECT name, n_callers, n_sites
 FROM (SELECT callee AS name, count(*) AS n_callers FROM name_edges GROUP BY callee)
 JOIN (SELECT t.hname AS name, count(*) AS n_sites FROM calls c LEFT JOIN canon m ON m.k = c.nxt JOIN fn t ON t.k = coalesce(m.canon, c.nxt) WHERE c.flag <> 'R' GROUP BY t.hname) USING (name)""")
 def _(spark, d):
-    return neighbors.call_frequency(homonyms(spark, d))
+    return neighbors.call_frequency(homonyms(spark, d, stored=True))
 
 
 # --- reach and paths ---
@@ -270,7 +266,7 @@ def _(spark, d):
     return reach.levels(back, pairs(spark).select("qid", F.col("goal").alias("node")), 3)
 
 
-def _chains_sql(k: int) -> str:
+def _chains_sql(k: int | None) -> str:
     return f""", {PAIRS_SQL},
 chains AS (
   SELECT qid, goal, start AS node, false AS arrived, [start] AS ids, 0::BIGINT AS sum_line, 0 AS n_line, 0 AS indirect_count,
@@ -292,18 +288,16 @@ scored AS (
   FROM chains WHERE node = goal),
 top AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, length, path, line_text)::INT AS rank FROM scored
-  QUALIFY rank <= {k})"""
+  {"" if k is None else f"QUALIFY rank <= {k}"})"""
 
 
 _CHAINS = _chains_sql(K)
-#: So many chains of each pair are looked at for breaks: the best ones seldom have any.
-MANY = 5000
 
 
 def _topk(spark, d, mode="exact", keys=None, k=K):
-    g = by_key(spark, d)
+    g = by_key(spark, d, stored=True)
     names = g.of("FUNCTION").select(F.col("id").alias("node"), "name")
-    return paths.topk_paths(E.search_edges(g), pairs(spark), names, k, DEPTH, mode, keys)
+    return paths.topk_paths(E.search_steps(g), pairs(spark), names, k, DEPTH, mode, keys)
 
 
 def _lines():
@@ -320,12 +314,12 @@ def _(spark, d):
     return _topk(spark, d, "first_k").select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length")
 
 
-@query("path_breaks", _chains_sql(MANY) + """
+@query("path_breaks", _chains_sql(None) + """
 SELECT qid, rank, (i - 1)::INT AS position, string_split(path, '>')[i] AS "from", string_split(path, '>')[i + 1] AS "to",
        true AS fixed, CASE kinds[i] WHEN 'async' THEN 'async' ELSE 'function_pointer' END AS method
 FROM (SELECT *, unnest(range(1, length)) AS i FROM top) WHERE kinds[i] <> 'direct'""")
 def _(spark, d):
-    return rank.path_breaks(_topk(spark, d, k=MANY))
+    return rank.path_breaks(_topk(spark, d, k=None))
 
 
 @query("path_summary", _CHAINS + """
@@ -365,17 +359,17 @@ met AS (
 SELECT qid, node, coalesce(bridge_type, '') AS bridge_type, array_to_string(list_concat(f, b[2:]), '>') AS path FROM met
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (bridge_type IS NOT NULL) DESC, len(f) + len(b) - 1, node) = 1""")
 def _(spark, d):
-    return stitch.stitch_paths(by_key(spark, d), _named_pairs(spark), DEPTH).select("qid", "node", F.coalesce("bridge_type", F.lit("")).alias("bridge_type"), joined("path").alias("path"))
+    return stitch.stitch_paths(by_key(spark, d, stored=True), _named_pairs(spark), DEPTH).select("qid", "node", F.coalesce("bridge_type", F.lit("")).alias("bridge_type"), joined("path").alias("path"))
 
 
 @query("layered_paths")
 def _(spark, d):
-    return stitch.layered_paths(by_key(spark, d), _named_pairs(spark), DEPTH).withColumn("path", joined("path"))
+    return stitch.layered_paths(by_key(spark, d, stored=True), _named_pairs(spark), DEPTH).withColumn("path", joined("path"))
 
 
 @query("break_repairs")
 def _(spark, d):
-    g = by_key(spark, d)
+    g = by_key(spark, d, stored=True)
     found = tables.stored(stitch.stitch_paths(g, _named_pairs(spark), DEPTH), "stitched")
     return stitch.break_repairs(g, found)
 
@@ -383,7 +377,7 @@ def _(spark, d):
 @query("report_json")
 def _(spark, d):
     asked = _named_pairs(spark).select(F.col("qid").cast("string").alias("log_id"), F.col("start").alias("start_func"), F.col("goal").alias("end_func"), F.array(F.lit("fn_10")).alias("intermediate_funcs"))
-    out = analysis.analyse_functions(by_key(spark, d), asked, K, DEPTH)
+    out = analysis.analyse_functions(by_key(spark, d, stored=True), asked, K, DEPTH)
     return out.select("log_id", "success", "path_count", F.to_json("paths").alias("paths"), "error")
 
 

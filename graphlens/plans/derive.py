@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens import schema
+from graphlens import schema, tables
 from graphlens.schema import Graph
 
 
@@ -44,9 +44,12 @@ def item_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("next IS NOT NULL AND next != l_partkey").select(F.col("l_partkey").alias("head"), "next", F.col("l_linenumber").alias("call_line"), F.col("l_returnflag").alias("flag"), "ord")
 
 
-def part_graph(spark: SparkSession, sf_dir: str, unique: bool) -> Graph:
+def part_graph(spark: SparkSession, sf_dir: str, unique: bool, stored: bool = False) -> Graph:
+    """stored: the calls are written once, for plans that read them several times; nothing else is."""
     part = table(spark, sf_dir, "part")
     calls = item_calls(spark, sf_dir)
+    if stored:
+        calls = tables.stored(calls, "item-calls")
     key = F.col("p_partkey")
     functions = part.select(
         key.cast("string").alias("id"), (unique_name(key) if unique else F.col("p_name")).alias("name"), F.lit("FUNCTION").alias("type"), (key % 4 == 0).alias("is_declaration"),

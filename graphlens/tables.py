@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 #: A side is broadcast only if its counted rows and their measured bytes stay under these.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -36,6 +38,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def stored_counting(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stored(), and what aggregates over the rows came to while they were written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), tag)
+    return out, {name: seen.get[name] or 0 for name in metrics}
+
+
+def stored_together(**dfs: DataFrame) -> dict[str, DataFrame]:
+    """Each of some tables stored() under its name; their jobs run side by side, so small ones fill each other's gaps."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        jobs = {tag: pool.submit(inheritable_thread_target(df.sparkSession)(stored), df, tag) for tag, df in dfs.items()}
+        return {tag: job.result() for tag, job in jobs.items()}
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by stored() that nothing reads any more."""
     path = getattr(df, "_stored_at", None)

@@ -37,7 +37,7 @@ def search(spark, g, start, goal, k=5, depth=30, mode="exact", keys=None, indire
     queries = spark.createDataFrame([(0, nodes[start], nodes[goal])], "qid int, start string, goal string")
     names = identity.by_id(g.entities).select(F.col("id").alias("node"), "name")
     keys = None if keys is None else spark.createDataFrame([(0, keys)], "qid int, keys array<string>")
-    return paths.topk_paths(E.search_edges(g, indirect, indirect), queries, names, k, depth, mode, keys).orderBy("rank").collect()
+    return paths.topk_paths(E.search_steps(g, indirect, indirect), queries, names, k, depth, mode, keys).orderBy("rank").collect()
 
 
 def test_identity(spark):
@@ -193,3 +193,70 @@ def test_first_k_equals_a_queue(spark, k):
     for r in paths.topk_paths(E.search_edges(g), asked, names, k, 6, "first_k").orderBy("qid", "rank").collect():
         got[r["qid"]].append((r["path"], round(r["score"], 6)))
     assert got == want and sum(map(bool, want.values())) > 15
+
+
+def random_edges(spark, rng, size, degree, late=0.1, lines=60):
+    """Edges as search_edges() gives them, and the same as calls of each node."""
+    rows, of = [], {}
+    for a in range(size):
+        for b in rng.sample(range(size), degree):
+            if a != b:
+                kind = "indirect" if rng.random() < late else "direct"
+                rows.append((str(a), str(b), kind, rng.randint(0, lines), len(rows), str(b) if kind == "indirect" else "", None, "f" if kind == "indirect" else None))
+                of.setdefault(str(a), []).append(rows[-1])
+    return spark.createDataFrame(rows, "src string, dst string, kind string, call_line int, ord long, sub string, mid string, via string"), of
+
+
+def all_chains(of, start, goal, depth):
+    """Every chain of a search: the slack rule by the shortest way to each state, then depth first."""
+    seen, queue, first = {(start, False)}, deque([(start, False, 1)]), {}
+    while queue:
+        node, arrived, n = queue.popleft()
+        if node == goal:
+            continue
+        first[node] = min(first.get(node, 99), n)
+        for _, b, kind, *_ in of.get(node, []):
+            if (kind == "direct" or not arrived) and (b, kind != "direct") not in seen and n < depth:
+                seen.add((b, kind != "direct"))
+                queue.append((b, kind != "direct", n + 1))
+    out, stack = [], [(start, [start], [], 0, False)]
+    while stack:
+        node, path, lines, late, arrived = stack.pop()
+        if node == goal:
+            mean = sum(lines) / len(lines) if lines else 0
+            out.append((1000 - len(path) - 10 * late - mean / 100, len(path), path, lines))
+        elif len(path) < depth and len(path) < first[node] + 3:
+            for _, b, kind, line, *_ in of.get(node, []):
+                if b not in path and (kind == "direct" or not arrived):
+                    stack.append((b, path + [b], lines + [line], late + (kind != "direct"), kind != "direct"))
+    return out
+
+
+@pytest.mark.parametrize("depth,lines", [(5, 9), (9, 3000)])
+def test_best_k_equals_all_chains(spark, depth, lines):
+    rng = random.Random(depth)
+    edges, of = random_edges(spark, rng, 14, 4, 0.2, lines)
+    asked = [(n, str(rng.randrange(14)), str(rng.randrange(14))) for n in range(12)]
+    queries = spark.createDataFrame(asked, "qid int, start string, goal string")
+    names = spark.createDataFrame([(str(n), f"n{n}") for n in range(14)], "node string, name string")
+    keys = spark.createDataFrame([(n, ["n3", "n5", "gone", "n3"]) for n, _, _ in asked if n % 2], "qid int, keys array<string>")
+    for told in (None, keys):
+        want = {}
+        for n, a, b in asked:
+            boost = 50 if told is not None and n % 2 else 0
+            found = [(s + boost * len({"3", "5"} & set(p)), c, [f"n{x}" for x in p], ls) for s, c, p, ls in all_chains(of, a, b, depth)]
+            want[n] = [round(x[0], 6) for x in sorted(found, key=lambda x: (-x[0], x[1], ">".join(x[2])))[:4]]
+        got = {n: [] for n, _, _ in asked}
+        for r in paths.topk_paths(edges, queries, names, 4, depth, "exact", told).orderBy("qid", "rank").collect():
+            got[r["qid"]].append(round(r["score"], 6))
+        assert got == want and sum(map(bool, want.values())) > 6
+
+
+def test_deep_search_stays_under_a_bound(spark):
+    rng = random.Random(7)
+    edges, of = random_edges(spark, rng, 400, 12, 0.1, 40)  # 12 ** 29 walks of 30 nodes
+    queries = spark.createDataFrame([(0, "1", "2"), (1, "3", "4")], "qid int, start string, goal string")
+    for mode in ("exact", "first_k"):
+        done = paths.search(edges, queries, 30, 3, mode)
+        assert done.rows < 20_000, (mode, done.rows)
+        assert {r["qid"]: r["n"] >= 3 for r in done.chains().groupBy("qid").agg(F.count("*").alias("n")).collect()} == {0: True, 1: True}
