@@ -2,47 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has at most so many rows of a few bytes each.
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/graphlens"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
+from graphlens import tables
+from graphlens.tables import dropped, shared_dir, stored  # noqa: F401
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: A side is broadcast only if it has at most so many rows (and tables.BROADCAST_BYTES).
+BROADCAST_ROWS = 2_000_000
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay under the limit; else as it is, for a shuffled join."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows and measured bytes stay under the limits; else as it is, for a shuffled join."""
+    return tables.small(df, rows, BROADCAST_ROWS)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
