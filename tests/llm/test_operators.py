@@ -298,8 +298,35 @@ def test_nearest_neighbours(spark):
         assert sorted(found) == list(range(1, 21)) and [found[r][1] for r in sorted(found)] == sorted((v[1] for v in found.values()), reverse=True)
         hit += len(set(best) & {v[0] for v in found.values()})
     assert hit / (20 * len(got)) >= 0.9
-    empty, none = ann.build_index(df.where("vec_id > 9999"))
-    assert ann.nearest(empty, none, empty).count() == 0
+    for rows in (df.where("vec_id > 9999"), df.where("vec_id IN (401, 420, 440)"), df.select("vec_id", F.lit(None).cast("array<double>").alias("embedding"))):
+        empty, none = ann.build_index(rows)
+        assert ann.nearest(empty, none, empty).count() == 0
+    few, own = ann.build_index(spark.createDataFrame([(20, [1.0, 2.0]), (7, [2.0, 1.0]), (8, []), (9, []), (10, [])], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in ann.nearest(few, own, few.where("vec_id % 20 = 0")).collect()] == [(20, 1, 7, 4.0)]
+
+
+def test_codes_find_the_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(21000, 32)) * 0.5 + rng.normal(size=(300, 32))[rng.integers(0, 300, 21000)]
+    x = x.astype(np.float32)
+    x[rng.permutation(21000)[:7000]] = x[0]  # a third of all rows is one vector
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(21000), "embedding": pa.array(list(x))})).repartition(8)
+    index, model = ann.build_index(df)
+    assert index.count() == 21000
+    asked = np.arange(0, 21000, 60)
+    wide, length = x.astype(np.float64), np.linalg.norm(x.astype(np.float64), axis=1)
+    for metric in ann.METRICS:
+        got = ann.nearest(index, model, index.where(F.col("vec_id") % 60 == 0), shortlist=1024, metric=metric).toPandas()  # under a twentieth is reranked
+        s = wide[asked] @ wide.T
+        s = s / length / length[asked][:, None] if metric == "cosine" else 2 * s - length**2 - (length**2)[asked][:, None] if metric == "euclidean" else s
+        s[np.arange(len(asked)), asked] = -np.inf
+        hit = 0
+        for k, q in enumerate(asked):
+            best = np.lexsort((np.arange(21000), -s[k].round(9)))[:20]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine.score, s[k][mine.vec_id], atol=1e-6)
+            hit += len(set(best) & set(mine.vec_id))
+        assert hit / (20 * len(asked)) >= 0.9, metric
 
 
 def test_mixing(spark):
