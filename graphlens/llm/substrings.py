@@ -25,8 +25,18 @@ Contexts are compared by 96-bit fingerprints, edges by their bytes. Boundaries
 of one context inside a batch are folded before they are sent, so a passage
 that is everywhere costs one record a batch.
 
+Memory: fingerprints and contexts are grouped by slices of the hashes' space,
+which hold about SLICE_BYTES of text however large the corpus is; a partition is
+sorted by slice and worked through a slice at a time. A core may still stand in
+very many different contexts (the edge of a passage that a third of all texts
+hold). Its windows part company: each goes, as a 128-bit fingerprint of its WIDTH
+bytes, to a partition of its own, and equal ones of a batch are folded into the
+first. Such cores are found by a sample ahead of the parse, so their fingerprints
+don't meet either, and for certain by step 1's counts. Which way a core takes
+changes no result.
+
 Defined cases: null texts are empty; texts shorter than a window lose nothing;
-rows that share a doc_id come one after another, ordered by text; a null
+rows that share a doc_id come one after another, ordered by a hash of the text; a null
 doc_id comes first; an empty table gives no rows; other columns are ignored.
 """
 
@@ -52,6 +62,15 @@ SORTED = 1 << 13
 #: Bytes of text that are parsed at once, that one batch of records is made from, and one of contexts (a longer text is one of its own).
 STEP, RECORDS, CONTEXTS = 1 << 19, 1 << 26, 1 << 23
 
+#: Bytes of text whose records one slice of a partition holds, about.
+SLICE_BYTES = 1 << 26
+#: Contexts of a core from which its windows go apart; share (or bytes) of the text in which such cores are looked for, and how often a core must be found there.
+HOT = SORTED
+SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_HITS, MOST_HOT = 1e-4, 1 << 26, 64, 100_000
+
+RECORD = "part int, slice int, data binary"
+
+_BYTE_TWO = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _ONE, _TWO = 65536 // RARE, 65536 // RARE + 65536 // DENSE
 
 
@@ -156,13 +175,48 @@ def _lists(doc: np.ndarray, *marked: tuple[np.ndarray, np.ndarray]) -> list[pa.A
     return out
 
 
-def _routes(spark, n: int) -> np.ndarray:
-    """For each partition of n a key that hash partitioning sends there."""
-    rows = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).groupBy("to").agg(F.min("key").alias("key")).collect()
-    out = np.zeros(n, np.int32)
-    for r in rows:
-        out[r["to"]] = r["key"]
-    return out
+class _Routes:
+    """Where records go: the hashes' space in equal groups, several slices of each partition."""
+
+    def __init__(self, spark, partitions: int, slices: int):
+        self.partitions, self.slices, self.hot = partitions, slices, HOT
+        rows = spark.range(40 * partitions + 200).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("to")).groupBy("to").agg(F.min("key").alias("key")).collect()
+        self.key = np.zeros(partitions, np.int32)  # for each partition a value that hash partitioning sends there
+        for r in rows:
+            self.key[r["to"]] = r["key"]
+
+    def groups(self, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(partition's key, slice, rows in order) of each group that has rows. The lower 24 bits of the hashes decide."""
+        n = self.partitions * self.slices
+        where = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) * n >> 24
+        by = np.argsort(where, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(where[by], prepend=-1)), len(by))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            group = int(where[by[a]])
+            yield int(self.key[group // self.slices]), group % self.slices, by[a:b]
+
+    def exchanged(self, records: DataFrame) -> DataFrame:
+        out = records.repartition(self.partitions, "part")
+        return out.sortWithinPartitions("slice") if self.slices > 1 else out
+
+
+def _records(parts: list[int], slices: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(slices, pa.int32()), pa.array(data, pa.binary())], ["part", "slice", "data"])
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The records of each slice of a partition."""
+    held: list[bytes] = []
+    now = None
+    for batch in batches:
+        for which, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if held and which != now:
+                yield held
+                held = []
+            now = which
+            held.append(raw)
+    if held:
+        yield held
 
 
 def _in_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -174,9 +228,39 @@ def _in_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
             yield part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
 
 
-def _parser(routes: np.ndarray):
-    """(doc_id, text) -> (part, data): data is records (first byte 0) or repeats found already (1)."""
-    n = len(routes)
+def _folded(core: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a first context, rows of its repeats), both in order."""
+    order = np.lexsort((context, core))  # stable: the first of equals is the earliest
+    same = np.zeros(len(order), bool)
+    same[1:] = (core[order[1:]] == core[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+    return np.sort(order[~same]), np.sort(order[same])
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (core, n): different contexts of each core in a batch."""
+    for batch in _in_batches(batches, RECORDS):
+        buf, offs = textkit.flat(batch.column(1))
+        held = [Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in textkit.chunks(offs, STEP)]
+        core, context = (np.concatenate([getattr(p, name) for p in held]) for name in ("core", "context"))
+        first, _ = _folded(core, context)
+        found, n = np.unique(core[first], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["core", "n"])
+
+
+def hot_cores(rows: DataFrame, size: int) -> np.ndarray:
+    """Cores that a sample of the texts shows in very many contexts, sorted; at most MOST_HOT."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(size, 1)))
+    picked = rows.where(common.hash_key(F.col("doc_id"), "hot") < int(share * 2**60))
+    counted = picked.mapInArrow(_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where(F.col("n") >= max(SAMPLE_HITS, int(HOT * share)))
+    return np.sort(np.array([r["core"] for r in counted.orderBy(F.desc("n"), "core").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+
+
+#: What a flagged boundary is: a repeat as a whole, one to be solved with its core, one whose windows go apart.
+_REPEAT, _SOLVE, _APART = 0, 1, 2
+
+
+def _parser(routes: _Routes, hot: np.ndarray):
+    """(doc_id, text) -> records: fingerprints (first byte 0) or boundaries flagged already (1)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_batches(batches, RECORDS):
@@ -187,91 +271,86 @@ def _parser(routes: np.ndarray):
                 p = Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 held.append((p.core, p.context, ids[i + p.text], p.k.astype(np.int32)))
             core, context, doc, k = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((context, core))  # stable: the first of equals is the earliest
-            same = np.zeros(len(order), bool)
-            same[1:] = (core[order[1:]] == core[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-            again = np.sort(order[same])
-            sent = np.sort(order[~same])
-            core, context, where = core[sent], context[sent], (core[sent] & np.uint64(0xFFFF)).astype(np.int64) * n >> 16
-            parts, data = [], []
-            by = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[by], np.arange(n + 1))
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                own = by[cuts[r] : cuts[r + 1]]
-                parts.append(routes[r])
-                data.append(b"\0" + _pack(_six(core[own]), _six(context[own]), *_places(doc[sent[own]], k), k[sent[own]]))
-            if len(again):
-                parts.append(routes[int(ids[0]) % n])
-                data.append(b"\1" + zlib.compress(_pack(*_places(doc[again], k), k[again]), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+            sent, again = _folded(core, context)
+            apart = np.isin(core[sent], hot, kind="sort") if len(hot) else np.zeros(len(sent), bool)
+            known = [(again, _REPEAT), (sent[apart], _APART)]
+            sent = sent[~apart]
+            parts, slices, data = [], [], []
+            for part, which, own in routes.groups(core[sent]):
+                parts.append(part)
+                slices.append(which)
+                data.append(b"\0" + _pack(_six(core[sent[own]]), _six(context[sent[own]]), *_places(doc[sent[own]], k), k[sent[own]]))
+            for own, flag in known:
+                if len(own):
+                    parts.append(int(routes.key[int(ids[0]) % routes.partitions]))
+                    slices.append(0)
+                    data.append(b"\1" + zlib.compress(_pack(*_places(doc[own], k), (k[own].astype(np.int64) * 4 + flag).astype("<i4")), 1))
+            yield _records(parts, slices, data)
 
     return parse
 
 
-def _dealt(doc: np.ndarray, k: np.ndarray, solve: np.ndarray, routes: np.ndarray) -> pa.RecordBatch:
-    """Flagged boundaries -> (part, data), a record for each partition of documents."""
-    n = len(routes)
-    where = (textkit.mix(doc.astype(np.uint64)) >> np.uint64(48)).astype(np.int64) * n >> 16
-    by = np.lexsort((k, doc, where))
-    cuts = np.searchsorted(where[by], np.arange(n + 1))
-    flagged = (k.astype(np.int64) * 2 + solve).astype("<i4")
-    parts, data = [], []
-    for r in np.flatnonzero(np.diff(cuts)).tolist():
-        own = by[cuts[r] : cuts[r + 1]]
-        parts.append(routes[r])
-        data.append(_pack(*_places(doc[own], own), flagged[own]))
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+def _dealt(doc: np.ndarray, flagged: np.ndarray, routes: _Routes) -> pa.RecordBatch:
+    """Flagged boundaries (number * 4 + flag) -> a record for each group of documents."""
+    order = np.lexsort((flagged, doc))
+    doc, flagged = doc[order], flagged[order]
+    parts, slices, data = [], [], []
+    for part, which, own in routes.groups(textkit.mix(doc.astype(np.uint64))):
+        parts.append(part)
+        slices.append(which)
+        data.append(_pack(*_places(doc[own], own), flagged[own].astype("<i4")))
+    return _records(parts, slices, data)
 
 
-def _judge(routes: np.ndarray):
-    """Records of a partition -> (part, data): boundaries that are repeats, and those to be solved, dealt by document."""
+def _judge(routes: _Routes):
+    """Records of fingerprints -> boundaries that are repeats, and those to be solved, dealt by document."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cores, contexts, docs, ks = [], [], [], []
-        for batch in batches:
-            for raw in batch.column(1).to_pylist():
+        for held in _by_slice(batches):
+            cores, contexts, docs, ks = [], [], [], []
+            for raw in held:
                 if raw[0]:
-                    step, count, k = _unpack(zlib.decompress(raw[1:]), "<i8", "<u4", "<i4")
-                    yield _dealt(np.repeat(np.cumsum(step), count), k, np.zeros(len(k), bool), routes)
+                    step, count, flagged = _unpack(zlib.decompress(raw[1:]), "<i8", "<u4", "<i4")
+                    yield _dealt(np.repeat(np.cumsum(step), count), flagged, routes)
                 else:
                     core, context, step, count, k = _unpack(raw[1:], "u1", "u1", "<i8", "<u4", "<i4")
                     cores.append(_from_six(core)), contexts.append(_from_six(context))
                     docs.append(np.repeat(np.cumsum(step), count)), ks.append(k)
-        if not cores:
-            return
-        core, context, doc, k = (np.concatenate(x) for x in (cores, contexts, docs, ks))
-        order = np.lexsort((k, doc, context, core))
-        core, context, doc, k = core[order], context[order], doc[order], k[order]
-        new_core = np.ones(len(core), bool)
-        new_core[1:] = core[1:] != core[:-1]
-        new_context = new_core.copy()
-        new_context[1:] |= context[1:] != context[:-1]
-        contexts_of = np.add.reduceat(new_context, np.flatnonzero(new_core)) if len(core) else np.zeros(0, np.int64)
-        several = contexts_of[np.cumsum(new_core) - 1] > 1
-        flagged = ~new_context | several
-        yield _dealt(doc[flagged], k[flagged], new_context[flagged], routes)
+            if not cores:
+                continue
+            core, context, doc, k = (np.concatenate(x) for x in (cores, contexts, docs, ks))
+            del held, cores, contexts, docs, ks
+            order = np.lexsort((k, doc, context, core))
+            core, context, doc, k = core[order], context[order], doc[order], k[order]
+            new_core = np.ones(len(core), bool)
+            new_core[1:] = core[1:] != core[:-1]
+            new_context = new_core.copy()
+            new_context[1:] |= context[1:] != context[:-1]
+            several = np.add.reduceat(new_context, np.flatnonzero(new_core))[np.cumsum(new_core) - 1]
+            flagged = ~new_context | (several > 1)
+            flag = np.where(new_context, np.where(several > routes.hot, _APART, _SOLVE), _REPEAT)
+            yield _dealt(doc[flagged], k[flagged].astype(np.int64) * 4 + flag[flagged], routes)
 
     return judge
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flagged boundaries of a partition's documents -> (doc_id, full, solve): numbers of those that are repeats, and of those to be solved."""
-    docs, flags = [], []
-    for batch in batches:
-        for raw in batch.column(1).to_pylist():
+    """Flagged boundaries of documents -> (doc_id, full, solve): numbers of repeats; of those to be solved, twice their number and whether their windows go apart."""
+    for held in _by_slice(batches):
+        docs, flags = [], []
+        for raw in held:
             step, count, flagged = _unpack(raw, "<i8", "<u4", "<i4")
             docs.append(np.repeat(np.cumsum(step), count)), flags.append(flagged)
-    if not docs:
-        return
-    doc, flagged = np.concatenate(docs), np.concatenate(flags)
-    order = np.lexsort((flagged, doc))
-    doc, k, solve = doc[order], flagged[order] >> 1, (flagged[order] & 1).astype(bool)
-    ids = np.unique(doc)
-    for a in range(0, len(ids), 10_000):
-        part = ids[a : a + 10_000]
-        own = slice(np.searchsorted(doc, part[0]), np.searchsorted(doc, part[-1], "right"))
-        d, x, s = doc[own], k[own], solve[own]
-        yield pa.RecordBatch.from_arrays(_lists(part, (d[~s], x[~s]), (d[s], x[s])), ["doc_id", "full", "solve"])
+        doc, flagged = np.concatenate(docs), np.concatenate(flags)
+        order = np.lexsort((flagged, doc))
+        doc, k, flag = doc[order], flagged[order] >> 2, flagged[order] & 3
+        solve = flag > 0
+        ids = np.unique(doc)
+        for a in range(0, len(ids), 10_000):
+            part = ids[a : a + 10_000]
+            own = slice(np.searchsorted(doc, part[0]), np.searchsorted(doc, part[-1], "right"))
+            d, x, s = doc[own], k[own], solve[own]
+            yield pa.RecordBatch.from_arrays(_lists(part, (d[~s], x[~s]), (d[s], x[s] * 2 + (flag[own][s] == _APART))), ["doc_id", "full", "solve"])
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -280,38 +359,60 @@ def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), sizes)
 
 
-def _contexts(routes: np.ndarray):
-    """(doc_id, text, solve) -> (part, data): the contexts of boundaries to be solved."""
-    n = len(routes)
+def _windows(buf: np.ndarray, p: Parse, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two fingerprints, start, text) of every window of some boundaries."""
+    n = p.hi[pick] - p.lo[pick] + 1
+    at = np.repeat(p.lo[pick] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    one, two = (textkit.spans(textkit.prefix(buf, table), at, at + WIDTH) for table in (textkit._BYTE, _BYTE_TWO))
+    return one, two, at, np.repeat(p.text[pick], n)
+
+
+def _contexts(routes: _Routes):
+    """(doc_id, text, solve) -> records: contexts of boundaries to be solved (first byte 0), windows that go apart (1), windows that are repeats (2)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_batches(batches, CONTEXTS):
             ids = batch.column(0).to_numpy()
             buf, offs = textkit.flat(batch.column(1))
             k, row = _numbers(batch.column(2))
+            k, far = k >> 1, (k & 1).astype(bool)
             core, doc, at, lo, hi, start = ([] for _ in range(6))
+            loose: list[tuple] = []
             for i, j in textkit.chunks(offs, STEP):
-                p = Parse(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                part = buf[offs[i] : offs[j]]
+                p = Parse(part, offs[i : j + 1] - offs[i])
                 mine = (row >= i) & (row < j)
-                pick = np.sort(np.searchsorted(p.text, row[mine] - i) + k[mine])
+                place = np.searchsorted(p.text, row[mine] - i) + k[mine]
+                pick = np.sort(place[~far[mine]])
                 core.append(p.core[pick]), doc.append(ids[i + p.text[pick]])
                 for out, x in ((at, p.at), (lo, p.lo), (hi, p.hi)):
                     out.append(x[pick] + offs[i])
                 start.append(offs[i + p.text[pick]])
+                if far[mine].any():
+                    one, two, first, text = _windows(part, p, np.sort(place[far[mine]]))
+                    loose.append((one, two, ids[i + text], first - (offs[i + text] - offs[i])))
+            parts, slices, data = [], [], []
+            if loose:
+                one, two, own_doc, first = (np.concatenate(x) for x in zip(*loose))
+                sent, again = _folded(one, two)
+                for part, which, own in routes.groups(one[sent]):
+                    parts.append(part)
+                    slices.append(which)
+                    data.append(b"\1" + _pack(one[sent[own]], two[sent[own]], own_doc[sent[own]], first[sent[own]].astype("<i4")))
+                if len(again):
+                    parts.append(int(routes.key[int(ids[0]) % routes.partitions]))
+                    slices.append(0)
+                    data.append(b"\2" + zlib.compress(_pack(own_doc[again], first[again].astype("<i4")), 1))
             core, doc, at, lo, hi, start = (np.concatenate(x) for x in (core, doc, at, lo, hi, start))
-            where = (core & np.uint64(0xFFFF)).astype(np.int64) * n >> 16
-            by = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[by], np.arange(n + 1))
-            parts, data = [], []
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                own = by[cuts[r] : cuts[r + 1]]
+            for part, which, own in routes.groups(core):
                 size = hi[own] + WIDTH - lo[own]
                 ends = np.cumsum(size)
                 text = buf[np.repeat(lo[own] - ends + size, size) + np.arange(ends[-1])]
-                parts.append(routes[r])
+                parts.append(part)
+                slices.append(which)
                 small = _pack((at - lo)[own].astype(np.uint8), (at - hi)[own].astype(np.int16), *_places(doc[own], own), (at - start)[own].astype("<i4"))
-                data.append(_pack(np.frombuffer(zlib.compress(text.tobytes(), 1), np.uint8), np.frombuffer(small, np.uint8), _six(core[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+                data.append(b"\0" + _pack(np.frombuffer(zlib.compress(text.tobytes(), 1), np.uint8), np.frombuffer(small, np.uint8), _six(core[own])))
+            yield _records(parts, slices, data)
 
     return send
 
@@ -365,21 +466,50 @@ def solve_windows(text: np.ndarray, size: np.ndarray, left: np.ndarray, most: np
     return np.concatenate(found_row), np.concatenate(found_a)
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Windows that are repeats -> (doc_id, first, last): runs of their starts."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))
+    first, last = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(start)) - 1
+    return pa.RecordBatch.from_arrays(_lists(np.unique(doc), (doc[first], start[first]), (doc[first], start[last])), ["doc_id", "first", "last"])
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a partition -> (doc_id, first, last): runs of window starts that are repeats."""
-    got: list[list] = [[] for _ in range(7)]
-    for batch in batches:
-        for raw in batch.column(1).to_pylist():
-            packed, small, core = _unpack(raw, "u1", "u1", "u1")
+    """Contexts and loose windows -> (doc_id, first, last): runs of window starts that are repeats."""
+    for held in _by_slice(batches):
+        got: list[list] = [[] for _ in range(7)]
+        loose: list[list] = []
+        for raw in held:
+            if raw[0] == 2:
+                doc, start = _unpack(zlib.decompress(raw[1:]), "<i8", "<i4")
+                yield _runs(doc, start.astype(np.int64))
+                continue
+            if raw[0] == 1:
+                loose.append(_unpack(raw[1:], "<u8", "<u8", "<i8", "<i4"))
+                continue
+            packed, small, core = _unpack(raw[1:], "u1", "u1", "u1")
             left, least, step, count, at = _unpack(small.tobytes(), "u1", "<i2", "<i8", "<u4", "<i4")
             doc = np.repeat(np.cumsum(step), count)
             left, least = left.astype(np.int64), least.astype(np.int64)
             size = left - least + WIDTH
             for out, x in zip(got, (np.frombuffer(zlib.decompress(packed.tobytes()), np.uint8), _from_six(core), doc, at.astype(np.int64), left, least, size)):
                 out.append(x)
-    if not got[0]:
-        return
-    text, core, doc, at, left, least, size = (np.concatenate(x) for x in got)
+        del held
+        if loose:
+            one, two, doc, start = (np.concatenate(x) for x in zip(*loose))
+            order = np.lexsort((start, doc, two, one))
+            one, two, doc, start = one[order], two[order], doc[order], start[order].astype(np.int64)
+            again = np.zeros(len(one), bool)
+            again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            if again.any():
+                yield _runs(doc[again], start[again])
+        if got[0]:
+            yield from _solved(*(np.concatenate(x) for x in got))
+
+
+def _solved(text, core, doc, at, left, least, size) -> Iterator[pa.RecordBatch]:
+    """The contexts of a slice, some cores at a time."""
     start = np.cumsum(size) - size
     order = np.lexsort((at, doc, core))
     cuts = np.flatnonzero(np.append(True, core[order[1:]] != core[order[:-1]]))
@@ -393,12 +523,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = text[np.repeat(start[own] - ends + size[own], size[own]) + np.arange(ends[-1])]
         row, back = solve_windows(piece, size[own], left[own], left[own], least[own])
         if len(row):
-            d, q = doc[own[row]], at[own[row]] - back
-            sort = np.lexsort((q, d))
-            d, q = d[sort], q[sort]
-            fresh = np.append(True, (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1))
-            first, last = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(q)) - 1
-            yield pa.RecordBatch.from_arrays(_lists(np.unique(d), (d[first], q[first]), (d[first], q[last])), ["doc_id", "first", "last"])
+            yield _runs(doc[own[row]], at[own[row]] - back)
         a = b
 
 
@@ -439,15 +564,12 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unique_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows with an id of their own that keeps the order, and the doc_id of each such id if they differ."""
     rows = docs.select("doc_id", "text")
-    ids = rows.groupBy("doc_id").count()
-    if ids.where("count > 1 OR doc_id IS NULL OR doc_id < 0").isEmpty():
+    if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL OR doc_id < 0").isEmpty():
         return rows, None
-    before = Window.orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    base = ids.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    joined = rows.withColumn("own", own).join(base.select(F.col("doc_id").alias("of"), "base"), F.col("doc_id").eqNullSafe(F.col("of")))
-    numbered = common.stored(joined.select((F.col("base") + F.col("own")).alias("row"), "doc_id", "text"), "numbered")
-    return numbered.select(F.col("row").alias("doc_id"), "text"), numbered.select(F.col("row"), F.col("doc_id"))
+    # ranges in order, each sorted, are numbered upwards by a partition's number and a row's place; written once, so numbers stand
+    spread = rows.repartitionByRange(common.partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    numbered = common.stored(spread.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    return numbered.select(F.col("row").alias("doc_id"), "text"), numbered.select("row", "doc_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -455,14 +577,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows, names = _unique_ids(docs)
     n = common.partitions(spark)
-    routes = _routes(spark, n)
-    sent = rows.mapInArrow(_parser(routes), "part int, data binary")
-    judged = sent.repartition(n, "part").mapInArrow(_judge(routes), "part int, data binary")
-    flags = judged.repartition(n, "part").mapInArrow(_gather, "doc_id long, full array<int>, solve array<int>")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    routes = _Routes(spark, n, max(1, -(-size // (n * SLICE_BYTES))))
+    hot = hot_cores(rows, size)
+    sent = rows.mapInArrow(_parser(routes, hot), RECORD)
+    judged = routes.exchanged(sent).mapInArrow(_judge(routes), RECORD)
+    flags = routes.exchanged(judged).mapInArrow(_gather, "doc_id long, full array<int>, solve array<int>")
     flags = common.stored(flags, "repeat-flags")
     texts = rows.where("doc_id IS NOT NULL").repartition(n, "doc_id")  # one exchange, read by both joins
     edges = texts.join(flags.where(F.size("solve") > 0).select("doc_id", "solve"), "doc_id").select("doc_id", "text", "solve")
-    solved = edges.mapInArrow(_contexts(routes), "part int, data binary").repartition(n, "part").mapInArrow(_solve, "doc_id long, first array<int>, last array<int>")
+    solved = routes.exchanged(edges.mapInArrow(_contexts(routes), RECORD)).mapInArrow(_solve, "doc_id long, first array<int>, last array<int>")
     runs = solved.groupBy("doc_id").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
     both = texts.join(flags.select("doc_id", "full"), "doc_id", "left").join(runs, "doc_id", "left")
     out = both.select("doc_id", "text", "full", "first", "last").mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -92,7 +92,13 @@ def brute_removal(rows):
     return out
 
 
-def test_repeated_substrings(spark):
+@pytest.mark.parametrize("way", ["", "slices", "apart", "sampled"])
+def test_repeated_substrings(spark, monkeypatch, way):
+    if way == "slices":
+        monkeypatch.setattr(substrings, "SLICE_BYTES", 1000)
+    if way in ("apart", "sampled"):
+        monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "SAMPLE_HITS", 2 if way == "sampled" else 10**9)
     base = ["".join(random.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
     rows = [(1, None), (2, ""), (3, "a" * 99), (4, "a" * 350), (5, "xyz" * 90)]
     for i in range(80):
@@ -103,6 +109,7 @@ def test_repeated_substrings(spark):
         rows.append((10 + i, t))
     rows.append((1000, rows[-1][1]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert (len(substrings.hot_cores(df, 1)) > 5) == (way == "sampled")
     got = {}
     for r in substrings.remove_repeats(df).collect():
         got[r["doc_id"]] = (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
@@ -112,6 +119,46 @@ def test_repeated_substrings(spark):
     assert kept == [("7", 0), ("7", 0), ("None", 400)]
 
 
+def test_repeats_across_the_steps_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    long = bytes(rng.integers(97, 123, 1_300_000, dtype=np.uint8)).decode()
+    rows = [(3, long + long[1000:1400] + "!" + long[524200:524400]), (1, "x" + long[500_000:900_000]), (2, long[5:700]), (9, "short")]
+    got = {}
+    for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] = (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+    assert got == brute_removal(rows)
+
+
+def test_long_texts_cross_every_step(spark):
+    """One text of 5 MB beside short ones: near duplicates, toxicity's n-grams, tokens and their shards."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(3000)]
+    words = [vocabulary[i] for i in rng.integers(0, 3000, 900_000)]
+    long = " ".join(words)
+    near = " ".join([*words[:-50_000], *(w + "q" for w in words[-50_000:])])
+    rows = [(1, long, "a"), (2, near, "a"), (3, " ".join(words[:400_000]), "b"), (4, "a few words", "b")]
+    df = docs_df(spark, rows)
+    assert len(long) > 5_000_000
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t, _ in rows)}
+    assert got == {1: (len(sets[1]), 1), 2: (len(sets[2]), 1), 3: (len(sets[3]), 3), 4: (1, 4)} and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) >= 0.75
+    tok, start = plain_tokenizer(), 0
+    by = {r["doc_id"]: r for r in tokens.read_shards(tokens.write_shards(df)).collect()}
+    for i, t, _ in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert (by[i]["start"], by[i]["n_tokens"], by[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    raw = long.encode()
+    slot = np.full(1 << toxicity.BITS, -1, np.int16)
+    slot[rng.integers(0, 1 << toxicity.BITS, 4000)] = np.arange(4000)
+    folded = toxicity._FOLD[np.frombuffer(raw, np.uint8)]
+    whole = set()
+    for _, x in toxicity.grams(folded):
+        whole |= set(slot[x].tolist())
+    text, feature = toxicity._presence(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), slot)
+    assert set(feature.tolist()) == whole - {-1} and len(feature) == len(set(feature.tolist())) > 100 and not text.any()
+
+
 def test_pieces_encode_as_whole_texts():
     encoder = tokens.Encoder(tokens.default_path())
     alphabet = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "'", "’", ".", "...", "12", "é", " ", "　", "日本", "<|endoftext|>", "🙂", "\r\n", "don't", "_"]
