@@ -295,10 +295,12 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     A row is a shard: its documents' ids and lengths, and the wavelet matrix of
     its tokens. Order: part, then seq. Null texts count as empty; a null doc_id
-    comes first; rows of one doc_id are ordered by text; an empty table gives
+    comes first; rows of one doc_id are ordered by a hash of the text; an empty table gives
     no shards; other columns are ignored.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id (or of none) are dealt by their text's hash too, so they fill several partitions
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
     return common.stored(ordered.mapInArrow(_writer(path or default_path(), end_id, limit), SHARD_SCHEMA), "token-shards")
 
 
@@ -319,10 +321,40 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 )
 
     found = shards.mapInArrow(read, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    ahead = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("base"))
+    # tokens of the parts before (a row for each part), then of the part's shards before
+    before = lambda order, *by: F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before("part", F.lit(0)).alias("lead"))
+    bases = shards.select("part", "seq", before("seq", "part").alias("inside_part")).join(parts, "part").select("part", "seq", (F.col("lead") + F.col("inside_part")).alias("base"))
     return found.join(common.small(bases), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def count_tokens(shards: DataFrame, ids: list[int]) -> DataFrame:
+    """(token, n): occurrences of some ids in all shards, by rank alone; an id that occurs nowhere has 0. No shards, no rows."""
+    ids = sorted(set(ids))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                matrix = WaveletMatrix.from_bytes(batch.column(0)[k].as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([matrix.count(t) for t in ids], pa.int64())], ["token", "n"])
+
+    return shards.select("planes").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_token(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, at): every place where an id stands, counted from its document's first token."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = WaveletMatrix.from_bytes(batch.column(2)[k].as_buffer()).occurrences(token)
+                ends = np.cumsum(np.asarray(batch.column(1)[k].values))
+                which = np.searchsorted(ends, at, "right")
+                begin = np.concatenate([[0], ends])[which]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].values.take(pa.array(which)), pa.array(at - begin)], ["doc_id", "at"])
+
+    return shards.select("doc_ids", "lengths", "planes").mapInArrow(find, "doc_id long, at long")
+
+
 def op8_token_shards(spark, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(common.table(spark, sf_dir, "documents")))

@@ -29,8 +29,10 @@ from graphlens.llm import common, textkit
 
 SIZES = (4, 5)
 BITS = 22
-#: At most so many n-grams are features, each with at least this evidence (a two-sample z).
-MAX_FEATURES, MIN_Z, MIN_DOCS = 4096, 5.0, 5
+#: At most so many n-grams are features.
+MAX_FEATURES = 4096
+#: Least evidence (a two-sample z) and documents of a feature, with fewer than FEW training rows and with more.
+FEW, FLOORS = 500, ((4.0, 3), (5.0, 5))
 #: At most about so many training rows are used to fit the regression.
 FIT_ROWS = 16384
 ALPHA, L2, STEPS = 1.0, 1.0, 30
@@ -199,14 +201,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_feat
     texts = docs.select("doc_id", "text").join(common.small(known, labelled), "doc_id")
     counted = texts.select("text", "toxic").mapInArrow(_counter, "bucket int, ones int, zeros int")
     counts = counted.groupBy("bucket").agg(F.sum("ones").cast("double").alias("ones"), F.sum("zeros").cast("double").alias("zeros"))
-    counts = common.stored(counts.where(F.col("ones") + F.col("zeros") >= MIN_DOCS), "toxic-counts")
+    least_z, least_docs = FLOORS[labelled >= FEW]
+    counts = common.stored(counts.where(F.expr("bucket = -1") | (F.col("ones") + F.col("zeros") >= least_docs)), "toxic-counts")
     total = counts.where("bucket = -1").first()
     n1, n0 = (total["ones"], total["zeros"]) if total else (0.0, 0.0)
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0), 40.0 if n1 else -40.0)
     pooled = (F.col("ones") + F.col("zeros")) / (n1 + n0)
     z = F.abs(F.col("ones") / n1 - F.col("zeros") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    best = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
+    best = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
     buckets = np.array([r["bucket"] for r in best], np.int64)
     ones, zeros = (np.array([r[c] for r in best]) for c in ("ones", "zeros"))
     ratio = np.log((ones + ALPHA) / (n1 + 2 * ALPHA)) - np.log((zeros + ALPHA) / (n0 + 2 * ALPHA)) if len(best) else np.zeros(0)

@@ -4,6 +4,10 @@ Plane l holds bit l (from the top) of the tokens in the order in which the
 planes above have stably put zeros before ones. Counts of ones before every
 BLOCK bits give rank by one partial population count; select is a binary
 search over rank.
+
+Defined cases: an empty sequence has one plane and no tokens; a token beyond the
+planes' bits occurs 0 times; positions out of range raise IndexError, bytes of
+another format ValueError.
 """
 
 from __future__ import annotations
@@ -124,5 +128,12 @@ class WaveletMatrix:
             at = a
         return at
 
-    def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+    def occurrences(self, token: int) -> np.ndarray:
+        """All positions of a token, upwards: its range in the last plane, led back plane by plane."""
+        lo, hi = self._range(token, self.n)
+        at, depth = np.arange(lo, hi), len(self.planes)
+        for plane in range(depth - 1, -1, -1):
+            bit = np.unpackbits(self.planes[plane], count=self.n).view(bool)
+            one = token >> (depth - 1 - plane) & 1
+            at = np.flatnonzero(bit)[at - self.zeros[plane]] if one else np.flatnonzero(~bit)[at]
+        return at

@@ -218,6 +218,31 @@ def test_attribution(spark):
     assert both[1, 0] == 2 and both[1, 1] == 1
 
 
+@pytest.mark.parametrize("rule", ["first", "last", "all"])
+def test_lines_tokens_one_by_one(spark, rule):
+    bits = ["a", "Bc ", "  ", "\n", "\n\n", "12", "don't", "\t\n x", "end.\n", "é", "日本", "<|endoftext|>"]
+    rows = [(k, "".join(random.choice(bits) for _ in range(random.randint(0, 25))), "s") for k in range(150)]
+    tok = plain_tokenizer()
+    want = []
+    for i, t, _ in rows:
+        raw, at, spans = t.encode(), 0, []
+        for x in tok.encode(t, add_special_tokens=False).ids:
+            size = len(tok.decode([x], skip_special_tokens=False).encode()) if x == 50256 else len(tok.id_to_token(x))
+            spans.append((at, at + size))
+            at += size
+        assert at == len(raw)
+        begin = 0
+        for n, line in enumerate(raw.splitlines(keepends=True) if b"\r" not in raw else []):
+            a, b = begin, begin + len(line)
+            touch = [(p, q) for p, q in spans if p < b and q > a]
+            own = [(p, q) for p, q in touch if (rule == "all") or (rule == "first" and p >= a) or (rule == "last" and q <= b)]
+            share = sum((min(q, b) - max(p, a)) / (q - p) for p, q in touch)
+            want.append((i, n, len(own), sum(p < a or q > b for p, q in touch), round(share, 6)))
+            begin = b
+    got = tokens.attribute_tokens(docs_df(spark, rows), rule=rule).collect()
+    assert sorted((r["doc_id"], r["section"], r["n_tokens"], r["n_crossing"], round(r["share"], 6)) for r in got) == sorted(want) and len(want) > 300
+
+
 def test_token_shards(spark):
     rows = ODD + [(k, f"text number {k} " * 20, "e") for k in range(100, 160)]
     shards = tokens.write_shards(docs_df(spark, rows), limit=500)
@@ -241,7 +266,23 @@ def test_wavelet_matrix(n):
         t = int(x[i])
         at = np.flatnonzero(x == t)
         assert w.access(i) == t and w.count(t) == len(at) and w.count(t, i) == (x[:i] == t).sum() and w.select(t, len(at) - 1) == at[-1]
-    assert w.count(70_000) == 0
+        assert w.occurrences(t).tolist() == at.tolist()
+    assert w.count(70_000) == 0 and not len(w.occurrences(70_000))
+
+
+def test_tokens_are_counted_and_found_in_shards(spark):
+    rows = [(k, f"text number {k % 7} <|endoftext|> " * (k % 4), "e") for k in range(60)] + [(None, "number", "e"), (None, "text", "e"), (5, "number", "e")]
+    shards = tokens.write_shards(docs_df(spark, rows), limit=300)
+    tok = plain_tokenizer()
+    want, count = [], {}
+    for i, t, _ in rows:
+        for at, x in enumerate([*tok.encode(t, add_special_tokens=False).ids, 2]):
+            count[x] = count.get(x, 0) + 1
+            want.append((x, i, at))
+    ids = [*list(count)[:5], 2, 50256, 49999]
+    assert {r["token"]: r["n"] for r in tokens.count_tokens(shards, ids).collect()} == {t: count.get(t, 0) for t in ids}
+    for t in (50256, ids[1], 49999):
+        assert sorted(map(str, map(tuple, tokens.find_token(shards, t).collect()))) == sorted(str((i, at)) for x, i, at in want if x == t)
 
 
 def test_toxicity(spark):
@@ -266,6 +307,57 @@ def test_toxicity(spark):
     assert toxicity.train(docs, known.where("toxic = 0")).intercept == -40
 
 
+def plain_grams(text):
+    """An independent statement of a text's hashed n-grams."""
+    raw = [32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()]
+    out, full = set(), 2**64 - 1
+    for n in (4, 5):
+        for a in range(len(raw) - n + 1):
+            x = (int.from_bytes(bytes(raw[a : a + n]), "little") + n) * 0x9E3779B97F4A7C15 & full
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & full
+            out.add(x >> 42)
+    return out
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    words = ["calm", "river", "stone", "light", "paper", "green", "idiot", "trash", "scum"]
+    rows = [(None, "x", "s"), (1, None, "s")]
+    for k in range(10, 310):
+        w = [random.choice(words[:6]) + random.choice("abcdefgh") for _ in range(12)]
+        if k % 4 == 0:
+            w[random.randrange(12)] = words[6 + k % 3]
+        rows.append((k, " ".join(w), "s"))
+    labels = [(k, int(k % 4 == 0)) for k in range(10, 310)]
+    docs, known = docs_df(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    texts = {i: plain_grams(t) for i, t, _ in rows if i is not None and i >= 10}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    y = np.array([float(i % 4 == 0) for i in train])
+    n1, n0 = y.sum(), len(y) - y.sum()
+    ones, zeros = {}, {}
+    for i in train:
+        for g in texts[i]:
+            side = ones if i % 4 == 0 else zeros
+            side[g] = side.get(g, 0) + 1
+    keep = {}
+    for g in {*ones, *zeros}:
+        a, b = ones.get(g, 0), zeros.get(g, 0)
+        pooled = (a + b) / (n1 + n0)
+        z = abs(a / n1 - b / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
+        if a + b >= 3 and z >= 4:
+            keep[g] = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
+    assert set(model.buckets.tolist()) == set(keep) and len(keep) >= 6
+    ratio = np.array([keep[g] for g in model.buckets.tolist()])
+    x = np.array([[g in texts[i] for g in model.buckets.tolist()] for i in train]) * ratio
+    w = model.weights / ratio
+    p = 1 / (1 + np.exp(-(x @ w + model.intercept)))  # the fit's own conditions: gradients vanish
+    assert np.abs(x.T @ (p - y) + toxicity.L2 * w).max() < 0.02 * len(y) ** 0.5 and abs((p - y).sum()) < 0.02 * len(y) ** 0.5
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, grams in texts.items():
+        z = model.intercept + sum(v for g, v in zip(model.buckets.tolist(), model.weights) if g in grams)
+        assert abs(scores[i] - 1 / (1 + np.exp(-z))) < 1e-9 and (scores[i] >= toxicity.THRESHOLD) == (i % 4 == 0)
+
+
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(400)]
     items = [(k, " ".join(random.sample(words, 30))) for k in range(20)] + [(98, None), (99, "")]
