@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before
 kept, and returns documents' columns; the last adds slot and shard. Between
 stages documents are written to the shared folder and read again.
 
+Defined cases, in every stage: an empty table gives an empty table; columns of any
+name come back as they were (the last stage replaces slot and shard); null and
+empty texts are accepted by the classifier's score, are nobody's copies and hold
+no test item, and the mix takes them 0 times, as they have no words; rows that
+share a doc_id, or have none, are judged each by its own text, and of rows with
+the same doc_id and text one stays; of equal copies the one with the smallest
+doc_id stays; texts are read whole, however long.
+
 SQL can't express the classifier, so there is no SQL for run().
 """
 
@@ -20,51 +28,52 @@ ORACLE_SQL = None
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "score_before"), model)
-    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score").withColumnRenamed("score_before", "score")
+    (before,) = common.unused(docs, "score_before")
+    scored = toxicity.score(docs.withColumnRenamed("score", before), model)
+    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score").withColumnRenamed(before, "score")
     return kept.select(*docs.columns)
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(docs with row_, whether ids are shared): row_ is doc_id where a row has it alone, else a hash of doc_id and text.
+    """((key, row, text) of docs, whether ids are shared): key is doc_id where a row has it alone, else a hash of doc_id and text; row holds docs' columns.
 
-    Rows without a doc_id share one; blank ones of them have no row_.
+    Rows without a doc_id share one; blank ones of them have no key.
     """
-    shared = common.stored(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
+    boxed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*docs.columns).alias("row"))
+    shared = common.stored(boxed.groupBy("id").count().where("count > 1 OR id IS NULL").select("id"), "shared-ids")
     n = shared.count()
-    own = F.col("doc_id").cast("long")
     if not n:
-        return docs.withColumn("row_", own), False
-    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+        return boxed.select(F.col("id").alias("key"), "row", "text"), False
+    hashed = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    key = F.when(F.col("doc_id").isNull(), F.when(worded, hashed)).when(F.col("shared_"), hashed).otherwise(own)
-    marks = common.small(shared.where("doc_id IS NOT NULL").withColumn("shared_", F.lit(True)), n)
-    return docs.join(marks, "doc_id", "left").withColumn("row_", key).select(*docs.columns, "row_"), True
+    key = F.when(F.col("id").isNull(), F.when(worded, hashed)).when(F.col("shared"), hashed).otherwise(F.col("id"))
+    marks = common.small(shared.where("id IS NOT NULL").withColumn("shared", F.lit(True)), n)
+    return boxed.join(marks, "id", "left").select(key.alias("key"), "row", "text"), True
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; of rows that share doc_id and text, one."""
     rows, shared = _rows(docs)
-    found = common.stored(neardup.near_duplicates(rows.select(F.col("row_").alias("doc_id"), "text")), "near-duplicates")
-    found = found.withColumnRenamed("doc_id", "row_")
-    gone = common.stored(found.where(~F.col("kept")).select("row_").distinct(), "gone")
-    left = rows.join(common.small(gone), "row_", "left_anti")
+    found = common.stored(neardup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")), "near-duplicates")
+    found = found.withColumnRenamed("doc_id", "key")
+    gone = common.stored(found.where(~F.col("kept")).select("key").distinct(), "gone")
+    left = rows.join(common.small(gone), "key", "left_anti")
     if not shared:
-        return left.select(*docs.columns)
-    again = common.stored(found.where("kept AND row_ IS NOT NULL").groupBy("row_").count().where("count > 1").select("row_"), "again")
+        return left.select("row.*")
+    again = common.stored(found.where("kept AND key IS NOT NULL").groupBy("key").count().where("count > 1").select("key"), "again")
     if again.isEmpty():
-        return left.select(*docs.columns)
+        return left.select("row.*")
     again = common.small(again)
-    one = left.join(again, "row_", "left_semi").dropDuplicates(["row_"]).select(*docs.columns)
-    return left.join(again, "row_", "left_anti").select(*docs.columns).unionByName(one)
+    one = left.join(again, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return left.join(again, "key", "left_anti").select("row.*").unionByName(one)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a test item's passage."""
     rows, _ = _rows(docs)
-    hits = decontam.contaminated(rows.select(F.col("row_").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    gone = common.stored(hits.select(F.col("doc_id").alias("row_")).distinct(), "contaminated")
-    return rows.join(common.small(gone), "row_", "left_anti").select(*docs.columns)
+    hits = decontam.contaminated(rows.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    gone = common.stored(hits.select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return rows.join(common.small(gone), "key", "left_anti").select("row.*")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
