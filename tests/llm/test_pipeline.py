@@ -56,3 +56,24 @@ def test_stages_decide_by_row(spark):
     assert all(len(x) == 1 for x in one_of.values()) and near not in [t for _, t in got]
     assert (7, text(6)) in got and (8, text(7)) in got and (1, text(2)) in got
     assert got.count((None, "")) == 2 and got.count((None, None)) == 1 and len(got) == 10
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stages_take_odd_rows(spark):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(60))
+    rows = [(1, text(1), "a"), (2, text(1), "b"), (2, text(2), "a"), (3, text(2), "b"), (4, None, "a"), (5, "", None), (6, " \n", "a"), (None, text(3), "a"), (None, None, None), (7, text(4), None), (7, text(4), None), (8, text(5) * 40, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["row_", "key", "row", "score", "shared", "id", "kept", "gone", "count", "words", "take", "n_chars"]
+    odd = docs.withColumns({n: F.lit(7) for n in names})
+    near = corpus_pipeline.near_duplicate_stage(spark, odd, SF).collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in near), key=str)
+    # every text has one row left, that of its smallest doc_id; blank rows stay
+    assert got == sorted([(1, text(1)), (3, text(2)), (4, None), (5, ""), (6, " \n"), (None, text(3)), (None, None), (7, text(4)), (8, text(5) * 40)], key=str)
+    for table in (odd, odd.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = common.stored(stage(spark, now, SF), name)
+            assert now.columns[: len(odd.columns)] == odd.columns
+            for r in now.collect():
+                assert all(r[n] == 7 for n in names if n != "n_chars" or name not in ("mixing", "sharding"))
+        assert (now.count() > 0) == (table is odd)
