@@ -125,11 +125,12 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 1
         codes = out.encode(x) + np.arange(books) * words
         flat = codes.astype(np.int64)
         pairs = (flat[:, :, None] * (books * words) + flat[:, None, :]).ravel()
-        normal = np.bincount(pairs, minlength=(books * words) ** 2).reshape(books * words, -1).astype(np.float64)
+        normal = np.bincount(pairs, minlength=(books * words) ** 2).astype(np.float32).reshape(books * words, -1)
         right = np.stack([np.bincount(flat.ravel(), np.repeat(x[:, d], books), books * words) for d in range(x.shape[1])], 1)
         before = out.books.reshape(books * words, -1)
         ridge = 0.1
-        solved = np.linalg.solve(normal + ridge * np.eye(books * words), right + ridge * before)
+        normal[np.diag_indices(len(normal))] += ridge
+        solved = np.linalg.solve(normal, (right + ridge * before).astype(np.float32)).astype(np.float64)
         out = Quantizer(solved.reshape(books, words, -1))
     return out
 

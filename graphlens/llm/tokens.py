@@ -295,11 +295,11 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     A row is a shard: its documents' ids and lengths, and the wavelet matrix of
     its tokens. Order: part, then seq. Null texts count as empty; a null doc_id
-    comes first; rows of one doc_id are ordered by a hash of the text; an empty table gives
+    comes first; rows of one doc_id are ordered by size, then text; an empty table gives
     no shards; other columns are ignored.
     """
-    # rows of one doc_id (or of none) are dealt by their text's hash too, so they fill several partitions
-    order = ["doc_id", F.xxhash64("text")]
+    # rows of one doc_id (or of none) are dealt by their text's size too, so they fill several partitions
+    order = ["doc_id", F.octet_length("text")]
     ordered = docs.select("doc_id", "text").repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
     return common.stored(ordered.mapInArrow(_writer(path or default_path(), end_id, limit), SHARD_SCHEMA), "token-shards")
 
