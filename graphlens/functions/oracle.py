@@ -60,7 +60,28 @@ def model_answers(prompts: DataFrame, make: Callable[[], Backend], kind: str) ->
     return raw.select("key", decoded(F.col("answer"), kind).alias("a")).select("key", "a.*")
 
 
+def field_prompt(code: Column, callee: Column, size: int = 4000) -> Column:
+    """Which field a caller hands to a deferring function."""
+    return F.concat_ws("\n", F.concat(F.lit("The C function below defers work by calling "), callee, F.lit('. Name the structure field of the work item it passes. Answer as JSON: {"answer": "field"}, or {"answer": null}.')), F.substring(F.coalesce(code, F.lit("")), 1, size))
+
+
+def fields_prompt(code: Column, size: int = 4000) -> Column:
+    """Which fields a function calls through."""
+    return F.concat_ws("\n", F.lit('Which structure fields does the C function below call as function pointers? Answer as JSON: {"answers": ["field"]}.'), F.substring(F.coalesce(code, F.lit("")), 1, size))
+
+
+def log_prompt(text: Column) -> Column:
+    """Which functions a log is about."""
+    ask = 'Which kernel functions begin and end the call chain that led to this log, and which lie between? Answer as JSON: {"start_entity": "f", "end_entity": "g", "intermediate_entities": ["h"]}.'
+    return F.concat_ws("\n", F.lit(ask), F.coalesce(text, F.lit("")))
+
+
+def subgraphs_prompt(text: Column, names: list[str], k: int) -> Column:
+    """Which subgraphs a log is about."""
+    return F.concat_ws("\n", F.lit(f'Name the {k} subsystems that this log is most likely about, of: {", ".join(names)}. Answer as JSON: {{"names": ["subsystem"]}}.'), F.coalesce(text, F.lit("")))
+
+
 def bridge_prompt(code_a: Column, code_b: Column, names: Column, size: int = 800) -> Column:
-    """The question about two functions: their texts, cut to size characters, and their neighbours' names."""
+    """Whether one function reaches another: their texts, cut to size characters, and their neighbours' names."""
     part = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, size)
     return F.concat_ws("\n", F.lit("Does the first function reach the second through a pointer or deferred work? Answer as JSON."), part(code_a), part(code_b), F.concat_ws(", ", names))

@@ -164,7 +164,7 @@ class Steps:
         return Steps(edges.where("kind = 'direct'").select("src", "dst", "call_line", "ord"), through, late.select("kind", "field", "dst", "sub"))
 
 
-def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None) -> Steps:
+def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None, async_names: DataFrame | None = None) -> Steps:
     """The edges of a search. A node is the id that a function's name stands for, normalised."""
     canon = identity.decl_impl_map(graph)
     nodes = identity.normalize(identity.latest(graph), canon, "id").select("name", F.col("id").alias("node"))
@@ -182,7 +182,7 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
         reached = assigned_functions(graph).join(nodes.toDF("target", "dst"), "target")
         targets = targets.unionByName(reached.select(F.lit("indirect").alias("kind"), "field", "dst", F.col("target").alias("sub")))
     if with_async:
-        pairs = async_pairs(graph, canon=canon, entities=entities).where("field IS NOT NULL").join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
+        pairs = async_pairs(graph, async_names=async_names, canon=canon, entities=entities).where("field IS NOT NULL").join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
         deferred = named.join(pairs, ["src", "callee"])
         late = late.unionByName(deferred.select("src", F.lit("async").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.col("dst").alias("mid")))
         reached = assigned_entities(graph, supplement).select("field", "target").distinct().join(nodes.toDF("target", "dst"), "target")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from graphlens import tables
 from graphlens.operators import identity
 from graphlens.schema import Graph
+from graphlens.sources import text as source_text
+
+
+#: Names that are looked for one by one in every function; letters of the pieces that more of them are joined by.
+FEW_NAMES, GRAM = 2000, 3
 
 
 def function_code(code: str = "code", body: str = "body") -> Column:
@@ -15,6 +20,19 @@ def function_code(code: str = "code", body: str = "body") -> Column:
     return F.coalesce(F.when(F.col(code) != "", F.col(code)), F.col(body))
 
 
+def with_sources(graph: Graph, files: DataFrame, root: str = "", prefixes: tuple[str, ...] = ()) -> Graph:
+    """files (file, text) -> the graph, with code from its file's lines where an entity has neither code nor body.
+
+    Files are found by the entity's path as convert_path() writes it.
+    """
+    lacking = function_code().isNull() | (function_code() == "")
+    path = source_text.convert_path(F.coalesce("file", "source_file"), root, prefixes)
+    known = files.select(F.col("file").alias("of_file"), F.col("text").alias("file_text"))
+    bare = graph.entities.where(lacking).withColumn("of_file", path).join(known, "of_file", "left")
+    filled = bare.withColumn("code", F.coalesce(source_text.source_slice(F.col("file_text"), F.col("start_line"), F.col("end_line")), "code"))
+    return Graph(graph.entities.where(~lacking).unionByName(filled.select(*graph.entities.columns)), graph.relations)
+
+
 def find_function(graph: Graph, name: str | Column) -> DataFrame:
     """The function of exactly this name (the last in the file), with file filled from source_file."""
     found = identity.by_name(graph.of("FUNCTION")).select(*graph.entities.columns).where(F.col("name") == name)
@@ -47,18 +65,24 @@ def direct_calls(graph: Graph, pairs: DataFrame) -> DataFrame:
     return named.join(calls, ["caller_id", "callee_id"], "left_semi").select("caller", "callee")
 
 
-def fields_named(graph: Graph, name: str) -> DataFrame:
-    return graph.of("FIELD").where(F.col("name") == name).select("id", "name")
-
-
 def locate(graph: Graph, names: DataFrame) -> DataFrame:
     """names (name) -> (name, located): the exact function, else the first in file order whose name holds it; null-safe."""
     known = graph.of("FUNCTION").groupBy(F.col("name").alias("located")).agg(F.min("ord").alias("first_ord"))
     asked = names.select("name").where("name IS NOT NULL").distinct()
     exact = asked.join(known, F.col("name") == F.col("located")).select("name", "located")
     rest = asked.join(exact, "name", "left_anti")
-    # a theta join: names asked for are few, and known functions stream past them
-    near = known.join(tables.small(rest), F.contains(F.lower("located"), F.lower("name"))).groupBy("name").agg(F.min_by("located", F.struct("first_ord", "located")).alias("located"))
+    rest = tables.stored(rest, "unknown-names")
+    first = F.min_by("located", F.struct("first_ord", "located")).alias("located")
+    if rest.count() <= FEW_NAMES:  # few names: known functions stream past them
+        near = known.join(F.broadcast(rest), F.contains(F.lower("located"), F.lower("name"))).groupBy("name").agg(first)
+        return exact.unionByName(near)
+    # many: a name meets the functions that hold its first GRAM letters; shorter ones meet all pieces of their own length
+    lower = F.lower("name")
+    asked = rest.withColumn("piece", F.substring(lower, 1, GRAM))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("located") - n + 1, F.lit(1))), lambda i: F.substring(F.lower("located"), i, n))
+    every = F.array_distinct(F.flatten(F.array(*[pieces(F.lit(n)) for n in range(1, GRAM + 1)])))
+    held = known.withColumn("piece", F.explode(F.concat(every, F.array(F.lit("")))))
+    near = held.join(asked, "piece").where(F.contains(F.lower("located"), lower)).groupBy("name").agg(first)
     return exact.unionByName(near)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens import tables
-
+#: Subgraphs at most.
+MOST_SUBGRAPHS = 10_000
 #: Score of a subgraph whose name is in the text.
 NAMED = 10
 
@@ -16,7 +18,12 @@ def subgraph_scores(texts: DataFrame, metadata: DataFrame) -> DataFrame:
     lower = F.lower("text")
     hits = F.size(F.filter("keywords", lambda k: F.contains(lower, F.lower(k))))
     score = F.when(F.contains(lower, F.lower("subgraph")), NAMED).otherwise(F.coalesce(F.greatest(hits, F.lit(0)), F.lit(0)))
-    return texts.crossJoin(tables.small(metadata.select("subgraph", "keywords"))).select("text_id", "subgraph", score.alias("score"))
+    # subgraphs are folders, few by nature: gathered into one row, they go with each text instead of being multiplied with all
+    listed = metadata.select("subgraph", "keywords").limit(MOST_SUBGRAPHS + 1).collect()
+    if len(listed) > MOST_SUBGRAPHS:
+        raise ValueError(f"over {MOST_SUBGRAPHS} subgraphs")
+    known = F.from_json(F.lit(json.dumps([r.asDict() for r in listed])), "array<struct<subgraph:string,keywords:array<string>>>")
+    return texts.select("text_id", "text", F.explode(known).alias("s")).select("text_id", "text", "s.*").select("text_id", "subgraph", score.alias("score"))
 
 
 def select_subgraphs(texts: DataFrame, metadata: DataFrame, k: int = 1) -> DataFrame:
@@ -32,6 +39,14 @@ def function_texts(names: DataFrame) -> DataFrame:
     return names.select("text_id", F.array_join("names", " ").alias("text"))
 
 
+def answered(selected: DataFrame, answers: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
+    """select_subgraphs()' choice, replaced where a model's answers (text_id, names) hold known names."""
+    known = F.array(*[F.lit(r["subgraph"]) for r in metadata.select("subgraph").collect()])
+    told = answers.select("text_id", valid_names(F.col("names"), known, k).alias("names")).where(F.size("names") > 0)
+    own = selected.join(told.select("text_id"), "text_id", "left_anti")
+    return own.unionByName(told.select("text_id", F.posexplode("names").alias("p", "subgraph")).select("text_id", (F.col("p") + 1).alias("rank"), "subgraph", F.lit(None).cast("int").alias("score")))
+
+
 def valid_names(answer: Column, known: Column, k: int) -> Column:
     """A model's subgraph names: those that are known, in its order, the first k."""
     return F.slice(F.filter(answer, lambda x: F.array_contains(known, x)), 1, k)

@@ -10,9 +10,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log_id"), F.col("value").alias("text"))
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of source files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+def read_sources(spark: SparkSession, root: str, pattern: str = "*.[ch]") -> DataFrame:
+    """(file, text) of the source files anywhere under a folder, with their paths from there."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    own = F.substring(plain(F.input_file_name()), len(root.rstrip("/")) + 2, (1 << 31) - 1)
+    return found.select(own.alias("file"), F.col("value").alias("text"))
 
 
 def convert_path(path: Column, root: str = "", prefixes: tuple[str, ...] = ()) -> Column:
@@ -72,6 +75,24 @@ def scenario(config: dict, name: str) -> dict:
     return found
 
 
+def scenarios(config: dict) -> list[tuple[str, str, str]]:
+    """(name, mode, description) of a configuration's scenarios, in its order."""
+    return [(name, scenario(config, name)["mode"], str((found or {}).get("description") or "")) for name, found in (config.get("scenarios") or {}).items() if found]
+
+
+def async_settings(config: dict) -> dict:
+    """keywords and known of identity.async_functions() from a configuration; what it doesn't name keeps its default."""
+    found = config.get("async_call_detection") or {}
+    named = {"keywords": found.get("keywords"), "known": found.get("known_async_functions")}
+    return {k: tuple(v) for k, v in named.items() if v is not None}
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(subgraph, keywords) of a YAML or JSON file: for each subgraph its keywords, or an object that holds them."""
+    rows = [(str(name), [str(k) for k in ((found or {}).get("keywords") or [] if isinstance(found, dict) else found or [])]) for name, found in read_config(path).items()]
+    return spark.createDataFrame(rows, "subgraph string, keywords array<string>")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Reports as JSON, a line each."""
     report.write.mode("overwrite").json(path)
@@ -88,6 +109,6 @@ def write_report_file(report: DataFrame, path: str) -> None:
         json.dump(json.loads(row["j"]) if row else {}, f, ensure_ascii=False, indent=2)
 
 
-def best_path(report: Column) -> Column:
-    """The best path's names: that of paths[0]."""
-    return F.element_at(report["paths"], 1)["path"]
+def best_path(paths: Column) -> Column:
+    """The best path's names of a report's paths; null where there is none."""
+    return F.when(F.size(paths) > 0, F.element_at(paths, 1)["path"])

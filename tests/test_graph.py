@@ -12,6 +12,7 @@ from graphlens.operators import edges as E
 from graphlens.operators import identity, lookup, neighbors, paths, rank, reach, stitch
 from graphlens.schema import Graph
 from graphlens.sources import graph as sources
+from graphlens.sources import text as text_sources
 
 
 def make(spark, functions, calls, fields=(), assigned=()):
@@ -260,3 +261,92 @@ def test_deep_search_stays_under_a_bound(spark):
         done = paths.search(edges, queries, 30, 3, mode)
         assert done.rows < 20_000, (mode, done.rows)
         assert {r["qid"]: r["n"] >= 3 for r in done.chains().groupBy("qid").agg(F.count("*").alias("n")).collect()} == {0: True, 1: True}
+
+
+@pytest.mark.parametrize("layout", ["list", "object", "separate"])
+def test_odd_records_are_skipped_alone(spark, tmp_path, layout):
+    good = [{"id": 1, "name": "a", "type": "FUNCTION", "start_line": "7", "end_line": "x", "is_declaration": "true", "code": {"odd": 1}}, {"id": "2", "name": "b", "type": "FUNCTION", "start_line": 3}]
+    odd = ["text", 5, None, ["list"], {"id": 9, "type": "FUNCTION"}]
+    calls = [{"head": 1, "tail": "2", "type": "CALLS", "call_line": "4", "field_path": ["ops", "f"]}, {"head": "2", "tail": 1, "type": "CALLS", "call_line": "?", "field_path": "no list", "visibility_checked": 1}]
+    strip = lambda rows: [{k: v for k, v in r.items() if k != "type"} for r in rows]
+    if layout == "list":
+        files = {"entity.json": [odd[0], good[0], *odd[1:], good[1]], "relation.json": [*calls, 3, "x"]}
+    elif layout == "object":
+        files = {"entity.json": {"FUNCTION": [odd[0], *strip(good), *odd[1:]], "FIELD": "no list", "FILE": {"no": "list"}}, "relation.json": {"CALLS": [*strip(calls), 3, "x"]}}
+    else:
+        files = {"entity_function.json": {"k1": odd[0], "k2": strip(good)[0], "k3": strip(good)[1], "k4": 5, "k5": None, "k6": ["list"], "k7": {"id": 9}}, "relation_calls.json": [*strip(calls), 3, "x"]}
+    for name, content in files.items():
+        (tmp_path / name).write_text(json.dumps(content))
+    g = sources.load_graph(spark, str(tmp_path))
+    got = sorted((r["id"], r["name"], r["type"], r["start_line"], r["end_line"], r["is_declaration"], r["code"]) for r in g.entities.collect())
+    assert got == [("1", "a", "FUNCTION", 7, None, True, '{"odd":1}'), ("2", "b", "FUNCTION", 3, None, False, None)]
+    rels = sorted((r["head"], r["tail"], r["type"], r["call_line"], r["field_path"]) for r in g.relations.collect())
+    assert rels == [("1", "2", "CALLS", 4, ["ops", "f"]), ("2", "1", "CALLS", None, [])]
+    assert sources.rejected(spark, str(tmp_path)).groupBy("file").count().count() == 2 and sources.rejected(spark, str(tmp_path)).count() == 7
+
+
+def test_tables_and_subgraphs_are_pruned(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "tables")
+    sources.write_tables(make(spark, plain("a", "b"), [("1", "2", 4)]), base, "mmc")
+    sources.write_tables(make(spark, plain("a", "c", "d"), [("1", "2", 4)]), base, "usb")
+    g = sources.load_any(spark, base, ["usb"])
+    assert {r["name"] for r in g.entities.collect()} == {"a", "c", "d"} and "PartitionFilters: [isnotnull(subgraph" in g.entities._jdf.queryExecution().toString()
+    assert sources.load_tables(spark, f"{base}/entities", f"{base}/relations").entities.count() == 5
+    for k, names in enumerate((["x", "y"], ["z"])):
+        (tmp_path / f"s{k}").mkdir()
+        (tmp_path / f"s{k}" / "entity.json").write_text(json.dumps([{"id": n, "name": n, "type": "FUNCTION"} for n in names]))
+        (tmp_path / f"s{k}" / "relation.json").write_text("[]")
+    assert sources.load_any(spark, str(tmp_path), ["s1"]).entities.count() == 1
+    both = sources.load_any(spark, str(tmp_path)).entities.orderBy("ord").collect()
+    assert [r["name"] for r in both] == ["x", "y", "z"]
+    monkeypatch.setenv("KG_DATA_DIR", base)
+    assert sources.default_base(spark) == base
+    with pytest.raises(ValueError):
+        sources.load_any(spark, str(tmp_path), ["none"])
+
+
+def test_texts_come_from_files_where_the_graph_has_none(spark, tmp_path):
+    (tmp_path / "drivers").mkdir()
+    (tmp_path / "drivers" / "a.c").write_text("/* */\nvoid caller(void)\n{\n  schedule_it(&host->detect);\n}\n")
+    g = make(spark, [("1", "schedule_it", False, None), ("2", "caller", False, ""), ("3", "cb", False, "own text")], [("2", "1", 12)], [("7", "detect")], [("7", "3")])
+    entities = g.entities.withColumns({"file": F.when(F.col("name") == "caller", "E:\\src\\drivers\\a.c"), "start_line": F.lit(2), "end_line": F.lit(5)})
+    g = Graph(entities, g.relations)
+    assert E.async_edges(g).count() == 0
+    files = text_sources.read_sources(spark, str(tmp_path))
+    assert [r["file"] for r in files.collect()] == ["drivers/a.c"]
+    filled = lookup.with_sources(g, files, prefixes=("E:\\src\\",))
+    assert filled.entities.count() == 4 and {(r["caller"], r["target"]) for r in E.async_edges(filled).collect()} == {("caller", "cb")}
+    told = spark.createDataFrame([("caller", "schedule_it", "other")], "caller string, async_callee string, answer string")
+    assert E.async_edges(filled, oracle=told).count() == 0
+    more = {(r["target"], r["via"]) for r in E.async_edges(filled, use_fallback=True, oracle=told).collect()}
+    assert more == {("mmc_rescan", "mock_data")}
+    assert {r["target"] for r in E.async_edges(filled, E.supplement_rows(spark)).collect()} == {"cb", "mmc_rescan"}
+
+
+def test_breaks_are_found_and_repaired(spark):
+    g = make(spark, plain("a", "b", "c", "d", "e"), [("1", "2", 1)], [("8", "work_func"), ("9", "my_ops")], [("8", "3"), ("9", "4")])
+    chains = spark.createDataFrame([(0, ["a", "b", "c", "d", "e"]), (1, ["a", "b"]), (2, ["a"]), (3, None)], "qid int, path array<string>")
+    told = spark.createDataFrame([("d", "e", "thread", 0.9), ("b", "c", "ignored", 0.9), ("x", "y", "z", 0.1)], "a string, b string, bridge_entity string, confidence double")
+    got = stitch.break_repairs(g, chains, told)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1, "b", "c", True, "async", "work_struct.func"), (0, 2, "c", "d", True, "function_pointer", "ops"), (0, 3, "d", "e", True, "llm_inferred", "thread")]
+    whole = {r["qid"]: r["path"] for r in stitch.repaired(chains, got).collect()}
+    assert whole == {0: ["a", "b", "work_struct.func", "c", "ops", "d", "thread", "e"], 1: ["a", "b"], 2: ["a"], 3: None}
+    assert {r["method"]: r["n"] for r in stitch.repair_stats(stitch.break_repairs(g, chains)).collect()} == {"async": 1, "function_pointer": 1, "unrepaired": 1}
+    layered = spark.createDataFrame([("a", "e", "bus", 0.7), ("e", "a", "bus", 0.5)], "start string, goal string, bridge_entity string, confidence double")
+    pair = spark.createDataFrame([(0, "a", "e"), (1, "e", "a")], "qid int, start string, goal string")
+    assert {r["qid"]: (r["method"], r["path"]) for r in stitch.layered_paths(g, pair, 4, layered).collect()} == {0: ("llm_inferred", ["a", "bus", "e"]), 1: ("none", None)}
+
+
+def test_names_are_located_one_by_one_or_by_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abC_") for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    g = make(spark, [(str(k), n, False, None) for k, n in enumerate(names)], [])
+    asked = sorted({"".join(rng.choice("abc_") for _ in range(rng.randint(0, 5))) for _ in range(60)} | {"", "A"})
+    table = spark.createDataFrame([(n,) for n in asked], "name string")
+    want = {}
+    for n in asked:
+        hit = n if n in names else next((x for x in names if n.lower() in x.lower()), None)
+        want |= {n: hit} if hit is not None else {}
+    for few in (10**6, 0):
+        monkeypatch.setattr(lookup, "FEW_NAMES", few)
+        assert {r["name"]: r["located"] for r in lookup.locate(g, table).collect()} == want

@@ -85,3 +85,79 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["--data-dir", str(tmp_path / "g"), "--start-func", "a", "--end-func", "c", "--max-depth", "4", "--output", str(out)]) == 0
     assert json.loads(out.read_text())["best_path"]["path"] == ["a", "b", "c"]
     assert cli.main(["--data-dir", str(tmp_path / "g"), "--start-func", "c", "--end-func", "a", "--max-depth", "4", "--output", str(out)]) == 1
+
+
+def test_the_log_chooses_the_only_subgraph_that_is_loaded(spark, tmp_path):
+    from graphlens import cli
+
+    def put(name, names):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "entity.json").write_text(json.dumps([{"id": k, "name": n, "type": "FUNCTION"} for k, n in enumerate(names)]))
+        (tmp_path / name / "relation.json").write_text(json.dumps([{"head": k, "tail": k + 1, "type": "CALLS", "call_line": 2} for k in range(len(names) - 1)]))
+
+    put("mmc", ["dw_mci_pltfm_probe", "mid", "mmc_execute_tuning"])
+    put("usb", ["dw_mci_pltfm_probe", "usb_probe"])
+    (tmp_path / "net").mkdir()
+    (tmp_path / "net" / "entity.json").write_text("not read, or this would fail")
+    (tmp_path / "meta.yaml").write_text("mmc:\n  keywords: [tuning, sd]\nusb: [hub, urb]\ngone: [nothing]\n")
+    metadata = text.read_metadata(spark, str(tmp_path / "meta.yaml"))
+    logs = logs_df(spark, "host: tuning execution failed: -1 mmc", "the hub lost an urb in usb_probe(")
+    chosen = analysis.choose_subgraphs(spark, str(tmp_path), logs.select(F.col("log_id").alias("text_id"), "text"), metadata)
+    assert {r["text_id"]: r["subgraph"] for r in chosen.collect()} == {"0": "mmc", "1": "usb"}
+    got = {r["log_id"]: r for r in analysis.analyse_base(spark, str(tmp_path), logs, metadata, k=2, max_depth=4).collect()}
+    assert got["0"]["subgraph"] == "mmc" and got["0"]["best_path"]["path"] == ["dw_mci_pltfm_probe", "mid", "mmc_execute_tuning"] and got["1"]["subgraph"] == "usb"
+    told = spark.createDataFrame([("0", ["nowhere", "usb"]), ("1", ["nowhere"])], "text_id string, names array<string>")
+    chosen = analysis.choose_subgraphs(spark, str(tmp_path), logs.select(F.col("log_id").alias("text_id"), "text"), metadata, told)
+    assert {r["text_id"]: r["subgraph"] for r in chosen.collect()} == {"0": "usb", "1": "usb"}
+    asked = spark.createDataFrame([("x", "dw_mci_pltfm_probe", "usb_probe", None)], "log_id string, start_func string, end_func string, intermediate_funcs array<string>")
+    assert [(r["subgraph"], r["path_count"]) for r in analysis.analyse_base_functions(spark, str(tmp_path), asked, max_depth=4).collect()] == [("usb", 1)]
+    (tmp_path / "a.log").write_text("mmc0: tuning execution failed: -1")
+    out = tmp_path / "r.json"
+    assert cli.main(["--base", str(tmp_path), "--log", str(tmp_path / "a.log"), "--max-depth", "4", "--output", str(out)]) == 0
+    assert json.loads(out.read_text())["subgraph"] == "mmc"
+    assert cli.main(["--base", str(tmp_path), "--subgraph", "usb", "--start-func", "dw_mci_pltfm_probe", "--end-func", "usb_probe", "--max-depth", "4", "--output", str(out)]) == 0
+
+
+def test_configuration(spark, tmp_path, capsys):
+    from graphlens import cli
+    from graphlens.operators import identity
+
+    path = tmp_path / "c.yaml"
+    path.write_text("data_dir: /graphs\nscenarios:\n  one:\n    description: a log\n    log_file: x.log\n  two:\n    start_func: a\n    end_func: b\nasync_call_detection:\n  keywords: [defer]\n")
+    assert cli.main(["--config", str(path)]) == 0
+    assert capsys.readouterr().out.splitlines() == ["one\tauto\ta log", "two\tmanual\t"]
+    args = cli.arguments(["--config", str(path), "--scenario", "two"])
+    assert (args.data_dir, args.start_func, args.end_func) == ("/graphs", "a", "b")
+    settings = text.async_settings(text.read_config(str(path)))
+    g = make(spark, plain("defer_it", "schedule_x"), [])
+    assert settings == {"keywords": ("defer",)} and {"defer_it", "queue_work"} <= {r["name"] for r in identity.async_functions(g, **settings).collect()}
+    assert "schedule_x" not in {r["name"] for r in identity.async_functions(g, **settings).collect()}
+
+
+def test_single_chain_and_prompts(spark):
+    g = make(spark, plain("a", "b", "c"), [("1", "2", 4)], [("9", "x_ops")], [("9", "3")])
+    asked = spark.createDataFrame([("p", "a", "b"), ("q", "a", "nowhere")], "log_id string, start_func string, end_func string")
+    got = {r["log_id"]: r for r in analysis.analyse_pair(g, asked, 4).collect()}
+    assert got["p"]["path"] == got["p"]["repaired_path"] == ["a", "b"] and got["p"]["success"] and not got["q"]["success"]
+    told = spark.createDataFrame([("b", "c", "bus", 0.9)], "start string, goal string, bridge_entity string, confidence double")
+    one = analysis.analyse_pair(g, spark.createDataFrame([("r", "b", "c")], "log_id string, start_func string, end_func string"), 4, told).first()
+    assert one["path"] == ["b", "bus", "c"] and [(x["from"], x["method"]) for x in one["breaks"]] == [("b", None), ("bus", "function_pointer")] and one["repaired_path"] == ["b", "bus", "ops", "c"]
+    log = logs_df(spark, "mmc0: tuning execution failed: -1")
+    assert not analysis.analyse_single(g, log, templates.fail_messages(spark), 4).first()["success"]
+    row = spark.range(1).select(oracle.field_prompt(F.lit("void f() {}"), F.lit("queue_it")), oracle.fields_prompt(F.lit(None).cast("string")), oracle.log_prompt(F.lit("boom")), oracle.subgraphs_prompt(F.lit("boom"), ["mmc", "usb"], 1), oracle.bridge_prompt(F.lit("x" * 2000), F.lit(None).cast("string"), F.array(F.lit("n")))).first()
+    assert "queue_it" in row[0] and "boom" in row[2] and "mmc, usb" in row[3] and row[4].count("x") < 900 and all(row)
+
+    class Echo:
+        def is_available(self):
+            return True
+
+        def chat_completion(self, messages):
+            return '```json\n{"names": ["usb"]}\n```'
+
+        def get_backend_name(self):
+            return "echo"
+
+    asked = spark.createDataFrame([("1", "p")], "key string, prompt string")
+    assert [r["names"] for r in oracle.model_answers(asked, Echo, "subgraphs").collect()] == [["usb"]]
+    recorded = spark.createDataFrame([("field", "k", '{"answer": "work"}'), ("log", "l", "{}")], "kind string, key string, answer string")
+    assert [tuple(r) for r in oracle.table_answers(recorded, "field").collect()] == [("k", "work")]
