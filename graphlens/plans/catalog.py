@@ -255,6 +255,24 @@ def _levels_sql(a: str, b: str, start: str) -> str:
 SELECT qid, node::VARCHAR AS node, min(level) AS level FROM spread GROUP BY qid, node"""
 
 
+def _paths_sql(a: str, b: str, start: str, put: str) -> str:
+    return f""", {_HOPS}, {PAIRS_SQL}, walks AS (
+  SELECT qid, {start} AS node, [{start}::VARCHAR] AS path FROM pairs
+  UNION ALL SELECT qid, {b}, {put}({b}) FROM walks JOIN hops ON {a} = node WHERE len(path) <= 2)
+SELECT qid, node::VARCHAR AS node, array_to_string(path, '>') AS path FROM walks
+QUALIFY row_number() OVER (PARTITION BY qid, node ORDER BY len(path), path) = 1"""
+
+
+@query("reach_paths_forward", _paths_sql("src", "dst", "start", "PUT").replace("PUT(dst)", "list_append(path, dst::VARCHAR)"))
+def _(spark, d):
+    return reach.reach_paths(hops(spark, d), pairs(spark).select("qid", F.col("start").alias("node")), 2).withColumn("path", joined("path"))
+
+
+@query("reach_paths_backward", _paths_sql("dst", "src", "goal", "PUT").replace("PUT(src)", "list_prepend(src::VARCHAR, path)"))
+def _(spark, d):
+    return reach.reach_paths(hops(spark, d), pairs(spark).select("qid", F.col("goal").alias("node")), 2, backward=True).withColumn("path", joined("path"))
+
+
 @query("reach_forward", _levels_sql("src", "dst", "start"))
 def _(spark, d):
     return reach.levels(hops(spark, d), pairs(spark).select("qid", F.col("start").alias("node")), 3)
@@ -270,17 +288,18 @@ def _chains_sql(k: int | None) -> str:
     return f""", {PAIRS_SQL},
 chains AS (
   SELECT qid, goal, start AS node, false AS arrived, [start] AS ids, 0::BIGINT AS sum_line, 0 AS n_line, 0 AS indirect_count,
-         []::VARCHAR[] AS lines, []::VARCHAR[] AS kinds FROM pairs
+         []::VARCHAR[] AS lines, []::VARCHAR[] AS kinds, []::STRUCT(ord BIGINT, sub VARCHAR)[] AS trail FROM pairs
   UNION ALL
   SELECT qid, goal, dst, kind <> 'direct', CASE WHEN kind = 'async' THEN list_concat(ids, [mid, dst]) ELSE list_append(ids, dst) END,
          sum_line + call_line, n_line + 1, indirect_count + (kind <> 'direct')::INT,
          CASE WHEN kind = 'async' THEN list_concat(lines, [call_line::VARCHAR, '']) ELSE list_append(lines, call_line::VARCHAR) END,
-         CASE WHEN kind = 'async' THEN list_concat(kinds, ['direct', 'async']) ELSE list_append(kinds, kind) END
+         CASE WHEN kind = 'async' THEN list_concat(kinds, ['direct', 'async']) ELSE list_append(kinds, kind) END,
+         list_append(trail, {{'ord': ord, 'sub': sub}})
   FROM chains JOIN uedges ON src = node
   WHERE node <> goal AND (kind <> 'indirect' OR NOT arrived) AND len(ids) + (CASE WHEN kind = 'async' THEN 2 ELSE 1 END) <= {DEPTH}
     AND NOT list_contains(ids, dst) AND (mid IS NULL OR NOT list_contains(ids, mid))),
 scored AS (
-  SELECT qid, ids, kinds, lines, len(ids)::INT AS length, indirect_count,
+  SELECT qid, ids, kinds, lines, trail, len(ids)::INT AS length, indirect_count,
          1000.0::DOUBLE - len(ids) - indirect_count * 10 - (CASE WHEN n_line > 0 THEN sum_line::DOUBLE / n_line ELSE 0.0 END) / 100 AS score,
          CASE WHEN n_line > 0 THEN sum_line::DOUBLE / n_line ELSE 0.0 END AS avg_call_line,
          array_to_string([(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN ids], '>') AS path,
@@ -309,7 +328,9 @@ def _(spark, d):
     return _topk(spark, d).select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length", "indirect_count", "avg_call_line")
 
 
-@query("topk_first_k")
+@query("topk_first_k", _CHAINS + f""",
+firsts AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(trail), trail) AS found FROM scored QUALIFY found <= {K})
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, found)::INT AS rank, path, line_text AS lines, score, length FROM firsts""")
 def _(spark, d):
     return _topk(spark, d, "first_k").select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length")
 
@@ -342,7 +363,7 @@ def _named_pairs(spark) -> DataFrame:
     return pairs(spark).select("qid", derive.unique_name(F.col("start").cast("int")).alias("start"), derive.unique_name(F.col("goal").cast("int")).alias("goal"))
 
 
-@query("stitch_paths", f""", {_HOPS}, {PAIRS_SQL}, {_BRIDGED},
+_STITCHED = f"""{_HOPS}, {PAIRS_SQL}, {_BRIDGED},
 ahead AS (
   SELECT qid, start AS node, [start] AS p FROM pairs UNION ALL
   SELECT qid, dst, list_append(p, dst) FROM ahead JOIN hops ON src = node WHERE len(p) <= {DEPTH // 2}),
@@ -355,30 +376,120 @@ named AS (
 best AS (SELECT side, qid, node, p FROM named QUALIFY row_number() OVER (PARTITION BY side, qid, node ORDER BY len(p), p) = 1),
 met AS (
   SELECT a.qid, fn.uname AS node, a.p AS f, b.p AS b, CASE WHEN len(a.p) >= 2 AND len(b.p) >= 2 THEN bridged.bridge_type END AS bridge_type
-  FROM best a JOIN best b ON a.qid = b.qid AND a.node = b.node AND a.side = 1 AND b.side = 2 JOIN fn ON fn.k = a.node LEFT JOIN bridged ON bridged.b = b.p[2])
-SELECT qid, node, coalesce(bridge_type, '') AS bridge_type, array_to_string(list_concat(f, b[2:]), '>') AS path FROM met
-QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (bridge_type IS NOT NULL) DESC, len(f) + len(b) - 1, node) = 1""")
+  FROM best a JOIN best b ON a.qid = b.qid AND a.node = b.node AND a.side = 1 AND b.side = 2 JOIN fn ON fn.k = a.node LEFT JOIN bridged ON bridged.b = b.p[2]),
+stitched AS (
+  SELECT qid, node, coalesce(bridge_type, '') AS bridge_type, array_to_string(list_concat(f, b[2:]), '>') AS path FROM met
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (bridge_type IS NOT NULL) DESC, len(f) + len(b) - 1, node) = 1)"""
+
+
+@query("stitch_paths", f", {_STITCHED} SELECT * FROM stitched")
 def _(spark, d):
     return stitch.stitch_paths(by_key(spark, d, stored=True), _named_pairs(spark), DEPTH).select("qid", "node", F.coalesce("bridge_type", F.lit("")).alias("bridge_type"), joined("path").alias("path"))
 
 
-@query("layered_paths")
+@query("layered_paths", f""", {_STITCHED},
+steps AS (
+  SELECT qid, goal, start AS node, [start] AS ids FROM pairs UNION ALL
+  SELECT qid, goal, dst, list_append(ids, dst) FROM steps JOIN hops ON src = node WHERE node <> goal AND len(ids) < {DEPTH} AND NOT list_contains(ids, dst)),
+direct AS (
+  SELECT qid, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN ids] AS p FROM steps WHERE node = goal
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY len(p), p) = 1)
+SELECT pairs.qid, coalesce(array_to_string(direct.p, '>'), stitched.path) AS path,
+       CASE WHEN direct.p IS NOT NULL THEN 'direct' WHEN stitched.path IS NOT NULL THEN 'stitched' ELSE 'none' END AS method,
+       direct.p IS NOT NULL OR stitched.path IS NOT NULL AS success
+FROM pairs LEFT JOIN direct USING (qid) LEFT JOIN stitched USING (qid)""")
 def _(spark, d):
     return stitch.layered_paths(by_key(spark, d, stored=True), _named_pairs(spark), DEPTH).withColumn("path", joined("path"))
 
 
-@query("break_repairs")
+#: Chains of three neighbouring parts each, most of which don't call each other.
+BROKEN = 400
+
+
+def _broken_chains(spark, d) -> DataFrame:
+    key = F.col("p_partkey")
+    return derive.table(spark, d, "part").where(key <= BROKEN).select(key.cast("int").alias("qid"), F.array(*[derive.unique_name(key + n) for n in range(3)]).alias("path"))
+
+
+_REPAIRS = f""", {_BRIDGED},
+chains AS (SELECT p_partkey AS qid, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN [p_partkey, p_partkey + 1, p_partkey + 2]] AS path FROM part WHERE p_partkey <= {BROKEN}),
+steps AS (SELECT qid, unnest([0, 1]) AS position FROM chains),
+repairs AS (
+  SELECT qid::INT AS qid, position::INT AS position, path[position + 1] AS "from", path[position + 2] AS "to", bridge_type IS NOT NULL AS fixed, bridge_type AS method,
+         CASE bridge_type WHEN 'async' THEN 'work_struct.func' WHEN 'function_pointer' THEN 'ops' END AS bridge_entity
+  FROM steps JOIN chains USING (qid) LEFT JOIN bridged ON bridged.b = path[position + 2]
+  WHERE NOT EXISTS (SELECT 1 FROM calls WHERE flag <> 'R' AND head = qid + position AND nxt = qid + position + 1))"""
+
+
+@query("break_repairs", _REPAIRS + " SELECT * FROM repairs")
 def _(spark, d):
-    g = by_key(spark, d, stored=True)
-    found = tables.stored(stitch.stitch_paths(g, _named_pairs(spark), DEPTH), "stitched")
-    return stitch.break_repairs(g, found)
+    return stitch.break_repairs(by_key(spark, d), _broken_chains(spark, d))
 
 
-@query("report_json")
+@query("repair_stats", _REPAIRS + " SELECT coalesce(method, 'unrepaired') AS method, count(*) AS n FROM repairs GROUP BY ALL")
+def _(spark, d):
+    return stitch.repair_stats(stitch.break_repairs(by_key(spark, d), _broken_chains(spark, d)))
+
+
+@query("repaired_paths", _REPAIRS + """
+SELECT c.qid::INT AS qid, array_to_string(list_concat([path[1]], list_concat(CASE WHEN a.fixed THEN [a.bridge_entity, path[2]] ELSE [path[2]] END, CASE WHEN b.fixed THEN [b.bridge_entity, path[3]] ELSE [path[3]] END)), '>') AS path
+FROM chains c LEFT JOIN repairs a ON a.qid = c.qid AND a.position = 0 LEFT JOIN repairs b ON b.qid = c.qid AND b.position = 1""")
+def _(spark, d):
+    chains = _broken_chains(spark, d)
+    return stitch.repaired(chains, tables.stored(stitch.break_repairs(by_key(spark, d), chains), "repairs")).withColumn("path", joined("path"))
+
+
+@query("report_json", _CHAINS + f""",
+boosted AS (SELECT *, list_contains(string_split(path, '>'), 'fn_10')::INT AS m FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score + m * 50.0::DOUBLE DESC, length, path, line_text)::INT AS rank FROM boosted QUALIFY rank <= {K})
+SELECT pairs.qid::VARCHAR AS log_id, count(rank) > 0 AS success, count(rank)::INT AS path_count, arg_min(path, rank) AS best_path, arg_min(score + m * 50.0::DOUBLE, rank) AS best_score,
+       coalesce(sum(indirect_count), 0)::INT AS n_breaks, CASE WHEN count(rank) = 0 THEN '{analysis.NO_PATH}' END AS error
+FROM pairs LEFT JOIN ranked USING (qid) GROUP BY pairs.qid""")
 def _(spark, d):
     asked = _named_pairs(spark).select(F.col("qid").cast("string").alias("log_id"), F.col("start").alias("start_func"), F.col("goal").alias("end_func"), F.array(F.lit("fn_10")).alias("intermediate_funcs"))
     out = analysis.analyse_functions(by_key(spark, d, stored=True), asked, K, DEPTH)
-    return out.select("log_id", "success", "path_count", F.to_json("paths").alias("paths"), "error")
+    text = out.withColumn("json", F.to_json("paths"))  # what a report file holds, read back
+    back = F.from_json("json", "array<struct<path:array<string>,score:double,breaks:array<struct<position:int>>>>")
+    read = text.withColumn("p", F.coalesce(back, F.array().cast("array<struct<path:array<string>,score:double,breaks:array<struct<position:int>>>>")))
+    breaks = F.aggregate("p", F.lit(0), lambda n, x: n + F.size(x["breaks"]))
+    return read.select("log_id", "success", "path_count", F.array_join(source_text.best_path(F.col("p")), ">").alias("best_path"), F.get(F.col("p"), F.lit(0))["score"].alias("best_score"), breaks.alias("n_breaks"), "error")
+
+
+# --- pruned and unpruned search ---
+
+#: Subsystems of the parts, by part key; and ends of searches inside the one that part 1 belongs to.
+SUBSYSTEMS, OWN_PAIRS = 4, ((1, 5), (5, 13), (9, 1), (13, 17))
+
+
+def _subsystem(graph: Graph) -> Graph:
+    """The subgraph of every SUBSYSTEMS-th part, with its calls; fields go with it."""
+    inside = lambda c: F.coalesce(F.col(c).try_cast("long") % SUBSYSTEMS == 1, F.lit(True))
+    return Graph(graph.entities.where(inside("id")), graph.relations.where(inside("head") & inside("tail")))
+
+
+def _direct_topk(spark, graph: Graph) -> DataFrame:
+    asked = spark.createDataFrame([(n, str(a), str(b)) for n, (a, b) in enumerate(OWN_PAIRS)], "qid int, start string, goal string")
+    names = graph.of("FUNCTION").select(F.col("id").alias("node"), "name")
+    found = paths.topk_paths(E.search_steps(graph, False, False), asked, names, K, DEPTH)
+    return found.select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score")
+
+
+def _direct_sql(own: str) -> str:
+    rows = ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(OWN_PAIRS))
+    chains = _chains_sql(K).replace(PAIRS_SQL, f"pairs AS (SELECT * FROM (VALUES {rows}) t(qid, start, goal)), own AS (SELECT * FROM uedges WHERE kind = 'direct' {own})")
+    return chains.replace("FROM chains JOIN uedges ON", "FROM chains JOIN own ON") + " SELECT qid, rank, path, line_text AS lines, score FROM top"
+
+
+@query("topk_one_subsystem", _direct_sql(f"AND src % {SUBSYSTEMS} = 1 AND dst % {SUBSYSTEMS} = 1"))
+def _(spark, d):
+    """The pruned search: one subsystem is read."""
+    return _direct_topk(spark, _subsystem(by_key(spark, d, stored=True)))
+
+
+@query("topk_all_subsystems", _direct_sql(""))
+def _(spark, d):
+    """The same ends over the whole graph."""
+    return _direct_topk(spark, by_key(spark, d, stored=True))
 
 
 # --- logs and texts ---
