@@ -458,7 +458,7 @@ def _(spark, d):
 # --- pruned and unpruned search ---
 
 #: Subsystems of the parts, by part key; and ends of searches inside the one that part 1 belongs to.
-SUBSYSTEMS, OWN_PAIRS = 4, ((1, 5), (5, 13), (9, 1), (13, 17))
+SUBSYSTEMS, OWN_PAIRS = 4, tuple((a, a + 4) for a in range(1, 100, 4))
 
 
 def _subsystem(graph: Graph) -> Graph:
