@@ -63,6 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     args = arguments(argv)
     from pyspark.sql import SparkSession
 
+    from graphlens import tables
     from graphlens.operators import identity
     from graphlens.plans import analysis
     from graphlens.sources import graph, text
@@ -92,6 +93,7 @@ def main(argv: list[str] | None = None) -> int:
         report = analysis.analyse_functions(g, asked, **settings) if asked is not None else analysis.analyse_logs(g, logs, analysis.messages_for(g), **settings)
     text.write_report_file(report, args.output)
     row = report.select("success").first()
+    tables.clear(spark)
     return 0 if row and row["success"] else 1
 
 

@@ -28,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_held: dict[str, list[str]] = {}  # by application, what stored() wrote
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every table that stored() wrote in this application, once no result of it is read any more; how many there were."""
+    paths = _held.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back."""
     spark = df.sparkSession
@@ -35,6 +51,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _held.setdefault(spark.sparkContext.applicationId, []).append(path)
     return out
 
 
@@ -56,9 +73,10 @@ def dropped(df: DataFrame) -> None:
     """Delete a table made by stored() that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        held = _held.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in held:
+            held.remove(path)
 
 
 def _width(df: DataFrame) -> tuple[int, list[Column]]:

@@ -161,3 +161,52 @@ def test_single_chain_and_prompts(spark):
     assert [r["names"] for r in oracle.model_answers(asked, Echo, "subgraphs").collect()] == [["usb"]]
     recorded = spark.createDataFrame([("field", "k", '{"answer": "work"}'), ("log", "l", "{}")], "kind string, key string, answer string")
     assert [tuple(r) for r in oracle.table_answers(recorded, "field").collect()] == [("k", "work")]
+
+
+def test_views_reports_and_smaller_helpers(spark, tmp_path):
+    from graphlens import tables
+    from graphlens.operators import neighbors
+    from graphlens.sources import graph as sources
+
+    g = make(spark, plain("a", "b", "c"), [("1", "2", 4), ("2", "3", 1)])
+    sources.register(g, "t_")
+    assert spark.sql("SELECT count(*) FROM t_relations r JOIN t_entities e ON e.id = r.head WHERE r.type = 'CALLS'").first()[0] == 2
+    around = neighbors.bridge_context(g, spark.createDataFrame([("a", "c")], "a string, b string")).first()
+    assert (around["callees_a"], around["callers_b"]) == (["b"], ["b"])
+    messages = templates.fail_messages(spark)
+    own = templates.messages_of(messages, spark.createDataFrame([("mmc_attach_mmc",)], "name string"))
+    assert [r["message_id"] for r in own.collect()] == ["msg_4157275"]
+    assert [r["function"] for r in templates.match_texts(logs_df(spark, LOG), own).collect()] == ["mmc_attach_mmc"]
+    assert analysis.messages_for(g).count() == 4
+    asked = spark.createDataFrame([("x", "a", "c", None)], "log_id string, start_func string, end_func string, intermediate_funcs array<string>")
+    report = analysis.analyse_functions(g, asked, max_depth=4)
+    text.write_report(report, str(tmp_path / "reports"))
+    assert spark.read.json(str(tmp_path / "reports")).first()["path_count"] == 1
+    assert report.select(text.best_path(F.col("paths"))).first()[0] == ["a", "b", "c"]
+    own = tables.stored(spark.range(3), "own")
+    tables.dropped(own)
+    again = spark.newSession()
+    assert tables.stored(again.range(2), "own").count() == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.log").write_text("error: boom in f_g (x)")
+    q = stream.parsed_stream(stream.read_log_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["functions"] for r in spark.table("parsed").collect()] == [["f_g"]]
+
+
+def test_stored_tables_are_cleared_and_bytes_bound_broadcasts(spark, monkeypatch):
+    from graphlens import tables
+
+    held = tables._held
+    monkeypatch.setattr(tables, "_held", {})
+    both = tables.stored_together(one=spark.range(3), two=spark.range(4))
+    assert {k: v.count() for k, v in both.items()} == {"one": 3, "two": 4} and tables.clear(spark) == 2 and tables.clear(spark) == 0
+    kept, counts = tables.stored_counting(spark.range(10), "counted", odd=F.count_if(F.col("id") % 2 == 1))
+    assert kept.count() == 10 and counts == {"odd": 5}
+    wide = spark.range(4).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array("id").alias("a"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    assert hinted(tables.small(wide)) and hinted(tables.small(wide, 4)) and not hinted(tables.small(wide, limit=3))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 3000)
+    assert not hinted(tables.small(wide)) and not hinted(tables.small(wide, 4)) and hinted(tables.small(spark.range(4), 4))
+    assert held is not tables._held
