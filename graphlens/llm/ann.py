@@ -39,7 +39,7 @@ from graphlens.llm import common
 TOP = 20
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that codebooks are trained on, about.
-TRAIN_ROWS = 16384
+TRAIN_ROWS = 12288
 #: Candidates that are reranked exactly, for each query.
 SHORTLIST = 1024
 #: Rows of a block of codes or vectors; blocks at least; queries of a block; shortlist rows of a block.
@@ -66,8 +66,8 @@ class Quantizer:
 
     def __init__(self, books: np.ndarray):
         self.books = books
-        flat = books.reshape(-1, books.shape[2])
-        self.gram = (flat @ flat.T).astype(np.float32).reshape(len(books), books.shape[1], len(books), books.shape[1])
+        self.single = books.astype(np.float32)
+        self.norms = (self.single**2).sum(2)
 
     def __reduce__(self):
         return Quantizer, (self.books,)
@@ -79,27 +79,32 @@ class Quantizer:
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
         books, words, dim = self.books.shape
         n = len(x)
-        dots = (x @ self.books.reshape(-1, dim).T).astype(np.float32).reshape(n, books, words)
-        codes = np.zeros((n, 1, 0), np.int64)
+        rest = x.astype(np.float32)[:, None, :]  # what each kept sum leaves of its vector
         error = np.zeros((n, 1), np.float32)  # squared error less |x|^2
-        own = np.arange(n)[:, None]
-        for m in range(books):
-            norm = self.gram[m, np.arange(words), m, np.arange(words)]
-            cost = error[:, :, None] + (norm - 2 * dots[:, m])[:, None, :]
-            for j in range(m):
-                cost += 2 * self.gram[j][:, m][codes[:, :, j]]
-            width = min(beam, cost.shape[1] * words)
+        codes = np.zeros((n, 1, 0), np.uint8)
+        own = np.arange(n)
+        for book, norm in zip(self.single, self.norms):
+            cost = (rest.reshape(-1, dim) @ book.T).reshape(n, -1, words)
+            cost *= -2
+            cost += norm
+            cost += error[:, :, None]
             flat = cost.reshape(n, -1)
-            pick = np.argpartition(flat, width - 1, 1)[:, :width]
-            codes = np.concatenate([codes[own, pick // words], (pick % words)[:, :, None]], 2)
-            error = np.take_along_axis(flat, pick, 1)
-        return codes[np.arange(n), error.argmin(1)].astype(np.uint8)
+            pick = np.empty((n, min(beam, flat.shape[1])), np.int64)
+            error = np.empty(pick.shape, np.float32)
+            for k in range(pick.shape[1]):  # a few passes for the least are faster than a partition
+                pick[:, k] = flat.argmin(1)
+                error[:, k] = flat[own, pick[:, k]]
+                flat[own, pick[:, k]] = np.inf
+            parent, word = pick // words, pick % words
+            codes = np.concatenate([codes[own[:, None], parent], word[:, :, None].astype(np.uint8)], 2)
+            rest = rest[own[:, None], parent] - book[word]
+        return codes[:, 0]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 4) -> np.ndarray:
     centers = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(steps):
         near = ((centers**2).sum(1) - 2 * (x @ centers.T)).argmin(1)
