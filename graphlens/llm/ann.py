@@ -263,8 +263,9 @@ def nearest(index: DataFrame, model: Quantizer | None, queries: DataFrame, top:
     base = codes.withColumn("block", deal("vec_id", blocks)).withColumn("part", every(parts))
     grid = wide.withColumn("part", deal("vec_id", parts)).withColumn("block", every(blocks))
     found = base.groupBy("block", "part").cogroup(grid.groupBy("block", "part")).applyInArrow(_searcher(model, best, metric), "query_id long, vec_id long, near float")
-    listed = found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
-    listed = listed.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("r") <= shortlist)
+    if codes.select("vec_id").distinct().count() < n:  # a vec_id of several vectors takes one place
+        found = found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
+    listed = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("r") <= shortlist)
     # exact reranking: each query goes with its part of the shortlist to the blocks that hold it
     groups = max(1, -(-asked * shortlist // (blocks * PAIR_BLOCK)))
     wanted = listed.select("query_id", "vec_id", deal("vec_id", blocks).alias("block")).groupBy("query_id", "block").agg(F.collect_list("vec_id").alias("wanted"))
