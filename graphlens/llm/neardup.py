@@ -286,3 +286,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+#: Sets compared in full: pairs by shared shingles, then reachability.
+ORACLE = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+words AS (SELECT r, len(w) AS m, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM docs),
+runs AS (
+  SELECT r, m, i, concat_ws(' ', w1, lead(w1) OVER o, lead(w1, 2) OVER o, lead(w1, 3) OVER o, lead(w1, 4) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+sets AS (SELECT r, list_sort(list(DISTINCT g)) AS s FROM runs WHERE i = 1 OR i <= m - 4 GROUP BY r),
+sized AS (SELECT r, doc_id, coalesce(len(s), 0)::BIGINT AS n, s FROM docs LEFT JOIN sets USING (r)),
+classes AS (SELECT min(r) AS r, any_value(n) AS n, s FROM sized WHERE n > 0 GROUP BY s),
+grams AS (SELECT r, n, unnest(s) AS g FROM classes),
+inter AS (
+  SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+  FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
+same AS (SELECT c.r AS rep, sized.doc_id FROM sized JOIN classes c ON c.s = sized.s WHERE sized.n > 0 AND sized.doc_id IS NOT NULL),
+links AS (SELECT a, b FROM inter WHERE 100 * i >= 75 * (na + nb - i)),
+edges AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT rep, rep FROM same) l
+  JOIN (SELECT rep, min(doc_id) AS doc_id FROM same GROUP BY rep) x ON x.rep = l.a JOIN (SELECT rep, min(doc_id) AS doc_id FROM same GROUP BY rep) y ON y.rep = l.b
+  UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY rep) FROM same UNION SELECT min(doc_id) OVER (PARTITION BY rep), doc_id FROM same),
+reach AS (SELECT DISTINCT doc_id, doc_id AS met FROM same UNION SELECT doc_id, b FROM reach JOIN edges ON a = met),
+comp AS (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY doc_id)
+SELECT sized.doc_id, n AS n_shingles, CASE WHEN sized.doc_id IS NOT NULL THEN coalesce(component_id, sized.doc_id) END AS component_id,
+       coalesce(sized.doc_id = coalesce(component_id, sized.doc_id), true) AS kept
+FROM sized LEFT JOIN comp ON comp.doc_id = sized.doc_id
+"""

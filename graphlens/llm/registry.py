@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op9_sharding": sharding.oracle(), "op10_line_dedup": linededup.ORACLE}
+    return {
+        "op3_near_duplicates": neardup.ORACLE,
+        "op5_mixing": mixing.ORACLE,
+        "op7_repeated_substrings": substrings.ORACLE,
+        "op9_sharding": sharding.oracle(),
+        "op10_line_dedup": linededup.ORACLE,
+    }

@@ -599,3 +599,22 @@ def op7_repeated_substrings(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows (two hex digits a byte, cut from pieces as a cut reads its text from the start), the first of each aside; what they cover.
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT r, doc_id, h, (len(h) // 2)::BIGINT AS n FROM docs),
+parts AS (SELECT r, n, q, substr(h, 2 * q + 1, 600) AS part FROM (SELECT r, n, h, unnest(range(0, n - 99, 200)) AS q FROM sized WHERE n >= 100)),
+starts AS (SELECT r, q + p AS p, substr(part, 2 * p + 1, 200) AS s FROM (SELECT r, q, part, unnest(range(least(200, n - 99 - q))) AS p FROM parts)),
+seen AS (SELECT r, p FROM starts QUALIFY row_number() OVER (PARTITION BY s ORDER BY r, p) > 1),
+marked AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM seen),
+numbered AS (SELECT r, p, sum((before IS NULL OR p > before + 100)::INT) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT r, run, min(p) AS lo, max(p) + 100 AS hi FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM runs),
+cut AS (SELECT r, count(*) AS spans, sum(hi - lo) AS removed, max(hi) AS last FROM runs GROUP BY r),
+left_ AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head FROM gaps JOIN sized USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE coalesce(head, '') || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM sized LEFT JOIN cut USING (r) LEFT JOIN left_ USING (r)
+"""
