@@ -284,7 +284,7 @@ def _(spark, d):
     return reach.levels(back, pairs(spark).select("qid", F.col("goal").alias("node")), 3)
 
 
-def _chains_sql(k: int | None) -> str:
+def _chains_sql(k: int | None, depth: int = DEPTH) -> str:
     return f""", {PAIRS_SQL},
 chains AS (
   SELECT qid, goal, start AS node, false AS arrived, [start] AS ids, 0::BIGINT AS sum_line, 0 AS n_line, 0 AS indirect_count,
@@ -296,7 +296,7 @@ chains AS (
          CASE WHEN kind = 'async' THEN list_concat(kinds, ['direct', 'async']) ELSE list_append(kinds, kind) END,
          list_append(trail, {{'ord': ord, 'sub': sub}})
   FROM chains JOIN uedges ON src = node
-  WHERE node <> goal AND (kind <> 'indirect' OR NOT arrived) AND len(ids) + (CASE WHEN kind = 'async' THEN 2 ELSE 1 END) <= {DEPTH}
+  WHERE node <> goal AND (kind <> 'indirect' OR NOT arrived) AND len(ids) + (CASE WHEN kind = 'async' THEN 2 ELSE 1 END) <= {depth}
     AND NOT list_contains(ids, dst) AND (mid IS NULL OR NOT list_contains(ids, mid))),
 scored AS (
   SELECT qid, ids, kinds, lines, trail, len(ids)::INT AS length, indirect_count,
@@ -461,23 +461,32 @@ def _(spark, d):
 SUBSYSTEMS, OWN_PAIRS = 4, tuple((a, a + 4) for a in range(1, 100, 4))
 
 
-def _subsystem(graph: Graph) -> Graph:
-    """The subgraph of every SUBSYSTEMS-th part, with its calls; fields go with it."""
-    inside = lambda c: F.coalesce(F.col(c).try_cast("long") % SUBSYSTEMS == 1, F.lit(True))
+def _subsystem(graph: Graph, of: int = SUBSYSTEMS) -> Graph:
+    """The subgraph of every of-th part, with its calls; fields go with it."""
+    inside = lambda c: F.coalesce(F.col(c).try_cast("long") % of == 1, F.lit(True))
     return Graph(graph.entities.where(inside("id")), graph.relations.where(inside("head") & inside("tail")))
 
 
-def _direct_topk(spark, graph: Graph) -> DataFrame:
-    asked = spark.createDataFrame([(n, str(a), str(b)) for n, (a, b) in enumerate(OWN_PAIRS)], "qid int, start string, goal string")
+def _direct_topk(spark, graph: Graph, ends=OWN_PAIRS, depth: int = DEPTH) -> DataFrame:
+    asked = spark.createDataFrame([(n, str(a), str(b)) for n, (a, b) in enumerate(ends)], "qid int, start string, goal string")
     names = graph.of("FUNCTION").select(F.col("id").alias("node"), "name")
-    found = paths.topk_paths(E.search_steps(graph, False, False), asked, names, K, DEPTH)
+    found = paths.topk_paths(E.search_steps(graph, False, False), asked, names, K, depth)
     return found.select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score")
 
 
-def _direct_sql(own: str) -> str:
-    rows = ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(OWN_PAIRS))
-    chains = _chains_sql(K).replace(PAIRS_SQL, f"pairs AS (SELECT * FROM (VALUES {rows}) t(qid, start, goal)), own AS (SELECT * FROM uedges WHERE kind = 'direct' {own})")
-    return chains.replace("FROM chains JOIN uedges ON", "FROM chains JOIN own ON") + " SELECT qid, rank, path, line_text AS lines, score FROM top"
+def _direct_sql(own: str, ends=OWN_PAIRS, depth: int = DEPTH, slack: bool = False) -> str:
+    """slack: nodes are expanded by the search's rule, which searches of a few nodes never come to."""
+    rows = ", ".join(f"({n}, {a}, {b})" for n, (a, b) in enumerate(ends))
+    asked = f"pairs AS (SELECT * FROM (VALUES {rows}) t(qid, start, goal)), own AS (SELECT * FROM uedges WHERE kind = 'direct' {own})"
+    step = "FROM chains JOIN own ON src = node"
+    if slack:
+        asked += f""",
+sizes AS (
+  SELECT qid, goal, start AS at_, 1 AS size FROM pairs UNION SELECT qid, goal, dst, size + 1 FROM sizes JOIN own ON src = at_ WHERE at_ <> goal AND size < {depth}),
+firsts AS (SELECT qid AS of_, at_, min(size) AS first_size FROM sizes GROUP BY qid, at_)"""
+        step += f" JOIN firsts ON of_ = qid AND at_ = node AND len(ids) < first_size + {paths.SLACK}"
+    chains = _chains_sql(K, depth).replace(PAIRS_SQL, asked).replace("FROM chains JOIN uedges ON src = node", step)
+    return chains + " SELECT qid, rank, path, line_text AS lines, score FROM top"
 
 
 @query("topk_one_subsystem", _direct_sql(f"AND src % {SUBSYSTEMS} = 1 AND dst % {SUBSYSTEMS} = 1"))
@@ -492,6 +501,16 @@ def _(spark, d):
     return _direct_topk(spark, by_key(spark, d, stored=True))
 
 
+#: A subsystem sparse enough for SQL to list all chains of longer searches; their nodes at most, and their ends.
+SPARSE, DEEP, DEEP_PAIRS = 6, 7, tuple((a, b) for a in (1, 61, 121) for b in (31, 97, 193))
+
+
+@query("topk_deep", _direct_sql(f"AND src % {SPARSE} = 1 AND dst % {SPARSE} = 1", DEEP_PAIRS, DEEP, True))
+def _(spark, d):
+    """A search deep enough for limits that widen, bounds by the k-th score and the slack rule."""
+    return _direct_topk(spark, _subsystem(by_key(spark, d, stored=True), SPARSE), DEEP_PAIRS, DEEP)
+
+
 # --- logs and texts ---
 
 
