@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphlens.llm import ann, codes, decontam, lexical, linededup, mixing, neardup, sharding, substrings, tokens, toxicity
+from graphlens.llm import ann, codes, decontam, embdup, lexical, linededup, mixing, neardup, sharding, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_shards": tokens.op8_token_shards,
         "op9_sharding": sharding.op9_sharding,
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op11_embedding_duplicates": embdup.op11_embedding_duplicates,
         "op12_lexical_search": lexical.op12_lexical_search,
         "op13_vector_codes": codes.op13_vector_codes,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_repeated_substrings": substrings.ORACLE,
         "op9_sharding": sharding.oracle(),
         "op10_line_dedup": linededup.ORACLE,
+        "op11_embedding_duplicates": embdup.ORACLE,
         "op12_lexical_search": lexical.ORACLE,
         "op13_vector_codes": codes.ORACLE,
     }
