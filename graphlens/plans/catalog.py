@@ -240,7 +240,36 @@ walk AS (
 SELECT qid, array_to_string(path, '>') AS path, len(path)::INT AS length
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(path), path) AS n FROM walk WHERE node = goal) WHERE n = 1""")
 def _(spark, d):
-    return reach.shortest_path(hops(spark, d), pairs(spark), DEPTH).withColumn("path", joined("path"))
+    return reach.shortest_path(hops(spark, d), pairs(spark), DEPTH).select("qid", joined("path").alias("path"), "length")
+
+
+#: Ends of the searches of default depth: a pair for each supplier, of parts that its key leads to.
+DEEPEST = 30
+_ENDS_SQL = """parts AS (SELECT count(*) AS n_parts FROM part),
+pairs AS (SELECT s_suppkey::INT AS qid, (s_suppkey * 37) % n_parts AS start, (s_suppkey * 101 + 49) % n_parts AS goal FROM supplier, parts)"""
+
+
+def supplier_pairs(spark, d) -> DataFrame:
+    n = derive.table(spark, d, "part").count()
+    key = F.col("s_suppkey")
+    return derive.table(spark, d, "supplier").select(key.cast("int").alias("qid"), ((key * 37) % n).cast("string").alias("start"), ((key * 101 + 49) % n).cast("string").alias("goal"))
+
+
+@query("shortest_path_deep", f""", {_HOPS}, {_ENDS_SQL},
+back AS (
+  SELECT qid, start, goal AS node, 1 AS d FROM pairs
+  UNION SELECT qid, start, src, d + 1 FROM back JOIN hops ON dst = node WHERE d < 8),
+left_ AS (SELECT qid, node, min(d) AS d FROM back GROUP BY qid, node),
+least AS (
+  SELECT pairs.qid, goal, start AS node, d, [start::VARCHAR] AS path FROM pairs JOIN left_ ON left_.qid = pairs.qid AND left_.node = start
+  UNION ALL
+  SELECT least.qid, goal, l.node, l.d, list_append(path, l.node::VARCHAR) FROM least
+  JOIN LATERAL (SELECT l.node, l.d FROM hops JOIN left_ l ON l.qid = least.qid AND l.node = dst WHERE src = least.node AND l.d = least.d - 1 ORDER BY l.node::VARCHAR LIMIT 1) l ON true)
+SELECT qid, array_to_string(path, '>') AS path, len(path)::INT AS length, array_to_string([CASE WHEN x > 0 THEN 'direct' END FOR x IN range(1, len(path))], '>') AS labels FROM least WHERE node = goal""")
+def _(spark, d):
+    """Paths of up to DEEPEST nodes; no pair of these tables is eight calls apart."""
+    found = reach.shortest_path(hops(spark, d), supplier_pairs(spark, d), DEEPEST)
+    return found.select("qid", joined("path").alias("path"), "length", joined("labels").alias("labels"))
 
 
 @query("all_simple_paths", _WALK + " SELECT qid, array_to_string(path, '>') AS path, len(path)::INT AS length FROM walk WHERE node = goal")
@@ -402,23 +431,20 @@ def _(spark, d):
     return stitch.layered_paths(by_key(spark, d, stored=True), _named_pairs(spark), DEPTH).withColumn("path", joined("path"))
 
 
-#: Chains of three neighbouring parts each, most of which don't call each other.
-BROKEN = 400
-
-
 def _broken_chains(spark, d) -> DataFrame:
+    """Chains of three neighbouring parts each, most of which don't call each other."""
     key = F.col("p_partkey")
-    return derive.table(spark, d, "part").where(key <= BROKEN).select(key.cast("int").alias("qid"), F.array(*[derive.unique_name(key + n) for n in range(3)]).alias("path"))
+    return derive.table(spark, d, "part").select(key.cast("int").alias("qid"), F.array(*[derive.unique_name(key + n) for n in range(3)]).alias("path"))
 
 
 _REPAIRS = f""", {_BRIDGED},
-chains AS (SELECT p_partkey AS qid, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN [p_partkey, p_partkey + 1, p_partkey + 2]] AS path FROM part WHERE p_partkey <= {BROKEN}),
+chains AS (SELECT p_partkey AS qid, [(CASE WHEN x % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || x) FOR x IN [p_partkey, p_partkey + 1, p_partkey + 2]] AS path FROM part),
 steps AS (SELECT qid, unnest([0, 1]) AS position FROM chains),
 repairs AS (
   SELECT qid::INT AS qid, position::INT AS position, path[position + 1] AS "from", path[position + 2] AS "to", bridge_type IS NOT NULL AS fixed, bridge_type AS method,
          CASE bridge_type WHEN 'async' THEN 'work_struct.func' WHEN 'function_pointer' THEN 'ops' END AS bridge_entity
   FROM steps JOIN chains USING (qid) LEFT JOIN bridged ON bridged.b = path[position + 2]
-  WHERE NOT EXISTS (SELECT 1 FROM calls WHERE flag <> 'R' AND head = qid + position AND nxt = qid + position + 1))"""
+  ANTI JOIN (SELECT head, nxt FROM calls WHERE flag <> 'R') direct ON head = qid + position AND nxt = qid + position + 1)"""
 
 
 @query("break_repairs", _REPAIRS + " SELECT * FROM repairs")
@@ -511,6 +537,46 @@ def _(spark, d):
     return _direct_topk(spark, _subsystem(by_key(spark, d, stored=True), SPARSE), DEEP_PAIRS, DEEP)
 
 
+def _default_sql() -> str:
+    """Direct chains of up to a node more than the shortest give a k-th score, which bounds the search over all calls; pairs without one go two nodes beyond their shortest, four by direct calls."""
+    ends = f"""{_HOPS}, {_ENDS_SQL},
+late AS (SELECT DISTINCT src, dst, CASE kind WHEN 'async' THEN 2 ELSE 1 END AS w, kind FROM uedges),
+back AS (SELECT qid, goal AS node, 0 AS d FROM pairs UNION SELECT qid, src, d + 1 FROM back JOIN hops ON dst = node WHERE d < 7),
+plain AS (SELECT qid AS pq, node AS pn, min(d) AS pd FROM back GROUP BY qid, node),
+spread AS (SELECT qid, goal AS node, 0 AS d FROM pairs UNION SELECT qid, src, d + w FROM spread JOIN late ON dst = node WHERE d + w <= 7),
+near AS (SELECT qid AS lq, node AS ln, min(d) AS ld FROM spread GROUP BY qid, node),
+sizes AS (
+  SELECT qid, goal, start AS at_, false AS flag, 1 AS size FROM pairs
+  UNION SELECT qid, goal, dst, kind <> 'direct', size + w FROM sizes JOIN late ON src = at_ WHERE at_ <> goal AND (kind <> 'indirect' OR NOT flag) AND size + w <= 5),
+firsts AS (SELECT qid AS of_, at_, min(size) AS first_size FROM sizes WHERE at_ <> goal GROUP BY qid, at_),
+one AS (
+  SELECT qid, goal, start AS node, [start] AS ids, 0::BIGINT AS s, pd + 2 AS most FROM pairs JOIN plain ON pq = qid AND pn = start
+  UNION ALL
+  SELECT qid, goal, dst, list_append(ids, dst), s + call_line, most
+  FROM one JOIN uedges ON src = node AND kind = 'direct' JOIN plain ON pq = qid AND pn = dst LEFT JOIN firsts ON of_ = qid AND at_ = node
+  WHERE node <> goal AND len(ids) + 1 + pd <= most AND len(ids) < coalesce(first_size, 6) + {paths.SLACK} AND NOT list_contains(ids, dst)),
+firstk AS (
+  SELECT qid, 1000.0 - len(ids) - (CASE WHEN len(ids) > 1 THEN s::DOUBLE / (len(ids) - 1) ELSE 0.0 END) / 100 AS score FROM one WHERE node = goal
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC) <= {K}),
+bounds AS (
+  SELECT pairs.qid AS bq, ld + 3 AS most, (SELECT CASE WHEN count(*) >= {K} THEN floor(1000 - min(score)) END FROM firstk WHERE firstk.qid = pairs.qid) AS cap
+  FROM pairs JOIN near ON lq = pairs.qid AND ln = start)"""
+    step = f"""FROM chains JOIN uedges ON src = node JOIN near ON lq = qid AND ln = dst JOIN bounds ON bq = qid LEFT JOIN firsts ON of_ = qid AND at_ = node"""
+    fits = f"""AND len(ids) < coalesce(first_size, 6) + {paths.SLACK} AND len(ids) + (CASE WHEN kind = 'async' THEN 2 ELSE 1 END) + ld <= coalesce(cap - (indirect_count + (kind <> 'direct')::INT) * 10, most + CASE WHEN indirect_count + (kind <> 'direct')::INT = 0 THEN 2 ELSE 0 END)"""
+    found = _chains_sql(K, DEEPEST).replace("FROM chains JOIN uedges ON src = node", step)
+    found = found.replace("AND NOT list_contains(ids, dst)", fits + " AND NOT list_contains(ids, dst)").replace(PAIRS_SQL, ends)
+    return found + " SELECT qid, rank, path, line_text AS lines, score, length, indirect_count, avg_call_line FROM top"
+
+
+@query("topk_default", _default_sql())
+def _(spark, d):
+    """The search at its default depth, a pair for each supplier."""
+    g = by_key(spark, d, stored=True)
+    names = g.of("FUNCTION").select(F.col("id").alias("node"), "name")
+    found = paths.topk_paths(E.search_steps(g), supplier_pairs(spark, d), names, K, DEEPEST)
+    return found.select("qid", "rank", joined("path").alias("path"), _lines().alias("lines"), "score", "length", "indirect_count", "avg_call_line")
+
+
 # --- logs and texts ---
 
 
