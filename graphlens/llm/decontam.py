@@ -1,24 +1,25 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Every four-word shingle of a test item is a seed, however many documents hold
-it, so no copy is passed over because its seeds are common; an item of fewer
-words has its whole sequence as its seed, wherever it stands. A document that
-holds a seed is aligned, around its hits, with the seed's item word by word;
-edits, insertions and deletions lower the score instead of hiding the copy.
-
-Common seeds bring many documents that only share a phrase. An alignment has at
-most a match for each word of the item that stands in the window at all, so
-documents and windows with too few of them are left out unaligned, which loses
-none that reaches the threshold.
-
-Test items go to the executors in slices of bounded size, one pass over the
-documents for each; nothing is shuffled.
+"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
+
+A document is contaminated by a test item if the two align word by word with at
+least THRESHOLD of the item's best possible score, and no less than FEWEST words
+in a row (all, of an item of fewer) score. Such an alignment matches so many of
+the item's words (need of n) inside so short a stretch of the document (span words)
+that, whichever n - need + t of the item's words are taken as seeds, t of them stand in
+that stretch. The rarest ones are taken, by the number of documents that hold a word;
+stretches with t seeds are aligned if enough of all the item's words stand in them.
+So seeds lose nothing that reaches the threshold: a copy with every third word
+replaced, or a word put in after every second, is found though no two or three of its
+words stand in a row.
+
+Test items go to the executors in slices of bounded size, one slice at a time:
+a pass over the documents counts its words, another finds its copies. Nothing
+of the documents is shuffled but the counts of a slice's words.
 
 Defined cases: words are compared lower-cased (A-Z) and without ASCII marks at
 either end; items without words match nothing, those of one to three words match
-where all of them stand in a row; null and empty texts are clean;
-repeated rows are each answered; empty tables give no rows; other columns are
-ignored.
+where all of them stand in a row; null and empty texts are clean; very long
+texts are searched a bounded stretch at a time; repeated rows are each answered;
+empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from pyspark.sql import functions as F
 
 from graphlens.llm import common, textkit
 
-SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible alignment score from which a document is contaminated.
 THRESHOLD = 0.5
+#: Words whose score in a row is the least that counts, for short items.
+FEWEST = 4
 #: Bytes of item texts that go to the executors at once.
 SLICE_BYTES = 32 << 20
-#: Seed hits that are listed at once (a text with more is listed by itself).
-HITS = 1 << 20
+#: Seeds of an item that stand together before they are looked at; words of a stretch, and hits of seeds, that are listed at once.
+TOGETHER, STRETCH, HITS = 4, 1 << 18, 1 << 20
 
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 
@@ -69,102 +71,133 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A slice of the test items as word hashes, with their seeds sorted by hash."""
+    """A slice of the test items as word hashes, with their seeds."""
 
     def __init__(self, ids: list, texts: list):
         buf, offs = textkit.flat(pa.array(texts, pa.string()))
         self.ids = ids
         self.words, self.first = plain_words(buf, offs)
-        size = np.diff(self.first)
-        self.seeds = []  # (words of a seed, hashes in order, item of each, place in its item of each)
-        for n in np.unique(np.minimum(size[size > 0], SEED_WORDS)).tolist():
-            hashes, at, _ = textkit.ngrams(self.words, self.first, n)
-            item = np.searchsorted(self.first, at, "right") - 1
-            own = np.minimum(size[item], SEED_WORDS) == n
-            order = np.flatnonzero(own)[np.argsort(hashes[own], kind="stable")]
-            self.seeds.append((n, hashes[order], item[order], (at - self.first[item])[order]))
         self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
         self.present = np.zeros(len(self.vocabulary) + 1, bool)  # scratch of likely(); the last is for other words
 
+    def rare(self, held: np.ndarray, threshold: float) -> None:
+        """Choose the seeds of longer items. held: documents that hold each word of the vocabulary."""
+        size = np.diff(self.first)
+        item = np.repeat(np.arange(len(size)), size)
+        self.least = np.maximum(threshold, np.minimum(size, FEWEST) / np.maximum(size, 1))  # share of the best score
+        need = np.maximum(np.ceil(self.least * size - 1e-9).astype(np.int64), 1)  # words that an alignment matches at least
+        self.span = np.floor(size * (3 - 2 * self.least) + 1e-9).astype(np.int64)  # words of a text that it spans at most
+        self.together = np.minimum(TOGETHER, need)
+        order = np.lexsort((self.word, held[self.word], item))  # each item's words, the rarest first
+        place = np.arange(len(order)) - self.first[item]
+        own = order[place < (size - need + self.together)[item]]
+        self.stride = max(len(size), 1)
+        self.pairs = np.unique(self.word[own] * self.stride + item[own])  # (word, item)
+        self.margin = int(self.span.max(initial=0))
+
+    def near(self, known: np.ndarray, text: np.ndarray, lo: int, hi: int, a: int = 0, b: int | None = None):
+        """(item, first word, last word + 1, hits) of the stretches of known[lo:hi] that items a to b have enough seeds in, a bounded number of hits at a time."""
+        b = self.stride if b is None else b
+        own = known[lo:hi] * self.stride
+        left, right = np.searchsorted(self.pairs, own + a), np.searchsorted(self.pairs, own + b)
+        found = right - left
+        if found.sum() > HITS and (hi - lo > 4 * self.margin + 4 or b - a > 1):
+            if hi - lo > 4 * self.margin + 4:
+                middle = (lo + hi) // 2
+                yield from self.near(known, text, lo, middle + self.margin, a, b)
+                yield from self.near(known, text, middle - self.margin, hi, a, b)
+            else:
+                yield from self.near(known, text, lo, hi, a, (a + b) // 2)
+                yield from self.near(known, text, lo, hi, (a + b) // 2, b)
+            return
+        which = np.flatnonzero(found)
+        found, left = found[which], left[which]
+        item = self.pairs[np.repeat(left - np.cumsum(found) + found, found) + np.arange(found.sum())] % self.stride
+        at = np.repeat(which + lo, found)
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        for t in np.unique(self.together[item]).tolist():
+            head = np.arange(len(at) - t + 1)
+            last = head + t - 1
+            head = head[(self.together[item[head]] == t) & (item[head] == item[last]) & (text[at[head]] == text[at[last]]) & (at[last] - at[head] < self.span[item[head]])]
+            if not len(head):
+                continue
+            m, begin, end = item[head], at[head + t - 1] - self.span[item[head]] + 1, at[head] + self.span[item[head]]
+            fresh = np.ones(len(head), bool)  # stretches that meet are one
+            fresh[1:] = (m[1:] != m[:-1]) | (text[at[head[1:]]] != text[at[head[:-1]]]) | (begin[1:] > end[:-1])
+            first = np.flatnonzero(fresh)
+            until = np.append(first[1:], len(head)) - 1
+            yield from zip(m[first].tolist(), text[at[head[first]]].tolist(), begin[first].tolist(), end[until].tolist(), (head[until] - head[first] + t).tolist())
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Place in the vocabulary of each word, or its length."""
         place = np.minimum(np.searchsorted(self.vocabulary, hashes), max(len(self.vocabulary) - 1, 0))
         return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary)) if len(self.vocabulary) else place
 
-    def likely(self, which: np.ndarray, known: np.ndarray, threshold: float) -> np.ndarray:
-        """Those of the items that could reach the threshold by the words that stand in a window at all."""
+    def likely(self, m: int, known: np.ndarray) -> bool:
+        """Whether item m could reach its least score by the words that stand in a stretch at all."""
         self.present[known] = True
         self.present[-1] = False
-        size = self.first[which + 1] - self.first[which]
-        ends = np.cumsum(size)
-        at = np.repeat(self.first[which] - ends + size, size) + np.arange(ends[-1])
-        matches = np.add.reduceat(self.present[self.word[at]].astype(np.int64), ends - size)
+        own = self.word[self.first[m] : self.first[m + 1]]
+        matches = int(self.present[own].sum())
         self.present[known] = False
-        return which[matches / size >= threshold]
-
-
-def _hits(items: Items, hashes: np.ndarray, first: np.ndarray):
-    """(text, item, begin) of a chunk's seed hits, sorted, a bounded run of texts at a time. begin: the word where the item would begin without edits."""
-    for n, seeds, item, place in items.seeds:
-        grams, at, _ = textkit.ngrams(hashes, first, n)
-        lo, hi = np.searchsorted(seeds, grams, "left"), np.searchsorted(seeds, grams, "right")
-        which = np.flatnonzero(hi > lo)
-        lo, found, at = lo[which], (hi - lo)[which], at[which]
-        text = np.searchsorted(first, at, "right") - 1
-        total = np.concatenate([[0], np.cumsum(found)])
-        edge = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))  # of each text
-        for i, j in textkit.chunks(total[edge], HITS):
-            s = slice(edge[i], edge[j])
-            seed = np.repeat(lo[s] - np.cumsum(found[s]) + found[s], found[s]) + np.arange(found[s].sum())
-            own, begin = np.repeat(text[s], found[s]), np.repeat(at[s], found[s]) - place[seed]
-            order = np.lexsort((begin, item[seed], own))
-            yield own[order], item[seed][order], begin[order]
-
-
-def _best(items: Items, m: int, begin: np.ndarray, hashes: np.ndarray, known: np.ndarray, first: int, last: int, threshold: float) -> tuple[int, int, int]:
-    """(best score, last word of it in the text, seeds) of item m around the places where its hits let it begin, in order."""
-    size = int(items.first[m + 1] - items.first[m])
-    slack = size // 2 + 2
-    best, where = 0, 0
-    apart = np.flatnonzero(np.diff(begin) > size + 2 * slack) + 1
-    for own in np.split(begin, apart):
-        lo, hi = max(int(own[0]) - slack, first), min(int(own[-1]) + size + slack, last)
-        if not len(items.likely(np.array([m]), known[lo:hi], threshold)):
-            continue
-        found, at = align(items.words[items.first[m] : items.first[m + 1]], hashes[lo:hi])
-        if found > best:
-            best, where = found, lo + at - first
-    return best, where, len(begin)
-
-
-def _aligner(items: Items, threshold: float):
+        return matches >= self.least[m] * len(own) - 1e-9
+
+
+def _aligner(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = textkit.flat(batch.column(1))
-            out: dict[str, list] = {"row": [], "item": [], "score": [], "n_seeds": [], "last_word": []}
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}  # (row, item): score, last word, seeds
+
+            def met(row: int, m: int, found: tuple[int, int, int]) -> None:
+                have = best.get((row, m), (0, 0, 0))
+                best[row, m] = (*max(have[:2], found[:2], key=lambda x: (x[0], -x[1])), max(have[2], found[2]))
+
             for i, j in textkit.chunks(offs):
                 hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 known = items.known(hashes)
-                for text, item, begin in _hits(items, hashes, first):
-                    edge = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text))
-                    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                        t = int(text[a])
-                        pairs = items.likely(np.unique(item[a:b]), known[first[t] : first[t + 1]], threshold)
-                        lows, highs = a + np.searchsorted(item[a:b], pairs, "left"), a + np.searchsorted(item[a:b], pairs, "right")
-                        for m, k, end in zip(pairs.tolist(), lows.tolist(), highs.tolist()):
-                            best, where, seeds = _best(items, m, begin[k:end], hashes, known, int(first[t]), int(first[t + 1]), threshold)
-                            score = best / (MATCH * int(items.first[m + 1] - items.first[m]))
-                            if score >= threshold:
-                                for name, value in zip(out, (i + t, items.ids[m], score, seeds, where)):
-                                    out[name].append(value)
-            docs = batch.column(0).take(pa.array(out["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(out["item"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["n_seeds"], pa.int64()), pa.array(out["last_word"], pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "last_word"])
+                text = np.repeat(np.arange(j - i), np.diff(first))
+                for lo in range(0, len(known), STRETCH):  # an alignment lies in one stretch or its margin
+                    for m, t, a, b, seeds in items.near(known, text, lo, min(lo + STRETCH + items.margin, len(known))):
+                        a, b = max(a, int(first[t])), min(b, int(first[t + 1]))
+                        if items.likely(m, known[a:b]):
+                            score, at = align(items.words[items.first[m] : items.first[m + 1]], hashes[a:b])
+                            met(i + t, m, (score, a + at - int(first[t]), seeds))
+            kept = []
+            for (row, m), (found, where, seeds) in best.items():
+                score = found / (MATCH * int(items.first[m + 1] - items.first[m]))
+                if score >= items.least[m] - 1e-9:
+                    kept.append((row, items.ids[m], score, seeds, where))
+            row, item, score, seeds, where = zip(*sorted(kept, key=lambda r: (r[0], r[1] is None, r[1] or 0))) if kept else ((),) * 5
+            docs = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(seeds, pa.int64()), pa.array(where, pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "last_word"])
+
+    return run
+
+
+def _counter(vocabulary: np.ndarray):
+    """(word, documents that hold it) of a batch, for words of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            buf, offs = textkit.flat(batch.column(0))
+            for i, j in textkit.chunks(offs):
+                hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                place = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
+                own = np.flatnonzero(vocabulary[place] == hashes) if len(vocabulary) else place[:0]
+                text = np.repeat(np.arange(j - i), np.diff(first))[own]
+                once = np.unique(text * max(len(vocabulary), 1) + place[own])
+                held += np.bincount(once % max(len(vocabulary), 1), minlength=len(vocabulary))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["word", "held"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text), (item_id, text) -> doc_id, item_id, score, n_seeds, last_word of every contaminated document and its item."""
+    """(doc_id, text), (item_id, text) -> doc_id, item_id, score, n_seeds (most in one stretch), last_word of every contaminated document and its item."""
     rows = docs.select("doc_id", "text")
     test = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -173,7 +206,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for k in range(slices):
         part = test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()
         items = Items([r["item_id"] for r in part], [r["text"] for r in part])
-        found = rows.mapInArrow(_aligner(items, threshold), "doc_id long, item_id long, score double, n_seeds long, last_word long")
+        held = np.zeros(len(items.vocabulary), np.int64)
+        counts = rows.select("text").mapInArrow(_counter(items.vocabulary), "word long, held long").groupBy("word").agg(F.sum("held").alias("held")).toArrow()
+        held[counts.column("word").to_numpy()] = counts.column("held").to_numpy()
+        items.rare(held, threshold)
+        found = rows.mapInArrow(_aligner(items), "doc_id long, item_id long, score double, n_seeds long, last_word long")
+        if slices > 1:  # the driver holds one slice at a time
+            found = common.stored(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 

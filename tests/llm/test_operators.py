@@ -392,21 +392,51 @@ def test_decontamination_keeps_common_and_lone_seeds(spark):
             assert abs(got[size, 1] - 0.8) < 1e-9 and abs(got[size + copies, 1] - 16 / 30) < 1e-9
 
 
-def test_decontamination_bound_loses_no_alignment(spark):
-    words = [f"w{i}" for i in range(8)]
-    items = [[random.choice(words) for _ in range(random.randint(8, 14))] for _ in range(30)]
-    texts = [[random.choice([*words, "other"]) for _ in range(random.randint(4, 16))] for _ in range(50)]
-    texts += [[x if random.random() > 0.25 else random.choice(words) for x in random.choice(items)] for _ in range(100)]
+def edited_copies(rng, item, words):
+    """Copies without rows of seeds: every fourth or third word replaced, a word put in after every third or second, halves swapped, words dropped."""
+    other = lambda: rng.choice(words)
+    yield [other() if k % 4 == 3 else x for k, x in enumerate(item)]
+    yield [other() if k % 3 == 2 else x for k, x in enumerate(item)]
+    yield [y for k, x in enumerate(item) for y in ([x, other()] if k % 3 == 2 else [x])]
+    yield [y for k, x in enumerate(item) for y in ([x, other()] if k % 2 else [x])]
+    yield [*item[len(item) // 2 :], *item[: len(item) // 2]]
+    yield [x for k, x in enumerate(item) if k % 3]
+
+
+@pytest.mark.parametrize("way", ["", "stretches", "few hits", "slices"])
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch, way):
+    if way == "stretches":
+        monkeypatch.setattr(decontam, "STRETCH", 16)
+    if way == "few hits":
+        monkeypatch.setattr(decontam, "HITS", 8)
+    if way == "slices":
+        monkeypatch.setattr(decontam, "SLICE_BYTES", 300)
+    rng = random.Random(17)
+    lots, few = [f"w{i}" for i in range(400)], [f"w{i}" for i in range(8)]
+    items = [[rng.choice(lots) for _ in range(rng.randint(1, 40))] for _ in range(16)] + [[rng.choice(few) for _ in range(rng.randint(4, 14))] for _ in range(10)]
+    texts = [[rng.choice([*few, "other"]) for _ in range(rng.randint(0, 20))] for _ in range(20)]
+    for n, item in enumerate(items):
+        for copy in edited_copies(rng, item, lots if n < 16 else few):
+            noise = [rng.choice(lots) for _ in range(rng.choice([0, 3, 90]))]
+            texts.append([*noise, *copy, *noise])
+    texts.append([x for item in items for x in item] * 4)  # many items in one text
     want = {}
     for i, t in enumerate(texts):
-        grams = {tuple(t[a : a + 4]) for a in range(len(t) - 3)}
         for m, item in enumerate(items):
-            if any(tuple(item[a : a + 4]) in grams for a in range(len(item) - 3)):
-                score = decontam.align(*(np.array([hash(x) for x in side]) for side in (item, t)))[0] / (decontam.MATCH * len(item))
-                want |= {(i, m): score} if score >= decontam.THRESHOLD else {}
+            score = decontam.align(*(np.array([hash(x) for x in side], np.int64) for side in (item, t)))[0] / (decontam.MATCH * len(item)) if t else 0
+            want |= {(i, m): score} if score >= max(decontam.THRESHOLD, min(4, len(item)) / len(item)) else {}
     bench = spark.createDataFrame([(m, " ".join(x)) for m, x in enumerate(items)], "item_id int, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs_df(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), bench).collect()}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) > 100
+
+
+def test_decontamination_of_a_long_text_of_one_phrase(spark):
+    bench = spark.createDataFrame([(m, f"of the end of the {m} day of the year") for m in range(40)], "item_id int, text string")
+    rows = [(0, "of the " * 60000, "s"), (1, "of the " * 30000 + "end of the 7 day of the year", "s")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs_df(spark, rows), bench).collect()}
+    assert got[1, 7] == 1.0 and all(got[1, m] == (1.0 if m == 7 else 17 / 20) for m in range(40))
+    of = [decontam.align(np.array([hash(x) for x in f"of the end of the {m} day of the year".split()]), np.array([hash(x) for x in ["of", "the"] * 40]))[0] / 20 for m in range(40)]
+    assert {m for i, m in got if i == 0} == {m for m in range(40) if of[m] >= decontam.THRESHOLD}
 
 
 def test_alignment_equals_a_table():
