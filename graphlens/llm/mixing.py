@@ -9,8 +9,9 @@ cut is taken whole, the row across it in part. A budget above the source's
 size takes the source whole once for each full epoch first.
 
 Defined cases: null sources form one source, ordered last; null or empty
-texts have size 0 and are taken 0 times; rows of equal key are ordered by
-doc_id, then size; an empty table gives no rows; other columns are ignored.
+texts have size 0 and are taken 0 times; a null doc_id is keyed by the text's md5;
+rows of equal key are ordered by doc_id, size and a hash of the text; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +56,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """(doc_id, text, source) -> doc_id, size, source_size, target, taken, source."""
-    sized = common.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), common.hash_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
+    return _mixed(docs, seed, weights, share, most).drop("mark")
+
+
+def _mixed(docs: DataFrame, seed: str, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """mix_sources() with mark, a hash of the text."""
+    key = common.hash_key(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), seed)
+    sized = common.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("mark")), "mix-sizes")
     per_source = targets(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, most)
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(RANGE_ROWS)))).cast("int")
     plan = per_source.select(F.col("source").alias("of"), "source_size", "target", F.floor("target").alias("budget"), F.pow(F.lit(2), 60 - bits).cast("long").alias("width"))
@@ -63,23 +70,38 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
     ahead = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = keyed.groupBy("of", "range").agg(F.sum("size").alias("held")).select(F.col("of").alias("of_"), F.col("range").alias("range_"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
     rows = keyed.join(ranges, F.col("of").eqNullSafe(F.col("of_")) & (F.col("range") == F.col("range_")))
-    within = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("of", "range").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.col("budget") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "mark")
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself, with docs' columns: each document as often as it is taken whole, then cut after its last taken word.
 
-    Texts of rows that share a doc_id are told apart by size. Columns of any
-    name come back as they were, but for text and n_chars of a cut copy.
+    Rows that share doc_id, source and text stand together in a source's order, so at
+    most one such group of a source lies across its cut; its rows are told apart by a
+    hash of all their columns. Columns of any name come back as they were, but for text
+    and n_chars of a cut copy.
     """
-    plan = mix_sources(docs, seed).groupBy(F.col("doc_id").alias("id"), F.col("size").alias("of"), F.col("source").alias("origin")).agg(F.max("taken").alias("taken")).where("taken > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("words"))  # no name can clash inside
-    rows = rows.join(plan, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("of")) & F.col("row.source").eqNullSafe(F.col("origin")))
+    keys = ["id", "of", "origin", "mark"]
+    plan = common.stored(_mixed(docs, seed).select(F.col("doc_id").alias("id"), F.col("size").alias("of"), F.col("source").alias("origin"), "mark", "taken"), "mix-plan")
+    groups = plan.groupBy(*keys).agg(F.min("taken").alias("least"), F.max("taken").alias("taken"))
+    even, uneven = groups.where("least = taken AND taken > 0").drop("least"), common.stored(groups.where("least < taken").select(*keys), "uneven")
+    found = docs.select(F.struct(*docs.columns).alias("row"), word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("hash"))  # no name can clash inside
+
+    rows = found.join(even, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("of")) & F.col("row.source").eqNullSafe(F.col("origin")) & (F.col("hash") == F.col("mark"))).select("row", "words", "taken")
+    if not uneven.isEmpty():  # a group for each source at most
+        apart = F.broadcast(uneven)
+        of = apart.select(F.col("id").alias("g1"), F.col("of").alias("g2"), F.col("origin").alias("g3"), F.col("mark").alias("g4"))
+        member = lambda a, b, c, d: a.eqNullSafe(F.col("g1")) & (b == F.col("g2")) & c.eqNullSafe(F.col("g3")) & (d == F.col("g4"))
+        group = ["g1", "g2", "g3", "g4"]
+        split = plan.join(of, member(F.col("id"), F.col("of"), F.col("origin"), F.col("mark"))).withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("taken")))).select(F.struct(*group, "r").alias("at"), "taken")
+        own = found.join(of, member(F.col("row.doc_id"), F.col("words"), F.col("row.source"), F.col("hash")))
+        own = own.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("row"), F.to_json("row")))).select("row", "words", F.struct(*group, "r").alias("place"))
+        rows = rows.unionByName(own.join(split, F.col("place").eqNullSafe(F.col("at"))).where("taken > 0").select("row", "words", "taken"))
     copies = rows.select("row", "words", F.explode(F.expr("transform(sequence(0, cast((taken - 1) div words as int)), i -> least(words, taken - i * words))")).alias("take"))
     # pieces that begin where a word begins, each with the blanks after it; blanks ahead of the first word are one more
     text, whole = F.col("row.text"), F.col("take") == F.col("words")
@@ -101,7 +123,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 15))::BIGINT AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -511,12 +511,16 @@ def test_mixing(spark):
         s = by.setdefault(r["source"], [0, r["source_size"], r["target"]])
         s[0] += r["taken"]
     assert all(s[0] == int(s[2]) and s[2] <= 2 * s[1] + 1e-9 for s in by.values()) and abs(sum(s[2] for s in by.values()) - 1.5 * total) < 1e-6
-    mixed = mixing.mixed_documents(docs_df(spark, [r for r in rows if r[0] != 3])).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
-    want = {r["source"]: 0 for r in mixed}
-    for r in mixing.mix_sources(docs_df(spark, [r for r in rows if r[0] != 3])).collect():
-        if r["source"] in want:
-            want[r["source"]] += r["taken"]
-    assert {r["source"]: r["n"] for r in mixed} == want
+    # the mix itself: rows that share an id, equal rows and rows without an id, on both sides of the cut
+    for more in ([], [(None, "n m", "a")] * 400, [(3, "w w w", "b")] * 300 + [(3, "v w w", "b")] * 50 + [(None, f"t{k} u", None) for k in range(100)]):
+        own = docs_df(spark, rows + more)
+        mixed = mixing.mixed_documents(own).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+        want = {r["source"]: 0 for r in mixed}
+        for r in mixing.mix_sources(own).collect():
+            if r["source"] in want:
+                want[r["source"]] += r["taken"]
+        assert {r["source"]: r["n"] for r in mixed} == want
+    assert mixing._mixed(own, "mix").where("doc_id IS NULL").select("mark").distinct().count() > 100  # no one key for rows without an id
     assert mixing.mix_sources(docs_df(spark, [])).count() == 0
 
 
