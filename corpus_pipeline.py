@@ -9,7 +9,7 @@ name come back as they were (the last stage replaces slot and shard); null and
 empty texts are accepted by the classifier's score, are nobody's copies and hold
 no test item, and the mix takes them 0 times, as they have no words; rows that
 share a doc_id, or have none, are judged each by its own text, and of rows with
-the same doc_id and text one stays; of equal copies the one with the smallest
+the same doc_id and text one stays, the first by its columns as JSON; of equal copies the one with the smallest
 doc_id stays; texts are read whole, however long.
 
 SQL can't express the classifier, so there is no SQL for run().
@@ -64,7 +64,7 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return left.select("row.*")
     again = common.small(again)
-    one = left.join(again, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    one = left.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return left.join(again, "key", "left_anti").select("row.*").unionByName(one)
 
 
