@@ -19,6 +19,8 @@ from graphlens.schema import Graph
 # A field's functions that graphs are known to lack, and the fields tried for unknown work items.
 SUPPLEMENT = {"detect": ("mmc_rescan",)}
 WORK_FIELDS = ("detect", "work", "dwork", "delayed_work")
+#: The field of work items that lead nowhere else; no field of a graph has this name.
+FALLBACK = "mock_data"
 
 
 def supplement_rows(spark, supplement: dict = SUPPLEMENT) -> DataFrame:
@@ -164,8 +166,8 @@ class Steps:
         return Steps(edges.where("kind = 'direct'").select("src", "dst", "call_line", "ord"), through, late.select("kind", "field", "dst", "sub"))
 
 
-def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None, async_names: DataFrame | None = None) -> Steps:
-    """The edges of a search. A node is the id that a function's name stands for, normalised."""
+def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None, async_names: DataFrame | None = None, oracle: DataFrame | None = None, use_fallback: bool = False) -> Steps:
+    """The edges of a search; oracle and use_fallback as in async_edges(). A node is the id that a function's name stands for, normalised."""
     canon = identity.decl_impl_map(graph)
     nodes = identity.normalize(identity.latest(graph), canon, "id").select("name", F.col("id").alias("node"))
     # read by nearly every join below, and small beside the calls
@@ -182,10 +184,18 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
         reached = assigned_functions(graph).join(nodes.toDF("target", "dst"), "target")
         targets = targets.unionByName(reached.select(F.lit("indirect").alias("kind"), "field", "dst", F.col("target").alias("sub")))
     if with_async:
-        pairs = async_pairs(graph, async_names=async_names, canon=canon, entities=entities).where("field IS NOT NULL").join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
+        fielded = async_pairs(graph, oracle, async_names, canon, entities)
+        assigned = assigned_entities(graph, supplement).select("field", "target").distinct()
+        pairs = fielded.where("field IS NOT NULL")
+        if use_fallback:  # what reaches nothing goes to one field more, which has the supplement's functions
+            lacking = fielded.join(assigned.select("field").distinct(), "field", "left_anti").select("caller", "async_callee", F.lit(FALLBACK).alias("field"))
+            pairs = pairs.unionByName(lacking)
+            more = supplement_rows(spark).where(F.col("field").isin(*WORK_FIELDS)).select(F.lit(FALLBACK).alias("field"), "target").distinct()
+            assigned = assigned.unionByName(more)
+        pairs = pairs.join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
         deferred = named.join(pairs, ["src", "callee"])
         late = late.unionByName(deferred.select("src", F.lit("async").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.col("dst").alias("mid")))
-        reached = assigned_entities(graph, supplement).select("field", "target").distinct().join(nodes.toDF("target", "dst"), "target")
+        reached = assigned.join(nodes.toDF("target", "dst"), "target")
         targets = targets.unionByName(reached.select(F.lit("async").alias("kind"), "field", "dst", F.col("target").alias("sub")))
     return Steps(direct, late, targets)
 

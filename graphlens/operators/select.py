@@ -16,14 +16,18 @@ NAMED = 10
 def subgraph_scores(texts: DataFrame, metadata: DataFrame) -> DataFrame:
     """(text_id, text) x (subgraph, keywords) -> (text_id, subgraph, score): NAMED if the text holds the name, else its number of keywords."""
     lower = F.lower("text")
-    hits = F.size(F.filter("keywords", lambda k: F.contains(lower, F.lower(k))))
-    score = F.when(F.contains(lower, F.lower("subgraph")), NAMED).otherwise(F.coalesce(F.greatest(hits, F.lit(0)), F.lit(0)))
+
+    def score(s):
+        hits = F.size(F.filter(s["keywords"], lambda k: F.contains(F.col("lower"), F.lower(k))))
+        return F.struct(s["subgraph"].alias("subgraph"), F.when(F.contains(F.col("lower"), F.lower(s["subgraph"])), NAMED).otherwise(F.coalesce(F.greatest(hits, F.lit(0)), F.lit(0))).alias("score"))
+
     # subgraphs are folders, few by nature: gathered into one row, they go with each text instead of being multiplied with all
     listed = metadata.select("subgraph", "keywords").limit(MOST_SUBGRAPHS + 1).collect()
     if len(listed) > MOST_SUBGRAPHS:
         raise ValueError(f"over {MOST_SUBGRAPHS} subgraphs")
     known = F.from_json(F.lit(json.dumps([r.asDict() for r in listed])), "array<struct<subgraph:string,keywords:array<string>>>")
-    return texts.select("text_id", "text", F.explode(known).alias("s")).select("text_id", "text", "s.*").select("text_id", "subgraph", score.alias("score"))
+    # scored inside the text's own row: no text is copied for a subgraph
+    return texts.select("text_id", lower.alias("lower")).select("text_id", F.explode(F.transform(known, score)).alias("s")).select("text_id", "s.*")
 
 
 def select_subgraphs(texts: DataFrame, metadata: DataFrame, k: int = 1) -> DataFrame:
@@ -41,8 +45,8 @@ def function_texts(names: DataFrame) -> DataFrame:
 
 def answered(selected: DataFrame, answers: DataFrame, metadata: DataFrame, k: int) -> DataFrame:
     """select_subgraphs()' choice, replaced where a model's answers (text_id, names) hold known names."""
-    known = F.array(*[F.lit(r["subgraph"]) for r in metadata.select("subgraph").collect()])
-    told = answers.select("text_id", valid_names(F.col("names"), known, k).alias("names")).where(F.size("names") > 0)
+    said = answers.select("text_id", F.posexplode("names").alias("p", "subgraph")).join(metadata.select("subgraph").distinct(), "subgraph", "left_semi")
+    told = said.groupBy("text_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("p", "subgraph"))), 1, k)["subgraph"].alias("names"))
     own = selected.join(told.select("text_id"), "text_id", "left_anti")
     return own.unionByName(told.select("text_id", F.posexplode("names").alias("p", "subgraph")).select("text_id", (F.col("p") + 1).alias("rank"), "subgraph", F.lit(None).cast("int").alias("score")))
 
