@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from graphlens.operators import edges as E
 from graphlens.operators import identity, lookup, neighbors, paths, rank, reach, select, stitch, templates
 from graphlens.plans import analysis, derive
 from graphlens.schema import Graph
+from graphlens.sources import graph as sources
 from graphlens.sources import text as source_text
 
 QUERIES: dict[str, Callable] = {}
@@ -515,10 +517,25 @@ firsts AS (SELECT qid AS of_, at_, min(size) AS first_size FROM sizes GROUP BY q
     return chains + " SELECT qid, rank, path, line_text AS lines, score FROM top"
 
 
+_bases: dict[tuple[str, str], str] = {}  # by application and tables, where the subsystems' partitions are
+
+
+def subsystem_tables(spark, d) -> str:
+    """The graph written once as a partition for each subsystem."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _bases:
+        graph = by_key(spark, d, stored=True)
+        base = f"{tables.shared_dir(spark)}/subsystems-{uuid.uuid4().hex}"
+        of = derive.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_partkey") % SUBSYSTEMS).cast("string").alias("subgraph"))
+        sources.write_subgraphs(graph, base, of)
+        _bases[at] = base
+    return _bases[at]
+
+
 @query("topk_one_subsystem", _direct_sql(f"AND src % {SUBSYSTEMS} = 1 AND dst % {SUBSYSTEMS} = 1"))
 def _(spark, d):
-    """The pruned search: one subsystem is read."""
-    return _direct_topk(spark, _subsystem(by_key(spark, d, stored=True)))
+    """The pruned search: of the subsystems' partitions one is read."""
+    return _direct_topk(spark, sources.load_any(spark, subsystem_tables(spark, d), ["1"]))
 
 
 @query("topk_all_subsystems", _direct_sql(""))
@@ -640,13 +657,77 @@ def _(spark, d):
     return templates.best_matches(_conversation_matches(spark, d)).select("log_id", "line_number", "message_id", joined("candidates").alias("candidates"))
 
 
+# from logs to reports: a template for each part, a log for each supplier
+ENTRY = "fn_1"
+
+
+def unit_messages(spark, d) -> DataFrame:
+    """A template for each part, which names it."""
+    key = F.col("p_partkey")
+    name = F.concat(F.lit('pr_err("%s: unit-'), key.cast("string"), F.lit(' lost %d of\\n", host, n)'))
+    return derive.table(spark, d, "part").select(F.concat(F.lit("u"), key.cast("string")).alias("message_id"), name.alias("name"), derive.unique_name(key).alias("function"), key.alias("ord"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".c")).alias("source_file"), F.col("p_size").cast("int").alias("start_line"))
+
+
+def supplier_logs(spark, d) -> DataFrame:
+    """A log for each supplier: two lines that parts' templates match, between others."""
+    two = supplier_pairs(spark, d)
+    text = F.concat(F.lit("mmc"), F.col("qid").cast("string"), F.lit(": unit-"), "goal", F.lit(" lost 3 of 9\n\n  timeout, error: -110\nMMC host: UNIT-"), "start", F.lit(" lost -1 of"))
+    return two.select(F.col("qid").cast("string").alias("log_id"), text.alias("text"))
+
+
+_UNITS = """units AS (
+  SELECT 'u' || p_partkey AS message_id, '\\Q\\E.*?\\Q: unit-' || p_partkey || ' lost \\E.*?\\Q of\\E' AS pattern, p_partkey AS k,
+         CASE WHEN p_partkey % 10 = 7 THEN 'queue_work_' ELSE 'fn_' END || p_partkey AS function, 'src/' || lower(p_type) || '.c' AS source_file, p_size::INT AS start_line FROM part)""".replace("\\\\", "\\")
+
+
+@query("unit_templates", f"WITH {_UNITS} SELECT message_id, pattern, function FROM units", graph=False)
+def _(spark, d):
+    return templates.compiled(unit_messages(spark, d)).select("message_id", "pattern", "function")
+
+
+def _log_reports_sql() -> str:
+    ends = f"""{_ENDS_SQL.replace("pairs AS", "suppliers AS")}, {_UNITS},
+raw AS (
+  SELECT qid, unnest(['mmc' || qid || ': unit-' || goal || ' lost 3 of 9', 'timeout, error: -110', 'MMC host: UNIT-' || start || ' lost -1 of']) AS line, unnest([1, 2, 3]) AS line_number FROM suppliers),
+met AS (SELECT qid, line_number, line, function, k, source_file, start_line, regexp_extract(line, '(?i)' || pattern) AS hit FROM raw JOIN units ON regexp_matches(line, '(?i)' || pattern)),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY qid, line_number ORDER BY length(hit) / length(line)::DOUBLE DESC, k) = 1),
+parsed AS (SELECT qid, arg_min(k, line_number) AS goal, list(DISTINCT function) AS keys, count(*)::INT AS n_lines, string_agg(source_file || ':' || start_line, '>' ORDER BY line_number) AS places FROM best GROUP BY qid),
+pairs AS (SELECT qid, 1 AS start, goal FROM parsed),
+late AS (SELECT DISTINCT src, dst, CASE kind WHEN 'async' THEN 2 ELSE 1 END AS w, kind FROM uedges),
+spread AS (SELECT qid, goal AS node, 0 AS d FROM pairs UNION SELECT qid, src, d + w FROM spread JOIN late ON dst = node WHERE d + w < {DEPTH}),
+near AS (SELECT qid AS lq, node AS ln, min(d) AS ld FROM spread GROUP BY qid, node)"""
+    found = _chains_sql(None).replace("FROM chains JOIN uedges ON src = node", "FROM chains JOIN uedges ON src = node JOIN near ON lq = qid AND ln = dst")
+    found = found.replace(f"<= {DEPTH}\n", f"+ ld <= {DEPTH}\n").replace(PAIRS_SQL, ends)
+    return found + f""",
+boosted AS (SELECT scored.*, len(list_intersect(keys, string_split(path, '>')))::INT AS m FROM scored JOIN parsed USING (qid)),
+final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score + m * 50.0::DOUBLE DESC, length, path, line_text)::INT AS r FROM boosted QUALIFY r <= {K})
+SELECT parsed.qid::VARCHAR AS log_id, count(r) > 0 AS success, 'fn_1' AS start_entity, any_value(units.function) AS end_entity, count(r)::INT AS path_count, arg_min(path, r) AS best_path,
+       arg_min(score + m * 50.0::DOUBLE, r) AS best_score, min(length) AS min_length, max(length) AS max_length, coalesce(sum(indirect_count), 0)::INT AS n_breaks,
+       any_value(n_lines) AS n_lines, any_value(places) AS places, CASE WHEN count(r) = 0 THEN '{analysis.NO_PATH}' END AS error
+FROM parsed JOIN units ON units.k = goal LEFT JOIN final ON final.qid = parsed.qid GROUP BY parsed.qid"""
+
+
+@query("log_reports", _log_reports_sql())
+def _(spark, d):
+    """From a table of logs to their reports."""
+    out = analysis.analyse_logs(by_key(spark, d, stored=True), supplier_logs(spark, d), unit_messages(spark, d), K, DEPTH, entry=ENTRY)
+    lines = F.col("parsed_log.line_matches")
+    breaks = F.aggregate(F.coalesce(F.transform("paths", lambda x: F.size(x["breaks"])), F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
+    return out.select(
+        "log_id", "success", F.col("entities.start_entity").alias("start_entity"), F.col("entities.end_entity").alias("end_entity"), "path_count", F.array_join("best_path.path", ">").alias("best_path"), F.col("best_path.score").alias("best_score"),
+        F.col("stats.min_length").alias("min_length"), F.col("stats.max_length").alias("max_length"), breaks.alias("n_breaks"), F.size(lines).alias("n_lines"),
+        F.array_join(F.transform(lines, lambda x: F.concat_ws(":", x["source_file"], x["start_line"].cast("string"))), ">").alias("places"), "error",
+    )
+
+
 SUBGRAPHS = (("mmc", ["tuning", "whilst"]), ("usb", ["probe", "click"]), ("net", ["purchase", "eth"]), ("sound", ["view", "error", "code"]))
 _SUBGRAPH_SQL = "subgraphs AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k})" for n, k in SUBGRAPHS) + ") t(subgraph, keywords))"
 
 
 @query("subgraph_select", f"""WITH {EVENT_LOGS}, {_SUBGRAPH_SQL}, scores AS (
-  SELECT log_id AS text_id, subgraph, CASE WHEN contains(lower(text), subgraph) THEN 10 ELSE len(list_filter(keywords, lambda k: contains(lower(text), k)))::INT END AS score FROM logs, subgraphs)
-SELECT text_id, rank, subgraph, score FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, subgraph)::INT AS rank FROM scores WHERE score > 0) WHERE rank <= 3""", graph=False)
+  SELECT log_id AS text_id, subgraph, CASE WHEN contains(lower(text), subgraph) THEN 10 ELSE len(list_filter(keywords, lambda k: contains(lower(text), k)))::INT END AS score FROM logs, subgraphs),
+best AS (SELECT *, max(score) OVER (PARTITION BY text_id) AS most FROM scores)
+SELECT text_id, rank, subgraph, score FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, subgraph)::INT AS rank FROM best WHERE score > 0 OR most = 0) WHERE rank <= 3""", graph=False)
 def _(spark, d):
     metadata = spark.createDataFrame([(n, k) for n, k in SUBGRAPHS], "subgraph string, keywords array<string>")
     return select.select_subgraphs(event_logs(spark, d).select(F.col("log_id").alias("text_id"), "text"), metadata, 3)

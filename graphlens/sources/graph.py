@@ -148,6 +148,23 @@ def write_tables(graph: Graph, base: str, subgraph: str) -> None:
         df.withColumn("subgraph", F.lit(subgraph)).write.mode("append").partitionBy("subgraph").parquet(f"{base}/{name}")
 
 
+def write_subgraphs(graph: Graph, base: str, of: DataFrame) -> None:
+    """A graph as one partition for each of its subgraphs, in one write: of (id, subgraph) places entities; an entity without a row is in all.
+
+    A relation is in each subgraph that both its ends are in.
+    """
+    names = F.broadcast(of.select(F.col("subgraph").alias("name_")).distinct())  # one row for each subgraph
+    own = of.select(F.col("id").alias("own_id"), F.col("subgraph").alias("own"))
+    entities = graph.entities.join(own, F.col("id") == F.col("own_id"), "left").drop("own_id")
+    placed = entities.where("own IS NOT NULL").withColumnRenamed("own", "subgraph")
+    every = entities.where("own IS NULL").drop("own").crossJoin(names).withColumnRenamed("name_", "subgraph")
+    ends = graph.relations.join(own.toDF("head_id", "a"), F.col("head") == F.col("head_id"), "left").join(own.toDF("tail_id", "b"), F.col("tail") == F.col("tail_id"), "left").drop("head_id", "tail_id")
+    inside = ends.where("a = b OR a IS NULL AND b IS NOT NULL OR a IS NOT NULL AND b IS NULL").withColumn("subgraph", F.coalesce("a", "b")).drop("a", "b")
+    shared = ends.where("a IS NULL AND b IS NULL").drop("a", "b").crossJoin(names).withColumnRenamed("name_", "subgraph")
+    for name, df in (("entities", placed.unionByName(every)), ("relations", inside.unionByName(shared))):
+        df.repartition("subgraph", F.pmod(F.xxhash64("ord"), F.lit(16))).write.mode("overwrite").partitionBy("subgraph").parquet(f"{base}/{name}")
+
+
 def default_base(spark: SparkSession) -> str | None:
     """Where graphs are if no folder is given: spark.graphlens.dataDir, else KG_DATA_DIR."""
     return spark.conf.get("spark.graphlens.dataDir", None) or os.environ.get("KG_DATA_DIR")

@@ -350,3 +350,100 @@ def test_names_are_located_one_by_one_or_by_pieces(spark, monkeypatch):
     for few in (10**6, 0):
         monkeypatch.setattr(lookup, "FEW_NAMES", few)
         assert {r["name"]: r["located"] for r in lookup.locate(g, table).collect()} == want
+
+
+def deferred_chains(rows, start, goal, depth):
+    """all_chains() with deferred work: such an edge has a node between and counts two."""
+    of = {}
+    for r in rows:
+        of.setdefault(r[0], []).append(r)
+    size = lambda r: 2 if r[2] == "async" else 1
+    far, first = {(start, False): 1}, {}
+    for n in range(1, depth + 1):
+        for (node, arrived), m in list(far.items()):
+            if m == n and node != goal:
+                first[node] = min(first.get(node, 99), n)
+                for r in of.get(node, []):
+                    if r[2] != "indirect" or not arrived:
+                        key = (r[1], r[2] != "direct")
+                        far[key] = min(far.get(key, 99), n + size(r))
+    out, stack = [], [(start, [start], [], 0, False)]
+    while stack:
+        node, path, lines, late, arrived = stack.pop()
+        if node == goal:
+            out.append((1000 - len(path) - 10 * late - (sum(lines) / len(lines) if lines else 0) / 100, -len(path), path, lines))
+        elif len(path) < first.get(node, 0) + 3:
+            for r in of.get(node, []):
+                more = [r[6], r[1]] if r[2] == "async" else [r[1]]
+                if (r[2] != "indirect" or not arrived) and not set(more) & set(path) and len(set(more)) == len(more) and len(path) + len(more) <= depth:
+                    stack.append((r[1], path + more, lines + [r[3]], late + (r[2] != "direct"), r[2] != "direct"))
+    return out
+
+
+@pytest.mark.parametrize("size,degree,late", [(12, 2, 0.6), (9, 4, 0.4)])
+def test_default_depth_equals_all_chains(spark, size, degree, late):
+    """Sparse, wide and dense graphs whose shortest ways are often indirect, with lists of ways that are too short at first."""
+    rng, rows = random.Random(size), []
+    for a in range(size):
+        for b in rng.sample([x for x in range(size) if x != a], degree):
+            kind = rng.choice(["indirect", "async"]) if rng.random() < late else "direct"
+            mid = str(rng.randrange(size)) if kind == "async" else None
+            for line in [rng.randint(0, 9)] * rng.choice([1, 1, 2]):
+                rows.append((str(a), str(b), kind, line, len(rows), "" if kind == "direct" else str(b), mid, None if kind == "direct" else "f"))
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string, call_line int, ord long, sub string, mid string, via string")
+    asked = [(n, str(rng.randrange(size)), str(rng.randrange(size))) for n in range(24)]
+    queries = spark.createDataFrame(asked, "qid int, start string, goal string")
+    names = spark.createDataFrame([(str(n), f"n{n}") for n in range(size)], "node string, name string")
+    got = {n: [] for n, _, _ in asked}
+    for r in paths.topk_paths(edges, queries, names, 3, 30).orderBy("qid", "rank").collect():
+        got[r["qid"]].append((round(r["score"], 6), r["path"]))
+    for n, a, b in asked:
+        best = sorted(deferred_chains(rows, a, b, 30), key=lambda x: (-round(x[0], 9), -x[1], ">".join(f"n{y}" for y in x[2])))[:3]
+        assert got[n] == [(round(x[0], 6), [f"n{y}" for y in x[2]]) for x in best], (n, a, b)
+
+
+def test_shortest_paths_meet_in_the_middle(spark):
+    from graphlens.operators import spread
+
+    rng, size = random.Random(3), 600
+    pairs_of = [(a, b) for a in range(size) for b in rng.sample(range(size), 4)] + [(1000 + k, 1001 + k) for k in range(25)]
+    edges = spark.createDataFrame([(str(a), str(b), "direct" if (a + b) % 3 else "indirect") for a, b in pairs_of], "src string, dst string, kind string")
+    asked = [(n, rng.randrange(size), rng.randrange(size)) for n in range(20)] + [(50, 1000, 1025), (51, 1000, 1), (52, 7, 7), (53, 1, 1003), (54, 1000, 1029)]
+    queries = spark.createDataFrame([(n, str(a), str(b)) for n, a, b in asked], "qid int, start string, goal string")
+    to, kind = {}, {}
+    for a, b in pairs_of:
+        to.setdefault(str(a), set()).add(str(b))
+        kind[str(a), str(b)] = "direct" if (a + b) % 3 else "indirect"
+    got = {r["qid"]: r for r in reach.shortest_path(edges, queries, 30).collect()}
+    for n, a, b in asked:
+        best, seen = {str(a): [str(a)]}, {str(a): [str(a)]}
+        while best and str(b) not in seen:
+            new = {}
+            for node, path in best.items():
+                for x in to.get(node, ()):
+                    if x not in seen:
+                        new[x] = min(new.get(x, path + [x]), path + [x])
+            best = new
+            seen |= new
+        want = seen.get(str(b))
+        assert (got[n]["path"] if n in got else None) == want, n
+        if want:
+            assert got[n]["length"] == len(want) and got[n]["labels"] == [kind[x] for x in zip(want, want[1:])]
+    hop = E.Steps(edges.where("src != dst").select("src", "dst").distinct(), None, None)
+    some = queries.where("qid < 20")
+    _, ahead, back = spread.distances(hop, some, 30, late=False)
+    whole = spread.Spread(hop, some, True, False)
+    while not whole.ended:
+        whole.grow()
+    assert sum(ahead.counts.values()) + sum(back.counts.values()) < sum(whole.counts.values()) / 3
+
+
+def test_subgraphs_are_partitions(spark, tmp_path):
+    g = make(spark, plain("a", "b", "c", "d"), [("1", "2", 4), ("2", "3", 5), ("3", "4", 6)])
+    of = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y")], "id string, subgraph string")  # d is in both
+    base = str(tmp_path / "tables")
+    sources.write_subgraphs(g, base, of)
+    x, y = sources.load_any(spark, base, ["x"]), sources.load_any(spark, base, ["y"])
+    assert sorted(r["id"] for r in x.entities.collect()) == ["1", "2", "4"] and sorted(r["id"] for r in y.entities.collect()) == ["3", "4"]
+    assert [(r["head"], r["tail"]) for r in x.relations.collect()] == [("1", "2")] and [(r["head"], r["tail"]) for r in y.relations.collect()] == [("3", "4")]
+    assert "PartitionFilters: [subgraph" in x.relations._jdf.queryExecution().executedPlan().toString().replace("isnotnull(subgraph#", "subgraph")

@@ -87,7 +87,7 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["--data-dir", str(tmp_path / "g"), "--start-func", "c", "--end-func", "a", "--max-depth", "4", "--output", str(out)]) == 1
 
 
-def test_the_log_chooses_the_only_subgraph_that_is_loaded(spark, tmp_path):
+def test_the_log_chooses_the_only_subgraph_that_is_loaded(spark, tmp_path, monkeypatch):
     from graphlens import cli
 
     def put(name, names):
@@ -104,7 +104,11 @@ def test_the_log_chooses_the_only_subgraph_that_is_loaded(spark, tmp_path):
     logs = logs_df(spark, "host: tuning execution failed: -1 mmc", "the hub lost an urb in usb_probe(")
     chosen = analysis.choose_subgraphs(spark, str(tmp_path), logs.select(F.col("log_id").alias("text_id"), "text"), metadata)
     assert {r["text_id"]: r["subgraph"] for r in chosen.collect()} == {"0": "mmc", "1": "usb"}
+    searches, one = [], analysis.paths.topk_paths
+    monkeypatch.setattr(analysis.paths, "topk_paths", lambda *a, **b: searches.append(1) or one(*a, **b))
     got = {r["log_id"]: r for r in analysis.analyse_base(spark, str(tmp_path), logs, metadata, k=2, max_depth=4).collect()}
+    assert len(searches) == 1  # though ids are alike in both
+    assert got["0"]["stats"]["n_paths"] == 1 and got["0"]["parsed_log"]["line_matches"][0]["matches"][0]["similarity"] > 0 and got["1"]["parsed_log"]["functions"] == ["usb_probe"]
     assert got["0"]["subgraph"] == "mmc" and got["0"]["best_path"]["path"] == ["dw_mci_pltfm_probe", "mid", "mmc_execute_tuning"] and got["1"]["subgraph"] == "usb"
     told = spark.createDataFrame([("0", ["nowhere", "usb"]), ("1", ["nowhere"])], "text_id string, names array<string>")
     chosen = analysis.choose_subgraphs(spark, str(tmp_path), logs.select(F.col("log_id").alias("text_id"), "text"), metadata, told)
@@ -210,3 +214,35 @@ def test_stored_tables_are_cleared_and_bytes_bound_broadcasts(spark, monkeypatch
     monkeypatch.setattr(tables, "BROADCAST_BYTES", 3000)
     assert not hinted(tables.small(wide)) and not hinted(tables.small(wide, 4)) and hinted(tables.small(spark.range(4), 4))
     assert held is not tables._held
+
+
+@pytest.mark.parametrize("listed", [4096, 1])
+def test_the_template_index_equals_trying_every_template(spark, monkeypatch, listed):
+    import random
+    import re
+
+    monkeypatch.setattr(templates, "LISTED", listed)
+    rng = random.Random(listed)
+    words = ["ab", "abc", "err", "x", "tuning", "Été", "a b", "%"]
+    names = [f'pr_err("{"%s".join(rng.choice(words) * rng.randint(1, 2) for _ in range(rng.randint(1, 3)))}\\n", x)' for _ in range(40)] + ['e("%d")', 'e("x")', "none"]
+    messages = spark.createDataFrame([(f"m{k}", n, f"f{k}", k, f"s{k}.c") for k, n in enumerate(names)], "message_id string, name string, function string, ord long, source_file string")
+    lines = [" ".join(rng.choice([*words, "AB", "TUNING", "z"]) for _ in range(rng.randint(1, 6))) for _ in range(60)] + [""]
+    rows = spark.createDataFrame([("l", k, x) for k, x in enumerate(lines)] + [("l", 99, None)], "log_id string, line_number int, log_line string")
+    want = set()
+    for r in templates.compiled(messages).collect():
+        pieces = re.findall(r"\\Q(.*?)\\E", r["pattern"])
+        want |= {(k, r["message_id"]) for k, x in enumerate(lines) if re.search(".*?".join(map(re.escape, pieces)), x, re.I)}
+    found = templates.match_lines(rows, messages)
+    got = [(r["line_number"], r["message_id"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert {r["source_file"] for r in found.where("message_id = 'm3'").collect()} <= {"s3.c"}
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_models_answers_reach_the_parse(spark):
+    logs = logs_df(spark, "mmc: tuning execution failed: -1", "probe(")
+    told = spark.createDataFrame([("1", "start", None, ["k1", "k2"])], "log_id string, inferred_entry string, inferred_error_point string, key_functions array<string>")
+    got = {r["log_id"]: r for r in templates.parse_logs(logs, templates.fail_messages(spark), answers=told).collect()}
+    assert got["1"]["start_name"] == "start" and got["1"]["end_name"] is None and got["1"]["keys"] == ["k1", "k2"]
+    assert got["0"]["end_name"] == "mmc_execute_tuning"
