@@ -42,6 +42,8 @@ FEWEST = 4
 SLICE_BYTES = 32 << 20
 #: Seeds of an item that stand together before they are looked at; words of a stretch, and hits of seeds, that are listed at once.
 TOGETHER, STRETCH, HITS = 4, 1 << 18, 1 << 20
+#: Bytes of text that one vectorised step handles (a longer text is a step of its own).
+STEP = 1 << 20
 
 _MARK = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 
@@ -154,7 +156,7 @@ def _aligner(items: Items):
                 have = best.get((row, m), (0, 0, 0))
                 best[row, m] = (*max(have[:2], found[:2], key=lambda x: (x[0], -x[1])), max(have[2], found[2]))
 
-            for i, j in textkit.chunks(offs):
+            for i, j in textkit.chunks(offs, STEP):
                 hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 known = items.known(hashes)
                 text = np.repeat(np.arange(j - i), np.diff(first))
@@ -172,6 +174,7 @@ def _aligner(items: Items):
             row, item, score, seeds, where = zip(*sorted(kept, key=lambda r: (r[0], r[1] is None, r[1] or 0))) if kept else ((),) * 5
             docs = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(seeds, pa.int64()), pa.array(where, pa.int64())], ["doc_id", "item_id", "score", "n_seeds", "last_word"])
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run
 
@@ -183,13 +186,14 @@ def _counter(vocabulary: np.ndarray):
         held = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             buf, offs = textkit.flat(batch.column(0))
-            for i, j in textkit.chunks(offs):
+            for i, j in textkit.chunks(offs, STEP):
                 hashes, first = plain_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 place = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
                 own = np.flatnonzero(vocabulary[place] == hashes) if len(vocabulary) else place[:0]
                 text = np.repeat(np.arange(j - i), np.diff(first))[own]
                 once = np.unique(text * max(len(vocabulary), 1) + place[own])
                 held += np.bincount(once % max(len(vocabulary), 1), minlength=len(vocabulary))
+        pa.default_memory_pool().release_unused()
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["word", "held"])
 
