@@ -24,6 +24,7 @@ empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,17 +59,19 @@ def plain_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return textkit.word_hashes(buf, lo, hi), first
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """(best local score, last word of it in window) of two word sequences."""
+def align(item: np.ndarray, window: np.ndarray, least: float = 0) -> tuple[int, int]:
+    """(best local score, last word of it in window) of two word sequences; a search that can't come to the least score any more ends."""
     step = np.arange(len(window)) * -GAP
     above, best, where = np.zeros(len(window) + 1, np.int64), 0, 0
-    for word in item:
+    for left, word in zip(range(len(item) - 1, -1, -1), item):
         row = np.maximum(above[:-1] + np.where(window == word, MATCH, MISMATCH), above[1:] + GAP)
         row = np.maximum.accumulate(np.maximum(row, 0) + step) - step
         above[1:] = row
         k = int(row.argmax())
         if row[k] > best:
             best, where = int(row[k]), k
+        if max(best, int(row[k]) + MATCH * left) < least:
+            break
     return best, where
 
 
@@ -80,7 +83,10 @@ class Items:
         self.ids = ids
         self.words, self.first = plain_words(buf, offs)
         self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
-        self.present = np.zeros(len(self.vocabulary) + 1, bool)  # scratch of likely(); the last is for other words
+        item = np.repeat(np.arange(len(ids)), np.diff(self.first))
+        pairs, self.counts = np.unique(item * max(len(self.vocabulary), 1) + self.word, return_counts=True)
+        self.bags, self.bag = pairs % max(len(self.vocabulary), 1), np.searchsorted(pairs, np.arange(len(ids) + 1) * max(len(self.vocabulary), 1))  # each item's distinct words
+        self.present, self.often = np.zeros(len(self.vocabulary) + 1, bool), np.zeros(len(self.vocabulary) + 1, np.int64)  # scratch of likely(); the last is for other words
 
     def rare(self, held: np.ndarray, threshold: float) -> None:
         """Choose the seeds of longer items. held: documents that hold each word of the vocabulary."""
@@ -137,13 +143,27 @@ class Items:
         return np.where(self.vocabulary[place] == hashes, place, len(self.vocabulary)) if len(self.vocabulary) else place
 
     def likely(self, m: int, known: np.ndarray) -> bool:
-        """Whether item m could reach its least score by the words that stand in a stretch at all."""
+        """Whether item m could reach its least score by the words of a stretch: no alignment matches a word oftener than both sides hold it, or more words than stand in its span."""
+        need = math.ceil(self.least[m] * (self.first[m + 1] - self.first[m]) - 1e-9)
+        own = self.bags[self.bag[m] : self.bag[m + 1]]
+        counts = self.counts[self.bag[m] : self.bag[m + 1]]
         self.present[known] = True
-        self.present[-1] = False
-        own = self.word[self.first[m] : self.first[m + 1]]
-        matches = int(self.present[own].sum())
+        fits = int(counts[self.present[own]].sum()) >= need
         self.present[known] = False
-        return matches >= self.least[m] * len(own) - 1e-9
+        if not fits:
+            return False
+        self.often[own] = counts
+        held = self.often[known]
+        inside = known[held > 0]
+        fits = len(inside) >= need
+        if fits and len(known) > self.span[m]:
+            total = np.concatenate([[0], np.cumsum(held > 0)])
+            fits = int((total[self.span[m] :] - total[: -self.span[m]]).max()) >= need
+        if fits:
+            words, often = np.unique(inside, return_counts=True)
+            fits = int(np.minimum(often, self.often[words]).sum()) >= need
+        self.often[own] = 0
+        return fits
 
 
 def _aligner(items: Items):
@@ -164,7 +184,8 @@ def _aligner(items: Items):
                     for m, t, a, b, seeds in items.near(known, text, lo, min(lo + STRETCH + items.margin, len(known))):
                         a, b = max(a, int(first[t])), min(b, int(first[t + 1]))
                         if items.likely(m, known[a:b]):
-                            score, at = align(items.words[items.first[m] : items.first[m + 1]], hashes[a:b])
+                            own = items.words[items.first[m] : items.first[m + 1]]
+                            score, at = align(own, hashes[a:b], MATCH * len(own) * items.least[m] - 1e-9)
                             met(i + t, m, (score, a + at - int(first[t]), seeds))
             kept = []
             for (row, m), (found, where, seeds) in best.items():
