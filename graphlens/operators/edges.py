@@ -53,25 +53,49 @@ def assigned_with_context(graph: Graph) -> DataFrame:
     return rows.join(fields, "head").join(functions, "tail").select("field", "target", "context_var_id", "context_var_name")
 
 
-def call_rows(graph: Graph, ids: DataFrame | None = None, canon: DataFrame | None = None, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def call_targets(entities: DataFrame, canon: DataFrame) -> DataFrame:
+    """(tail, norm, callee): the implementation that a call of each id goes to, and its name."""
+    known = entities.select("id", "name")
+    return identity.normalize(known.select(F.col("id").alias("tail")), canon, "tail", "norm").join(known.toDF("norm", "callee"), "norm").select("tail", "norm", "callee")
+
+
+def _plain() -> Column:
+    return (F.col("call_type") == "direct") | (F.col("target_type") == "FUNCTION")
+
+
+def _function_calls(graph: Graph, heads: DataFrame, to: DataFrame) -> DataFrame:
+    """heads (id, eq_id), to (tail, ...) -> id, to's columns, call_line and ord of each call of a function; calls of what to lacks go first."""
+    calls = graph.rel("CALLS").where(_plain()).select("head", "tail", "call_line", "ord").join(to, "tail").drop("tail")
+    return heads.join(calls, F.col("eq_id") == F.col("head")).drop("eq_id", "head")
+
+
+def _field_calls(graph: Graph, heads: DataFrame, fields: DataFrame) -> DataFrame:
+    """heads (id, eq_id), fields (tail, field_name) -> (id, field, call_line, ord) of each call through a field."""
+    calls = graph.rel("CALLS").where(~_plain() & (F.col("call_type") == "indirect") & (F.col("target_type") == "FIELD"))
+    field = F.when(F.size("field_path") > 0, F.element_at("field_path", -1)).otherwise(F.col("field_name"))
+    calls = calls.select("head", "tail", "call_line", "field_path", "ord").join(fields, "tail").select("head", field.alias("field"), "call_line", "ord")
+    return heads.join(calls, F.col("eq_id") == F.col("head")).select("id", "field", "call_line", "ord")
+
+
+def _fields(entities: DataFrame) -> DataFrame:
+    return entities.where("type = 'FIELD'").select(F.col("id").alias("tail"), F.col("name").alias("field_name"))
+
+
+def call_rows(graph: Graph, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Calls of functions (id, tail, callee, call_line, ord) and calls through fields (id, field, call_line, ord), a row for each call row.
 
     The id's equivalents count as callers, its other homonyms don't. A call of
     a function goes to its implementation; a call through a field names the last
-    part of its path, else the field.
+    part of its path, else the field. Calls meet what they go to, without the
+    columns that tell their kind, before they are multiplied by their callers.
     """
-    canon = identity.decl_impl_map(graph) if canon is None else canon
+    canon = identity.decl_impl_map(graph)
     heads = identity.equivalents(graph, canon)
     if ids is not None:
         heads = heads.join(ids.select("id").distinct(), "id", "left_semi")
-    entities = (identity.by_id(graph.entities, "name", "type") if entities is None else entities).select("id", "name", "type")
-    calls = heads.join(graph.rel("CALLS"), F.col("eq_id") == F.col("head")).select("id", "tail", "call_line", "call_type", "target_type", "field_path", "ord")
-    plain = (F.col("call_type") == "direct") | (F.col("target_type") == "FUNCTION")
-    direct = identity.normalize(calls.where(plain), canon, "tail").join(entities.select(F.col("id").alias("tail"), F.col("name").alias("callee")), "tail")
-    fields = entities.where("type = 'FIELD'").select(F.col("id").alias("tail"), F.col("name").alias("field_name"))
-    through = calls.where(~plain & (F.col("call_type") == "indirect") & (F.col("target_type") == "FIELD")).join(fields, "tail")
-    field = F.when(F.size("field_path") > 0, F.element_at("field_path", -1)).otherwise(F.col("field_name"))
-    return direct.select("id", "tail", "callee", "call_line", "ord"), through.select("id", field.alias("field"), "call_line", "ord")
+    entities = identity.by_id(graph.entities, "name", "type").select("id", "name", "type")
+    direct = _function_calls(graph, heads, call_targets(entities, canon))
+    return direct.select("id", F.col("norm").alias("tail"), "callee", "call_line", "ord"), _field_calls(graph, heads, _fields(entities))
 
 
 def callees_with_lines(graph: Graph, ids: DataFrame | None = None, allow_indirect: bool = True) -> DataFrame:
@@ -106,9 +130,10 @@ def async_pairs(graph: Graph, oracle: DataFrame | None = None, async_names: Data
     names = identity.async_functions(graph) if async_names is None else async_names
     canon = identity.decl_impl_map(graph) if canon is None else canon
     functions = (identity.by_id(graph.of("FUNCTION"), "name") if entities is None else entities.where("type = 'FUNCTION'")).select("id", "name")
-    calls = graph.rel("CALLS").where("call_type = 'direct' OR target_type = 'FUNCTION'").select("head", "tail")
-    pairs = identity.normalize(calls, canon, "tail").join(functions.toDF("tail", "async_callee"), "tail").join(names.toDF("async_callee"), "async_callee", "left_semi")
-    pairs = pairs.join(functions.toDF("head", "caller"), "head").select("caller", "async_callee").distinct()
+    deferring = call_targets(functions, canon).select("tail", F.col("callee").alias("async_callee")).join(names.toDF("async_callee"), "async_callee", "left_semi")
+    deferring = tables.joinable(tables.stored(deferring, "deferring"))
+    calls = graph.rel("CALLS").where(_plain()).select("head", "tail").join(deferring, "tail").select("head", "async_callee").distinct()
+    pairs = calls.join(functions.toDF("head", "caller"), "head").select("caller", "async_callee").distinct()
     sourced = pairs.join(function_sources(graph).where("source IS NOT NULL AND source != ''"), "caller")
     field = work_field(F.col("source"), F.col("async_callee"))
     if oracle is not None:
@@ -124,7 +149,9 @@ def async_edges(graph: Graph, supplement: DataFrame | None = None, use_fallback:
     use_fallback adds the supplement's functions where nothing else is found.
     """
     fielded = async_pairs(graph, oracle, async_names)
-    found = fielded.join(assigned_entities(graph, supplement), "field").select("caller", "async_callee", "target", "field", "via").distinct()
+    # both sides are distinct, so their product is, and needn't be shuffled
+    assigned = tables.joinable(tables.stored(assigned_entities(graph, supplement).distinct(), "assigned"))
+    found = fielded.where("field IS NOT NULL").distinct().join(assigned, "field").select("caller", "async_callee", "target", "field", "via")
     if not use_fallback:
         return found
     spark = graph.entities.sparkSession
@@ -169,13 +196,16 @@ class Steps:
 def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = True, supplement: DataFrame | None = None, async_names: DataFrame | None = None, oracle: DataFrame | None = None, use_fallback: bool = False) -> Steps:
     """The edges of a search; oracle and use_fallback as in async_edges(). A node is the id that a function's name stands for, normalised."""
     canon = identity.decl_impl_map(graph)
-    nodes = identity.normalize(identity.latest(graph), canon, "id").select("name", F.col("id").alias("node"))
     # read by nearly every join below, and small beside the calls
-    known = tables.stored_together(canon=canon, nodes=nodes, entities=identity.by_id(graph.entities, "name", "type").select("id", "name", "type"))
-    canon, nodes, entities = known["canon"], known["nodes"], known["entities"]
-    calls, through = call_rows(graph, nodes.select(F.col("node").alias("id")), canon, entities)
-    named = calls.join(nodes.toDF("callee", "dst"), "callee").select(F.col("id").alias("src"), "dst", "callee", "call_line", "ord")
-    direct = named.drop("callee")
+    known = tables.stored_together(canon=canon, entities=identity.by_id(graph.entities, "name", "type").select("id", "name", "type"))
+    canon, entities = known["canon"], known["entities"]
+    nodes = tables.stored(identity.normalize(identity.latest(graph), canon, "id").select("name", F.col("id").alias("node")), "nodes")
+    heads = identity.equivalents(graph, canon).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    to = call_targets(entities, canon).join(nodes.toDF("callee", "dst"), "callee").select("tail", "callee", "dst")
+    known = tables.stored_together(heads=heads, to=to)
+    heads, to = tables.joinable(known["heads"]), known["to"]
+    direct = _function_calls(graph, heads, tables.joinable(to.select("tail", "dst"))).select(F.col("id").alias("src"), "dst", "call_line", "ord")
+    through = _field_calls(graph, heads, _fields(entities))
     spark = graph.entities.sparkSession
     late = spark.createDataFrame([], "src string, kind string, field string, via string, call_line int, ord long, mid string")
     targets = spark.createDataFrame([], "kind string, field string, dst string, sub string")
@@ -184,7 +214,7 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
         reached = assigned_functions(graph).join(nodes.toDF("target", "dst"), "target")
         targets = targets.unionByName(reached.select(F.lit("indirect").alias("kind"), "field", "dst", F.col("target").alias("sub")))
     if with_async:
-        fielded = async_pairs(graph, oracle, async_names, canon, entities)
+        fielded = tables.stored(async_pairs(graph, oracle, async_names, canon, entities), "deferring-calls")
         assigned = assigned_entities(graph, supplement).select("field", "target").distinct()
         pairs = fielded.where("field IS NOT NULL")
         if use_fallback:  # what reaches nothing goes to one field more, which has the supplement's functions
@@ -193,7 +223,8 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
             more = supplement_rows(spark).where(F.col("field").isin(*WORK_FIELDS)).select(F.lit(FALLBACK).alias("field"), "target").distinct()
             assigned = assigned.unionByName(more)
         pairs = pairs.join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
-        deferred = named.join(pairs, ["src", "callee"])
+        own = tables.joinable(tables.stored(to.join(fielded.select(F.col("async_callee").alias("callee")).distinct(), "callee", "left_semi"), "deferred"))
+        deferred = _function_calls(graph, heads, own).withColumnRenamed("id", "src").join(pairs, ["src", "callee"])
         late = late.unionByName(deferred.select("src", F.lit("async").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.col("dst").alias("mid")))
         reached = assigned.join(nodes.toDF("target", "dst"), "target")
         targets = targets.unionByName(reached.select(F.lit("async").alias("kind"), "field", "dst", F.col("target").alias("sub")))

@@ -447,3 +447,12 @@ def test_subgraphs_are_partitions(spark, tmp_path):
     assert sorted(r["id"] for r in x.entities.collect()) == ["1", "2", "4"] and sorted(r["id"] for r in y.entities.collect()) == ["3", "4"]
     assert [(r["head"], r["tail"]) for r in x.relations.collect()] == [("1", "2")] and [(r["head"], r["tail"]) for r in y.relations.collect()] == [("3", "4")]
     assert "PartitionFilters: [subgraph" in x.relations._jdf.queryExecution().executedPlan().toString().replace("isnotnull(subgraph#", "subgraph")
+
+
+def test_deferred_edges_are_distinct_before_their_product(spark):
+    """Callers, work and targets were multiplied first, and the product shuffled to be made distinct."""
+    from graphlens.plans import catalog
+
+    plan = E.async_edges(catalog.by_key(spark, "/root/testdata/sf0.001", stored=True))._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert dealt and not any("target" in x for x in dealt), plan
