@@ -111,6 +111,21 @@ def callees_with_lines(graph: Graph, ids: DataFrame | None = None, allow_indirec
     return direct.unionByName(through.select("id", F.col("target").alias("callee"), "call_line", F.lit(True).alias("is_indirect"), "ord", F.col("field").alias("via")))
 
 
+def callee_counts(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
+    """(id, callee, call_line, is_indirect, n): the rows of callees_with_lines(), counted.
+
+    Calls through fields are counted by field where their caller and line are dealt
+    to; only there do they meet the fields' functions, so that product is never shuffled.
+    """
+    direct, through = call_rows(graph, ids)
+    direct = direct.groupBy("id", "callee", "call_line").agg(F.count("*").alias("n"))
+    sites = through.select("id", "call_line", "field").repartition("id", "call_line").groupBy("id", "call_line", "field").agg(F.count("*").alias("sites"))
+    targets = tables.small(tables.stored(assigned_functions(graph), "assigned"))
+    late = sites.join(targets, "field").groupBy("id", "call_line", "target").agg(F.sum("sites").alias("n"))
+    columns = lambda callee, indirect: ["id", F.col(callee).alias("callee"), "call_line", F.lit(indirect).alias("is_indirect"), "n"]
+    return direct.select(*columns("callee", False)).unionByName(late.select(*columns("target", True)))
+
+
 def work_field(source: Column, callee: Column) -> Column:
     """The field that a caller's text hands to callee: from &x->field, else from &field."""
     name = F.concat(F.lit(r"\Q"), callee, F.lit(r"\E"))

@@ -456,3 +456,12 @@ def test_deferred_edges_are_distinct_before_their_product(spark):
     plan = E.async_edges(catalog.by_key(spark, "/root/testdata/sf0.001", stored=True))._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
     assert dealt and not any("target" in x for x in dealt), plan
+
+
+def test_calls_through_fields_are_counted_before_their_product(spark):
+    """Sites met the functions of their fields first, and the product was shuffled to be counted."""
+    from graphlens.plans import catalog
+
+    plan = catalog.QUERIES["callees_with_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert dealt and not any("target" in x for x in dealt if "hashpartitioning(id" in x), plan
