@@ -465,3 +465,24 @@ def test_calls_through_fields_are_counted_before_their_product(spark):
     plan = catalog.QUERIES["callees_with_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "hashpartitioning" in x]
     assert dealt and not any("target" in x for x in dealt if "hashpartitioning(id" in x), plan
+
+
+def test_pairs_that_nothing_connects_are_dropped_before_they_spread(spark, monkeypatch):
+    """A search that can't arrive went through every node of both ends' parts."""
+    from graphlens.operators import spread
+
+    rng, size = random.Random(5), 150
+    rows = {(base + a, base + b) for base in (0, 1000) for a in range(size) for b in rng.sample(range(size), 4) if a != b} | {(2000 + k, 2001 + k) for k in range(12)}
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in rows], "src string, dst string").cache()
+    of = {r["node"]: r["component"] for r in spread.components(edges).collect()}
+    assert len(set(of.values())) == 3 and len(of) == 2 * size + 13
+    assert all(of[str(a)] == of[str(b)] for a, b in rows)
+    asked = [(n, rng.randrange(size), 1000 + rng.randrange(size)) for n in range(30)] + [(40, 0, 5), (41, 2000, 2009), (42, 2009, 2000), (43, 7, 7), (44, 7, 9999), (45, 9998, 9998)]
+    queries = spark.createDataFrame([(n, str(a), str(b)) for n, a, b in asked], "qid int, start string, goal string")
+    steps = E.Steps(edges, None, None)
+    before, a, b = spread.distances(steps, queries, 30, late=False)
+    want, rows_before = {r["qid"]: r["dist"] for r in before.collect()}, sum(a.counts.values()) + sum(b.counts.values())
+    monkeypatch.setattr(spread, "APART", 1)
+    after, a, b = spread.distances(steps, queries, 30, late=False)
+    assert {r["qid"]: r["dist"] for r in after.collect()} == want and want.keys() == {40, 41, 43, 45}
+    assert sum(a.counts.values()) + sum(b.counts.values()) < rows_before / 2
