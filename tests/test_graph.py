@@ -7,7 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens import schema
+from graphlens import schema, tables
 from graphlens.operators import edges as E
 from graphlens.operators import identity, lookup, neighbors, paths, rank, reach, stitch
 from graphlens.schema import Graph
@@ -486,3 +486,24 @@ def test_pairs_that_nothing_connects_are_dropped_before_they_spread(spark, monke
     after, a, b = spread.distances(steps, queries, 30, late=False)
     assert {r["qid"]: r["dist"] for r in after.collect()} == want and want.keys() == {40, 41, 43, 45}
     assert sum(a.counts.values()) + sum(b.counts.values()) < rows_before / 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_graphs_tables_are_not_broadcast(spark, monkeypatch):
+    """Their files are small, so Spark would; a driver of 750 MB then held ten tables of 1.2 million functions at once."""
+    g = make(spark, [*plain("a", "b", "c", "queue_work_x"), ("9", "b", True, None)], [("1", "9", 3), ("2", "f", 4, "indirect", ["s", "field"]), ("3", "4", 5)], [("f", "field")], [("f", "3")])
+    small = {tuple(r) for r in E.search_edges(g).collect()}
+    assert "strategy=merge" not in _plan(E.search_steps(g).targets)
+    monkeypatch.setattr(tables, "JOINABLE_ROWS", 1)
+    steps = E.search_steps(g)
+    assert _plan(steps.targets).count("strategy=merge") >= 4  # functions, entities, and nodes for both kinds
+    assert "strategy=merge" in _plan(identity.decl_impl_map(g, 2))
+    assert {tuple(r) for r in steps.edges().collect()} == small and small
+    queries = spark.createDataFrame([(0, "1", "3")], "qid int, start string, goal string")
+    names = identity.by_id(g.entities).select(F.col("id").alias("node"), "name")
+    got = paths.topk_paths(steps, queries, names, 5, 4, keys=spark.createDataFrame([(0, ["b"])], "qid int, keys array<string>"))
+    assert [(r["path"], round(r["score"], 6)) for r in got.collect()] == [(["a", "b", "c"], 1036.965)]
+    assert [tuple(r) for r in lookup.locate(g, spark.createDataFrame([("B",), ("b",)], "name string")).orderBy("name").collect()] == [("B", "b"), ("b", "b")]
