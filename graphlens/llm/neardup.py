@@ -43,6 +43,8 @@ SAMPLES, BANDS, ROWS, BITS = 512, 32, 4, 4096
 MARGIN = 0.66
 #: Members of a bucket that are compared in one block.
 BLOCK = 1024
+#: Bytes of text that one vectorised step handles; a worker keeps what its largest step took.
+STEP = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(75))
 _XOR = _random.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -80,7 +82,7 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = textkit.flat(batch.column(1))
-        for i, j in textkit.chunks(offs):
+        for i, j in textkit.chunks(offs, STEP):
             sets = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             sampled = np.array([samples(s) for s in sets], np.uint32).reshape(j - i, SAMPLES)
             mixed = [textkit.mix(s) for s in sets]
@@ -97,6 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "n_shingles", "k1", "k2", "sketch", "bands"],
             )
+    pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -112,6 +115,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = estimate(np.bitwise_count(_bitmaps(batch.column(2)) ^ _bitmaps(batch.column(3))).sum(1, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["a", "b", "near"]).filter(pa.array(near >= MARGIN))
+    pa.default_memory_pool().release_unused()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +125,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, lo = textkit.flat(batch.column(2))
         right, ro = textkit.flat(batch.column(3))
         bounds = np.maximum.reduce([lo, ro])
-        for i, j in textkit.chunks(bounds):
+        for i, j in textkit.chunks(bounds, STEP):
             one = shingle_sets(left[lo[i] : lo[j]], lo[i : j + 1] - lo[i])
             two = shingle_sets(right[ro[i] : ro[j]], ro[i : j + 1] - ro[i])
             for x, y in zip(one, two):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    pa.default_memory_pool().release_unused()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,6 +213,7 @@ def _block_pairs(best: int | None, low: float, high: float):
             held = held.slice(cuts[-1])
         if held is not None and held.num_rows and (out := pairs(held.combine_chunks())) is not None:
             yield out
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -618,3 +618,18 @@ def test_hot_keys_meet_in_several_tasks(spark, monkeypatch):
     rows = [(k, f"unique {k}\nBoiler\nfive", f"s{k % 8}") for k in range(40)] + [(100 + k, "six", f"s{k}") for k in range(6)]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs_df(spark, rows)).collect()}
     assert got == {k: f"unique {k}" for k in range(40)} | {100 + k: "" for k in range(6)}
+
+
+def test_near_duplicate_workers_take_small_steps():
+    """A pipeline's executor ended over its memory, part of it what workers kept from steps of 2 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50000, 40000)) for _ in range(16)])
+    ids = pa.array(range(16), pa.int64())
+    for run, columns in ((neardup._sign, [ids, texts]), (neardup._confirmed, [ids, ids, texts, texts])):
+        batch = pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run(iter([batch]))) == 16
+        assert tracemalloc.get_traced_memory()[1] < 32e6
+        tracemalloc.stop()
