@@ -140,9 +140,9 @@ def function_sources(graph: Graph) -> DataFrame:
     return rows.groupBy(F.col("name").alias("caller")).agg(F.min_by("source", F.struct("is_declaration", "ord")).alias("source"))
 
 
-def async_pairs(graph: Graph, oracle: DataFrame | None = None, async_names: DataFrame | None = None, canon: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
-    """(caller, async_callee, field): callers of deferring functions and the field that they hand over, null where none is found."""
-    names = identity.async_functions(graph) if async_names is None else async_names
+def async_pairs(graph: Graph, oracle: DataFrame | None = None, async_names: DataFrame | None = None, canon: DataFrame | None = None, entities: DataFrame | None = None, rows: int = 0) -> DataFrame:
+    """(caller, async_callee, field): callers of deferring functions and the field that they hand over, null where none is found. rows as in assigned_functions()."""
+    names = tables.merging(identity.async_functions(graph), rows) if async_names is None else async_names
     canon = identity.decl_impl_map(graph) if canon is None else canon
     functions = (identity.by_id(graph.of("FUNCTION"), "name") if entities is None else entities.where("type = 'FUNCTION'")).select("id", "name")
     deferring = call_targets(functions, canon).select("tail", F.col("callee").alias("async_callee")).join(names.toDF("async_callee"), "async_callee", "left_semi")
@@ -228,7 +228,7 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
         return nodes, tables.joinable(known["heads"]), known["to"]
 
     def handed() -> DataFrame:
-        return tables.stored(async_pairs(graph, oracle, async_names, canon, entities), "deferring-calls")
+        return tables.stored(async_pairs(graph, oracle, async_names, canon, entities, rows), "deferring-calls")
 
     (nodes, heads, to), *fielded = tables.together(graph.entities.sparkSession, known_calls, *([handed] if with_async else []))
     direct = _function_calls(graph, heads, tables.joinable(to.select("tail", "dst"))).select(F.col("id").alias("src"), "dst", "call_line", "ord")
@@ -250,7 +250,8 @@ def search_steps(graph: Graph, allow_indirect: bool = True, with_async: bool = T
             more = supplement_rows(spark).where(F.col("field").isin(*WORK_FIELDS)).select(F.lit(FALLBACK).alias("field"), "target").distinct()
             assigned = assigned.unionByName(more)
         pairs = pairs.join(nodes.toDF("caller", "src"), "caller").select("src", F.col("async_callee").alias("callee"), "field")
-        own = tables.joinable(tables.stored(to.join(fielded.select(F.col("async_callee").alias("callee")).distinct(), "callee", "left_semi"), "deferred"))
+        handed_to = tables.merging(fielded.select(F.col("async_callee").alias("callee")).distinct(), rows)
+        own = tables.joinable(tables.stored(to.join(handed_to, "callee", "left_semi"), "deferred"))
         deferred = _function_calls(graph, heads, own).withColumnRenamed("id", "src").join(pairs, ["src", "callee"])
         late = late.unionByName(deferred.select("src", F.lit("async").alias("kind"), "field", F.col("field").alias("via"), "call_line", "ord", F.col("dst").alias("mid")))
         reached = assigned.join(nodes.toDF("target", "dst"), "target")
