@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlens import schema, tables
 from graphlens.operators import edges as E
-from graphlens.operators import identity, lookup, neighbors, paths, rank, reach, stitch
+from graphlens.operators import identity, kbest, lookup, neighbors, paths, rank, reach, stitch
 from graphlens.schema import Graph
 from graphlens.sources import graph as sources
 from graphlens.sources import text as text_sources
@@ -263,6 +263,21 @@ def test_deep_search_stays_under_a_bound(spark):
         assert {r["qid"]: r["n"] >= 3 for r in done.chains().groupBy("qid").agg(F.count("*").alias("n")).collect()} == {0: True, 1: True}
 
 
+def test_direct_chains_of_two_nodes_more_spare_the_search_of_all_calls(spark, monkeypatch):
+    def never(*args):
+        raise AssertionError("all calls were searched")
+
+    monkeypatch.setattr(kbest.KBest, "_spread", never)
+    rows = [("a", "b", "direct"), ("b", "z", "direct"), ("a", "z", "indirect")]
+    for n in range(4):
+        rows += [(x, y, "direct") for x, y in zip(["a", f"p{n}", f"q{n}", f"r{n}"], [f"p{n}", f"q{n}", f"r{n}", "z"])]
+    edges = spark.createDataFrame([(a, b, kind, 1, n, "" if kind == "direct" else b, None, None if kind == "direct" else "f") for n, (a, b, kind) in enumerate(rows)], "src string, dst string, kind string, call_line int, ord long, sub string, mid string, via string")
+    queries = spark.createDataFrame([(0, "a", "z")], "qid int, start string, goal string")
+    names = spark.createDataFrame([(x,) * 2 for x in sorted({y for r in rows for y in r[:2]})], "node string, name string")
+    got = [(r["path"], round(r["score"], 6)) for r in paths.topk_paths(edges, queries, names, 4, 9).orderBy("rank").collect()]
+    assert got == [(["a", "b", "z"], 996.99), *[(["a", f"p{n}", f"q{n}", f"r{n}", "z"], 994.99) for n in range(3)]]
+
+
 @pytest.mark.parametrize("layout", ["list", "object", "separate"])
 def test_odd_records_are_skipped_alone(spark, tmp_path, layout):
     good = [{"id": 1, "name": "a", "type": "FUNCTION", "start_line": "7", "end_line": "x", "is_declaration": "true", "code": {"odd": 1}}, {"id": "2", "name": "b", "type": "FUNCTION", "start_line": 3}]
